@@ -67,7 +67,7 @@ def test_line_rules():
 
 
 def test_document_that_loses_most_text_is_rejected(docs_of):
-    prose = "\n".join(f"Sentence number {i} tells of thing {i * 7} and of place {i * 13} in some detail." for i in range(10))
+    prose = "\n".join(" ".join(f"w{i}x{k}" for k in range(12)) + "." for i in range(10))
     junk = "\n".join(f"alpha{i} | beta{i} | gamma{i} | delta{i} | eps{i}" for i in range(30))
     rows = line_first_quality(docs_of([prose, prose + "\n" + junk]), clean=True).collect()
     assert [r.kept for r in sorted(rows, key=lambda r: r.doc_id)] == [True, False]
