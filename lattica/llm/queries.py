@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lattica.llm.bpe import bpe_round_trip
 from lattica.llm.common import read
 from lattica.llm.decontaminate import find_overlaps
+from lattica.llm.line_dedup import line_dedup
+from lattica.llm.near_dedup import near_duplicates
 from lattica.llm.quality import line_first_quality
 
 
@@ -19,10 +21,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_lines_removed", F.col("runs").cast("string").alias("runs"), "text")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
@@ -42,7 +53,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
 }
