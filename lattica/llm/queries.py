@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import bpe_round_trip
+from lattica.llm.chat import rotate_perspectives
 from lattica.llm.common import read
 from lattica.llm.decontaminate import find_overlaps
+from lattica.llm.html_extract import extract_main_text
 from lattica.llm.line_dedup import line_dedup
 from lattica.llm.near_dedup import near_duplicates
 from lattica.llm.quality import line_first_quality
+from lattica.llm import lm_score, pii, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,10 +33,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rotate_perspectives(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return made.select("conv_id", "part", "piece", "perspective", "n_turns", "text", spans.alias("mask"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(True))
+    return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
@@ -52,12 +72,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_score.score_texts(docs, lm_score.train(docs), keep=["doc_id"])
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.learn_potentials(docs), keep=["doc_id"])
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
