@@ -8,16 +8,20 @@ empty texts have none and are a class each.
 Each shingle is a Poisson process whose rate is its weight; an arrival hits a random register
 and the earliest arrival there names its shingle. A text's processes stop once they are later
 than all its registers, so registers agree with the probability Jaccard of two texts. Bands
-of registers make buckets. In each bucket a head is compared with the texts of other classes,
-exactly: a link needs a probability Jaccard or a plain Jaccard of 0.8. Heads are first the
-texts with most bucket mates, then members outside the bucket's largest class; a bucket is
-done when its members are one class or all were heads, so no pair is lost that a link does
-not already join, and no bucket is expanded to all pairs.
-
-Equal texts are one node from the start, so copies make no pairs. A class's id is its least
-doc_id (nulls last). Repeated rows belong to one class and each gets a row.
-
-With 32 bands of 4 registers a pair at 0.8 shares no bucket with probability 5e-8.
+of registers make buckets. A link needs, by exact comparison of the shingles, a probability
+Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
+
+1. In each bucket the text with most bucket mates overall is compared with all others there.
+2. In buckets that still hold several classes, texts of different classes are compared by
+   their registers, in blocks of bounded size (a bucket of n texts becomes (n / BLOCK)^2 / 2
+   pieces of work, wherever they run). Only pairs that agree in at least the share that 0.8
+   less four standard errors leaves are compared exactly, each in its first common bucket.
+
+So no pair of a bucket is lost that a link does not already join, and what leaves a block are
+near misses only. Equal texts are one node (a 64-bit hash of the text) from the start, so
+copies make no pairs. A class's id is its least doc_id (nulls last). Repeated rows belong to
+one class and each gets a row. With 32 bands of 6 registers a pair at exactly 0.8 shares no
+bucket with probability 6e-5, one at 0.85 with 3e-7.
 """
 
 from __future__ import annotations
@@ -30,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import PLAIN, checkpointed, map_texts, mix64, span_hashes, window_hashes, words_of, written
+from lattica.llm.common import PLAIN, checkpointed, chunks, map_texts, mix64, span_hashes, window_hashes, words_of, written
 from lattica.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
-ROWS = 4
+ROWS = 6
+#: Texts of a bucket that a piece of work holds on each side.
+BLOCK = 1000
+#: Slots of the table that says which texts have bucket mates (others may share a slot).
+SLOTS = 1 << 21
 
 _U = np.uint64
 
@@ -129,27 +137,17 @@ def _sketch_kernel(bands: int, rows: int) -> Callable[[], Callable]:
         def kernel(texts: list[bytes]) -> list:
             doc, shingle, weight = weighted_shingles(texts)
             some = np.bincount(doc, minlength=len(texts))
-            made = band_hashes(prob_min_hash(len(texts), doc, shingle, weight, bands * rows), bands, rows).view(np.int64)
+            winner = prob_min_hash(len(texts), doc, shingle, weight, bands * rows)
+            made = band_hashes(winner, bands, rows).view(np.int64)
             made = pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * bands, bands, dtype=np.int32), made.ravel())
-            return [some, made]
+            short = mix64(winner).astype(np.uint8)
+            return [some, made, [x.tobytes() for x in short]]
 
         return kernel
 
     return make
 
 
-def _profile_kernel() -> Callable[[list[bytes]], list]:
-    def kernel(texts: list[bytes]) -> list:
-        doc, shingle, weight = weighted_shingles(texts)
-        order = np.lexsort((shingle, doc))
-        cut = np.searchsorted(doc[order], np.arange(len(texts) + 1))
-        shingle, weight = shingle[order], weight[order].astype(np.uint32)
-        parts = list(zip(cut[:-1], cut[1:], strict=True))
-        return [[shingle[i:j].tobytes() for i, j in parts], [weight[i:j].tobytes() if (weight[i:j] > 1).any() else b"" for i, j in parts]]
-
-    return kernel
-
-
 def _profile(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     made = np.frombuffer(shingles, _U)
     return made, np.frombuffer(counts, np.uint32) if counts else np.ones(len(made), np.uint32)
@@ -169,67 +167,112 @@ def _verify(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles, counts of (at least) the given nodes; texts stay where they are until cut down to hashes."""
+    slots = np.zeros(SLOTS, bool)  # at most SLOTS rows reach the driver
+    slots[nodes.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = base.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = shared.value[batch.column(0).to_numpy() % SLOTS]
+            for part, texts in chunks(batch.filter(pa.array(wanted)), 1):
+                doc, shingle, weight = weighted_shingles(texts)
+                order = np.lexsort((shingle, doc))
+                cut = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+                shingle, weight = shingle[order], weight[order].astype(np.uint32)
+                spans = list(zip(cut[:-1], cut[1:], strict=True))
+                counts = [weight[i:j].tobytes() if (weight[i:j] > 1).any() else b"" for i, j in spans]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle[i:j].tobytes() for i, j in spans], pa.binary()), pa.array(counts, pa.binary())], names=["node", "shingles", "counts"])
+
+    return base.select("node", "text").mapInArrow(run, "node long, shingles binary, counts binary").dropDuplicates(["node"])
+
+
+def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """members: bucket, band, size, node, root, short. Pairs (a, b) of different roots that their registers do not rule out."""
+    least = similarity - 4 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = own.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    own = own.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "mine").select("bucket", "low", "high", "mine", "band", "node", "root", "short")
+
+    def compare(rows_: list[tuple]) -> Iterator[tuple[int, int]]:
+        low, high, band = rows_[0][1], rows_[0][2], rows_[0][4]
+        mine = np.array([r[3] for r in rows_])
+        node, root = (np.array([r[k] for r in rows_], np.int64) for k in (5, 6))
+        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint8).reshape(len(rows_), bands * rows)
+        for i in range(len(rows_)):
+            if mine[i] != low:
+                break
+            start = i + 1 if low == high else int(np.searchsorted(mine, high))
+            to = start + np.flatnonzero(root[start:] != root[i])
+            if not len(to):
+                continue
+            same = short[to] == short[i]
+            near = np.flatnonzero(same.mean(axis=1) >= least)
+            common = same[near].reshape(len(near), bands, rows).all(axis=2)
+            near = near[common.argmax(axis=1) == band]
+            for j in to[near].tolist():
+                yield max(node[i], node[j]), min(node[i], node[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and row[:3] != waiting[0][:3]:
+                    found += compare(waiting)
+                    waiting = []
+                waiting.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = list(compare(waiting)) if waiting else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return own.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key (of its text), n_shingles, class_id, and
-    class_node, which also tells apart classes without ids (null for texts without shingles)."""
+    """One row for each row of docs: doc_id, node (a hash of its text), n_shingles, class_id, and
+    root, which also tells apart classes without ids (null for texts without shingles)."""
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("text_key", F.unhex(F.md5("text")))
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
-    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "text_key"]))
-    nodes = sketches.where("n_shingles > 0").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = entries.join(shared, "bucket")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = checkpointed(members.drop("size").join(degree, "node"))
-
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key", "doc_id")
-    same = [base.text_key == wanted.text_key, base.doc_id.eqNullSafe(wanted.doc_id)]
-    found = base.join(wanted, same).select("node", "text")
-    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())]
-    profiles = written(map_texts(found, "text", fields, lambda: _profile_kernel(), keep=["node"]).dropDuplicates(["node"]))
-
-    links = None
-    round_no = 0
-    labelled = members.withColumn("root", F.col("node"))
-    while True:
-        # heads: of each bucket, or of as many parts of it as this round has
-        part = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << min(round_no, 30))) if round_no else F.lit(0)
-        able = labelled
-        if round_no:
-            sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-            able = labelled.join(largest.select("bucket", F.col("top.root").alias("top")), "bucket")
-            labelled = able.drop("top")
-            able = able.where("root <> top")
-        heads = able.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", "node", "root")).alias("h")).select("bucket", F.col("h.node").alias("head"), F.col("h.root").alias("head_root"))
-        pairs = labelled.join(heads, "bucket").where("root <> head_root").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-        made = _verify(pairs, profiles, similarity)
-        links = checkpointed(made if links is None else links.unionByName(made))
-        roots = checkpointed(components(links))
-        left = labelled.drop("root").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        labelled = checkpointed(left.join(several, "bucket", "left_semi"))
-        round_no += 1
-        if labelled.isEmpty():
-            break
-
-    classes = nodes.select("node", "text_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = classes.join(least, "root").select("text_key", "class_id", F.col("root").alias("class_node"))
-    own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return sketches.select("doc_id", "text_key", "n_shingles").join(named, "text_key", "left").select("doc_id", "text_key", "n_shingles", own.alias("class_id"), "class_node")
+    base = base.withColumn("node", F.xxhash64("text"))
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False)), T.StructField("short", T.BinaryType())]
+    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "node"]))
+
+    entries = sketches.where("n_shingles > 0").select("node", F.posexplode("bands").alias("band", "bucket"))
+    # copies are one node, so a bucket has several texts where its least and greatest node differ
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    members = checkpointed(entries.join(shared, "bucket", "left_semi").groupBy("bucket", "node").agg(F.min("band").alias("band")))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "bucket")
+    members = checkpointed(members.join(members.groupBy("node").agg(F.sum("size").alias("degree")), "node"))
+    profiles = written(_profiles(base, members))
+
+    heads = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("h")).select("bucket", F.col("h.node").alias("head"))
+    stars = members.join(heads, "bucket").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    links = checkpointed(_verify(stars, profiles, similarity))
+    roots = components(links)
+
+    told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    open_ = told.join(several, "bucket", "left_semi").select("bucket", "band", "size", "node", "root")
+    shorts = sketches.select("node", "short").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    more = checkpointed(_verify(_near_misses(open_.join(shorts, "node"), similarity, bands, rows), profiles, similarity))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+
+    rooted = sketches.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = rooted.join(least, "root", "left")
+    return named.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
-    """docs with one row of each near-duplicate class: that of the least doc_id."""
+    """docs with one row of each near-duplicate class: that of the least doc_id. Repeated rows become one."""
     found = near_duplicates(docs, text, doc_id, **options)
-    place = F.xxhash64("doc_id")
-    heads = found.where("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("h")).select("h.doc_id", "h.text_key")
-    heads = heads.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key").distinct())
-    heads = heads.select(F.col("text_key").alias("__key"), place.alias("__place")).distinct()
-    own = docs.withColumns({"__key": F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))), "__place": F.xxhash64(F.col(f"`{doc_id}`"))})
-    return own.join(heads, ["__key", "__place"], "left_semi").dropDuplicates(["__key", "__place"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("h")).select("h.doc_id", "h.node")
+    heads = heads.unionByName(found.where("n_shingles = 0").select("doc_id", "node"))
+    heads = heads.select(F.col("node").alias("__node"), F.xxhash64("doc_id").alias("__place")).distinct()
+    own = docs.withColumns({"__node": F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), "__place": F.xxhash64(F.col(f"`{doc_id}`"))})
+    return own.join(heads, ["__node", "__place"], "left_semi").dropDuplicates(["__node", "__place"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -193,7 +193,7 @@ def marginals(graph: Graph, potentials: Potentials) -> np.ndarray:
         if label >= 0:
             unary[i] = -40.0
             unary[i, label] = 0.0
-    pairs = [(a, b, potentials.chain) for a, b in chain] + [(i, n + g, potentials.skip / 2) for g, members in enumerate(groups) for i in members]
+    pairs = [(a, b, potentials.chain) for a, b in chain] + [(i, n + g, potentials.skip) for g, members in enumerate(groups) for i in members]
     if not pairs:
         scores = unary
     else:
@@ -219,7 +219,7 @@ def marginals(graph: Graph, potentials: Potentials) -> np.ndarray:
 def fit(texts: list[str], steps: int = 300) -> Potentials:
     """Potentials from texts in which the patterns give the labels; open candidates count as none."""
     rows, labels = [], []
-    chain, skip = np.ones((N_LABELS, N_LABELS)), np.eye(N_LABELS) * 2 + 0.05
+    chain, skip = np.ones((N_LABELS, N_LABELS)), np.eye(N_LABELS) * 20 + 0.05
     for text in texts:
         graph = candidates(text, base_spans(text))
         y = [max(0, v) for v in graph.labels]
@@ -246,8 +246,8 @@ def fit(texts: list[str], steps: int = 300) -> Potentials:
     share = np.bincount(y, minlength=N_LABELS) + 1.0
     share /= share.sum()
     pmi = lambda m: np.log(m / m.sum()) - np.log(np.outer(m.sum(axis=1), m.sum(axis=0)) / m.sum() ** 2)
-    # an open candidate's own shape counts half: the patterns have already passed it over
-    return Potentials(w / 2, np.clip(pmi(chain), -1, 1), np.clip(pmi(skip), -6, 6))
+    # an open candidate's own shape counts a quarter: that the patterns passed it over is no proof
+    return Potentials(w / 4, np.clip(pmi(chain), -1, 1), np.clip(pmi(skip), -6, 6))
 
 
 def all_spans(text: str, potentials: Potentials) -> tuple[list[Span], list[Span]]:
