@@ -51,6 +51,10 @@ _MARK = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^'\"
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
+#: Parts of a compound name that keep it in, such as content-with-sidebar.
+KEPT_IN_NAMES = frozenset("article body container content entry has layout main page post story text with wrapper".split())
+_PARTS = re.compile(r"[\s_-]+")
+
 #: Scores without labelled pages.
 FALLBACK = {"word": 1.0, "link": 0.3}
 FALLBACK_TAG = -3.0
@@ -74,7 +78,12 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes) and name != "input":
         return True
-    return any(w in LEFT_OUT_NAMES for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(_PARTS.split(name))
+            if name in LEFT_OUT_NAMES or parts & LEFT_OUT_NAMES and not parts & KEPT_IN_NAMES:
+                return True
+    return False
 
 
 def tokens_of(page: str) -> Iterator[Token]:

@@ -170,7 +170,7 @@ N_LABELS = len(KINDS) + 1
 
 
 def neutral() -> Potentials:
-    return Potentials(np.zeros((N_SHAPE, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.eye(N_LABELS) * 4.0)
+    return Potentials(np.zeros((N_SHAPE, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.eye(N_LABELS) * 6.0)
 
 
 def _edges(graph: Graph) -> tuple[list[tuple[int, int]], list[list[int]]]:
