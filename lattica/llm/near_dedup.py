@@ -14,8 +14,9 @@ Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
 1. In each bucket the text with most bucket mates overall is compared with all others there.
 2. In buckets that still hold several classes, texts of different classes are compared by
    their registers, in blocks of bounded size (a bucket of n texts becomes (n / BLOCK)^2 / 2
-   pieces of work, wherever they run). Only pairs that agree in at least the share that 0.8
-   less four standard errors leaves are compared exactly, each in its first common bucket.
+   pieces of work, wherever they run), first by the banded ones, then by LONG further ones.
+   Only pairs that agree in at least the share that 0.8 less four standard errors leaves are
+   compared exactly, each in its first common bucket.
 
 So no pair of a bucket is lost that a link does not already join, and what leaves a block are
 near misses only. Equal texts are one node (a 64-bit hash of the text) from the start, so
@@ -43,6 +44,8 @@ BANDS = 32
 ROWS = 6
 #: Texts of a bucket that a piece of work holds on each side.
 BLOCK = 1000
+#: Registers of the sketches that rule out near misses in open buckets.
+LONG = 1024
 #: Slots of the table that says which texts have bucket mates (others may share a slot).
 SLOTS = 1 << 21
 
@@ -189,19 +192,20 @@ def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
-    """members: bucket, band, size, node, root, short. Pairs (a, b) of different roots that their registers do not rule out."""
-    least = similarity - 4 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+    """members: bucket, band, size, node, root, short, long. Pairs (a, b) of different roots that their registers do not rule out."""
+    least, least_long = (similarity - 4 * (similarity * (1 - similarity) / n) ** 0.5 for n in (bands * rows, LONG))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = own.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    own = own.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "mine").select("bucket", "low", "high", "mine", "band", "node", "root", "short")
+    own = own.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "mine").select("bucket", "low", "high", "mine", "band", "node", "root", "short", "long")
 
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, int]]:
         low, high, band = rows_[0][1], rows_[0][2], rows_[0][4]
         mine = np.array([r[3] for r in rows_])
         node, root = (np.array([r[k] for r in rows_], np.int64) for k in (5, 6))
         short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint8).reshape(len(rows_), bands * rows)
+        long = np.frombuffer(b"".join(r[8] for r in rows_), np.uint8).reshape(len(rows_), LONG)
         for i in range(len(rows_)):
             if mine[i] != low:
                 break
@@ -212,8 +216,8 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
             same = short[to] == short[i]
             near = np.flatnonzero(same.mean(axis=1) >= least)
             common = same[near].reshape(len(near), bands, rows).all(axis=2)
-            near = near[common.argmax(axis=1) == band]
-            for j in to[near].tolist():
+            near = to[near[common.argmax(axis=1) == band]]
+            for j in near[(long[near] == long[i]).mean(axis=1) >= least_long].tolist():
                 yield max(node[i], node[j]), min(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +236,21 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
     return own.mapInArrow(run, "a long, b long").distinct()
 
 
+def _long_sketches(profiles: DataFrame) -> DataFrame:
+    """node, long: LONG registers of each profile, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [_profile(s, c) for s, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                doc = np.repeat(np.arange(len(made)), [len(s) for s, _ in made])
+                winner = prob_min_hash(len(made), doc, np.concatenate([s for s, _ in made]), np.concatenate([c for _, c in made]), LONG)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in mix64(winner).astype(np.uint8)], pa.binary())], names=["node", "long"])
+
+    return profiles.select("node", "shingles", "counts").mapInArrow(run, "node long, long binary")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, node (a hash of its text), n_shingles, class_id, and
     root, which also tells apart classes without ids (null for texts without shingles)."""
@@ -256,9 +275,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = told.join(several, "bucket", "left_semi").select("bucket", "band", "size", "node", "root")
-    shorts = sketches.select("node", "short").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    more = checkpointed(_verify(_near_misses(open_.join(shorts, "node"), similarity, bands, rows), profiles, similarity))
+    open_ = checkpointed(told.join(several, "bucket", "left_semi").select("bucket", "band", "size", "node", "root"))
+    nodes = open_.select("node").distinct()
+    shorts = sketches.select("node", "short").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    longs = _long_sketches(profiles.join(nodes, "node", "left_semi"))
+    more = checkpointed(_verify(_near_misses(open_.join(shorts.join(longs, "node"), "node"), similarity, bands, rows), profiles, similarity))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
