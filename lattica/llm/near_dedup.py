@@ -162,10 +162,10 @@ def _verify(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFra
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "ca", "sb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, *rest = (c.to_pylist() for c in batch.columns)
-            good = [max(jaccards(_profile(sa, ca), _profile(sb, cb))) >= similarity for sa, ca, sb, cb in zip(*rest, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(v, good, strict=True) if g], pa.int64()) for v in (a, b)], names=["a", "b"])
+        for part in (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64)):
+            rest = (c.to_pylist() for c in part.columns[2:])
+            good = pa.array([max(jaccards(_profile(sa, ca), _profile(sb, cb))) >= similarity for sa, ca, sb, cb in zip(*rest, strict=True)], pa.bool_())
+            yield part.select(["a", "b"]).filter(good)
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -179,7 +179,7 @@ def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = shared.value[batch.column(0).to_numpy() % SLOTS]
-            for part, texts in chunks(batch.filter(pa.array(wanted)), 1):
+            for part, texts in chunks(batch.filter(pa.array(wanted)), 1, 1 << 19):
                 doc, shingle, weight = weighted_shingles(texts)
                 order = np.lexsort((shingle, doc))
                 cut = np.searchsorted(doc[order], np.arange(len(texts) + 1))
@@ -241,8 +241,8 @@ def _long_sketches(profiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
                 made = [_profile(s, c) for s, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 doc = np.repeat(np.arange(len(made)), [len(s) for s, _ in made])
                 winner = prob_min_hash(len(made), doc, np.concatenate([s for s, _ in made]), np.concatenate([c for _, c in made]), LONG)
