@@ -67,8 +67,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.array_max(F.col("matches.words")).alias("longest_match"),
-        "matches",
     )
 
 
@@ -96,4 +94,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+_CHAT_SQL = """with c as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+p as (select distinct conv_id, role as perspective from c where role <> 'system'),
+r as (select c.*, coalesce(turn // 256, -1) as part, perspective,
+  case when role = 'system' then '<|system|>' when role = perspective then '<|assistant|>' else '<|user name=' || role || '|>' end || chr(10) as head
+  from c join p on c.conv_id is not distinct from p.conv_id),
+o as (select *, head || text || '<|end|>' || chr(10) as whole,
+  sum(length(head || text) + 8) over (partition by conv_id, perspective, part order by turn, role, text) - length(text) - 8 as begin_ from r)
+select conv_id, part, cast(0 as bigint) as piece, perspective, count(*) as n_turns, string_agg(whole, '' order by turn, role, text) as text,
+  coalesce(string_agg(case when role = perspective then begin_ || ':' || (begin_ + length(text) + 7) end, ',' order by turn, role, text), '') as mask
+from o group by conv_id, part, perspective"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OVERLAP_SQL = f"""with i as (select item_id, {_WORDS} as w from benchmark), d as (select doc_id, {_WORDS} as w from documents),
+k as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as key from (select *, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from i where len(w) > 0)),
+e as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+f as (select doc_id, p, list(word) over (partition by doc_id order by p rows between current row and 9 following) as v from e),
+h as (select f.doc_id, f.p, k.n, k.item_id from (select f.*, s.n from f cross join (select distinct n from k) s where len(v) >= s.n) f join k on k.n = f.n and k.key = array_to_string(f.v[1:f.n], ' ')),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join t using (doc_id)"""
+
+#: The other operators learn, sketch or join to a fixed point; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op4_chat_formatting": _CHAT_SQL, "op8_decontamination": _OVERLAP_SQL}
