@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.llm.common import SPACED, map_texts, mix64, names_clash, span_hashes, words_of, written
+from lattica.llm.common import SPACED, checkpointed, map_texts, mix64, names_clash, span_hashes, words_of, written
 
 MIN_WORDS = 50
 
@@ -156,9 +156,11 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     field = T.StructField("windows", T.ArrayType(_WINDOW, False))
     found = written(map_texts(base, "text", [field], _kernel(min_words), keep=["doc_id", "text_hash"]))
     entries = found.select("doc_id", "text_hash", F.explode("windows").alias("w")).select("doc_id", "text_hash", "w.*")
-    twice = entries.where("new").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # tables of keys are cut off from their aggregates, so that adaptive execution can split a hot key's join
+    twice = checkpointed(entries.where("new").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     candidates = entries.drop("new").join(twice, "fingerprint", "left_semi").select("content", F.struct("doc_id", "text_hash", F.col("first").alias("line")).alias("place"), "last", "next")
-    firsts = candidates.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin")
+    candidates = checkpointed(candidates)
+    firsts = checkpointed(candidates.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin"))
     later = candidates.join(firsts, "content").where("place > origin")
     match = F.struct(F.col("place.line").alias("line"), "last", "next", F.col("origin.doc_id").alias("first_doc"), F.col("origin.line").alias("first_line"))
     grouped = later.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set(match).alias("runs"))
