@@ -261,20 +261,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     entries = sketches.where("n_shingles > 0").select("node", F.posexplode("bands").alias("band", "bucket"))
     # copies are one node, so a bucket has several texts where its least and greatest node differ
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    # (tables of keys are cut off from their aggregates, so that adaptive execution can split a hot key's join)
+    shared = checkpointed(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"))
     members = checkpointed(entries.join(shared, "bucket", "left_semi").groupBy("bucket", "node").agg(F.min("band").alias("band")))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     members = members.join(sizes, "bucket")
     members = checkpointed(members.join(members.groupBy("node").agg(F.sum("size").alias("degree")), "node"))
     profiles = written(_profiles(base, members))
 
-    heads = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("h")).select("bucket", F.col("h.node").alias("head"))
+    heads = checkpointed(members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("h")).select("bucket", F.col("h.node").alias("head")))
     stars = members.join(heads, "bucket").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     links = checkpointed(_verify(stars, profiles, similarity))
     roots = components(links)
 
     told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    several = checkpointed(told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"))
     open_ = checkpointed(told.join(several, "bucket", "left_semi").select("bucket", "band", "size", "node", "root"))
     nodes = open_.select("node").distinct()
     shorts = sketches.select("node", "short").join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         roots = components(links.unionByName(more))
 
     rooted = sketches.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
-    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    least = checkpointed(rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("class_id")))
     named = rooted.join(least, "root", "left")
     return named.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root")
 
