@@ -13,7 +13,7 @@ from lattica.operators import causality, diagnostics, events, panel, universe, w
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
 from lattica.plans.signal import Signal, add_signals, field_of
 from lattica.sources.tables import brand_months, supplier_weeks
-from lattica.sources.vendor import check_point_in_time, ciz_cells, dataset_from_panel, verify_extract
+from lattica.sources.vendor import check_point_in_time, ciz_cells, dataset_from_panel, listings, verify_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,6 +243,14 @@ def universe_audit(spark, sf_dir):
     return universe.audit(_universe(spark, sf_dir)).withColumns(_six("mean_members", "churn"))
 
 
+_DAY = "1996-01-01"
+
+
+@query(f"with {SUPPLIER}, {_MEMBER} select asset from mem where ts = date '{_DAY}' and member")
+def universe_members(spark, sf_dir):
+    return universe.members_on(_universe(spark, sf_dir), _DAY)
+
+
 # --- diagnostics ---------------------------------------------------------------------------
 
 _HORIZONS = (1, 2, 5)
@@ -293,6 +301,13 @@ def rank_autocorrelation(spark, sf_dir):
     return diagnostics.autocorrelation(supplier_weeks(spark, sf_dir), CHANGE).withColumns(_six("autocorrelation"))
 
 
+@query(f"""with {SUPPLIER}, {_ic((1,))} select round(avg(ic) * sqrt(avg(breadth) * 252), 6) + 0.0 as information_ratio from ics where ic is not null""")
+def fundamental_law(spark, sf_dir):
+    ics = diagnostics.information_coefficient(supplier_weeks(spark, sf_dir), CHANGE, "close").where("ic is not null")
+    row = ics.agg(F.avg("ic").alias("ic"), F.avg("breadth").alias("breadth")).first()
+    return spark.createDataFrame([(round(diagnostics.fundamental_law(row.ic, row.breadth), 6),)], "information_ratio double")
+
+
 # --- costs and backtests -------------------------------------------------------------------
 
 
@@ -509,6 +524,11 @@ def point_in_time_lag(spark, sf_dir):
     return check_point_in_time(rows)
 
 
+@query(f"""with {SUPPLIER} select asset, min(ts) as first_tradable, case when max(ts) < (select max(ts) from panel) then max(ts) end as last_tradable from panel where close is not null group by asset""")
+def security_listings(spark, sf_dir):
+    return listings(supplier_weeks(spark, sf_dir))
+
+
 @query()
 def extract_findings(spark, sf_dir):
     return verify_extract(dataset_from_panel(supplier_weeks(spark, sf_dir))).withColumns(_six("value"))
