@@ -416,11 +416,11 @@ def folds_expanding(spark, sf_dir):
 
 def _walk(spark, sf_dir):
     base = brand_months(spark, sf_dir)
-    return walkforward.walk_forward(base, _folds(base), MOMENTUM, "close", COSTS)
+    return walkforward.walk_forward(base, _folds(base), MOMENTUM * 0.02, "close", COSTS)
 
 
 _WALK = f"""with {BRAND}, f as ({_FOLD_ROWS}), pf as (select panel.*, f.fold, f.test_start from panel join f on t >= f.signal_start and t < f.test_end), {momentum_sql("fold, ", "pf")},
-src as (select 'signal' as strategy, fold, t, asset, v as w, close as p from mom where t >= test_start union all select 'baseline', fold, t, asset, case when close is not null then 1.0 / count(close) over (partition by fold, t) end, close from mom where t >= test_start),
+src as (select 'signal' as strategy, fold, t, asset, v * 0.02 as w, close as p from mom where t >= test_start union all select 'baseline', fold, t, asset, case when close is not null then 1.0 / count(close) over (partition by fold, t) end, close from mom where t >= test_start),
 {path_sql("src", "strategy, fold, ", exit_=0.0)}, r as (select strategy, fold, product(1 + net) - 1 as total, sum(turnover) > 0 as traded from path group by 1, 2),
 o as (select f.fold, a.total as signal_return, b.total as baseline_return, a.total - b.total as excess, coalesce(a.traded, false) as traded, a.total is null as skipped, coalesce(a.traded and a.total > b.total, false) as genuine_win
  from f left join r a on a.fold = f.fold and a.strategy = 'signal' left join r b on b.fold = f.fold and b.strategy = 'baseline')"""
