@@ -267,7 +267,7 @@ def learn_potentials(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """Fits on the first `most` texts with "@", "+" or a digit by a hash of their ids."""
     some = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[@+0-9]"))
     ids = some.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = some.join(F.broadcast(ids), "id").select(F.xxhash64("id", "text").alias("h"), "text")
+    rows = some.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).select(F.xxhash64("id", "text").alias("h"), "text")
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(texts: list[bytes]) -> list:

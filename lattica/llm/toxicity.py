@@ -12,7 +12,7 @@ MAX_UNLABELLED unlabelled texts, the first by a hash of their ids; scoring cover
 text. Labels are read only for ids whose crc32 modulo FOLDS is not HELD_OUT, and the class
 prior is the share of toxic ones among them. Labels, lang, source and ids are no inputs of a
 score. Null and empty texts have no features and get the score of an unremarkable text; null
-ids count as held out; repeated rows and labels change nothing but their weight. Without
+ids count as held out; an id counts once in fitting, with its least text, however often it stands. Without
 positives every score is the prior, PRIOR without labels.
 """
 
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     first = lambda ids, most, kind: ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most).withColumn("kind", F.lit(kind))
     chosen = first(known.where("label = 1").select("id"), max_positive, 1).unionByName(first(docs.where(fold(key) != HELD_OUT).select(key.alias("id")), max_unlabelled, 0))
     # a broadcast of at most max_positive + max_unlabelled ids
-    texts = docs.select(key.alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("kind", "text")
+    texts = docs.select(key.alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").groupBy("kind", "id").agg(F.min("text").alias("text"))
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(parts: list[bytes]) -> list:
