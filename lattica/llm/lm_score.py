@@ -8,8 +8,10 @@ comes from counts, so P(word | both sides) = P(class | both sides) * P(word | cl
 What is gathered from the corpus covers all of it: word counts of every text, and training on
 masked positions (each by a hash, MASKED of a hundred) of every text. Words are hashed to a
 fixed number of buckets, so counts and parameters have a fixed size however large the corpus.
-In a round every task trains its own copy in numpy on its texts; the copies are averaged by
-masked words in a tree, so the driver receives one set of parameters.
+Texts are dealt by a hash of their rows to shards of about SHARD_WORDS words. A shard trains its
+own copy in numpy, text after text; SHARDS copies are then averaged, each parameter row by the
+words that moved it, and the next shards go on from there. So steps grow with the corpus, and
+the parameters do not depend on how the input is partitioned.
 
 Words are what lies between ASCII white space, in lower case. Null, empty and wordless texts
 have no tokens, log_likelihood 0 and no mean. Rows never meet in scoring; repeated rows get
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import chunks, map_texts, mix64, words_of
+from lattica.llm.common import chunks, map_texts, mix64, shared_folder, words_of
 
 BUCKETS = 1 << 18
 #: Classes that the network predicts: the commonest buckets one each, the others by hash.
@@ -43,8 +45,13 @@ MASKED = 15
 ROUNDS = 1
 BATCH = 512
 RATE = 0.08
-#: Sets of parameters that one task of the averaging tree adds up.
-FAN = 8
+#: Words of a shard, which is trained in order by one task, and shards between which changes are averaged.
+SHARD_WORDS = 1_000_000
+SHARDS = 16
+#: Rows of the table whose changes are added up together.
+BLOCK = 4096
+EMBEDDINGS = 2 * WINDOW * (INPUTS + 1)
+PLACES = np.arange(2 * WINDOW, dtype=np.int32) * (INPUTS + 1)
 
 _U = np.uint64
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else 32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
@@ -117,39 +124,56 @@ def log_classes(parameters: list[np.ndarray], around: np.ndarray) -> tuple[np.nd
     return hidden, logits
 
 
+def as_table(parameters: list[np.ndarray]) -> np.ndarray:
+    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, classes."""
+    embeddings, bias, weights, shares = parameters
+    table = np.zeros((EMBEDDINGS + 1 + CLASSES, WIDTH + 1), np.float32)
+    table[:EMBEDDINGS, :WIDTH] = embeddings.reshape(-1, WIDTH)
+    table[EMBEDDINGS, :WIDTH] = bias
+    table[EMBEDDINGS + 1 :, :WIDTH] = weights.T
+    table[EMBEDDINGS + 1 :, WIDTH] = shares
+    return table
+
+
+def parameters_of(table: np.ndarray) -> list[np.ndarray]:
+    """Views of the table in the shapes of first_parameters."""
+    classes = table[EMBEDDINGS + 1 : EMBEDDINGS + 1 + CLASSES]
+    return [table[:EMBEDDINGS].reshape(2 * WINDOW, INPUTS + 1, WIDTH + 1)[:, :, :WIDTH], table[EMBEDDINGS, :WIDTH], classes[:, :WIDTH].T, classes[:, WIDTH]]
+
+
 class Trainer:
-    """Adagrad on masked words, one batch after the other."""
+    """Adagrad with a step size for each row of the table, one batch after the other. used: words that moved a row."""
 
-    def __init__(self, parameters: list[np.ndarray]) -> None:
-        self.parameters = [p.copy() for p in parameters]
-        self.squares = [np.full_like(p, 1e-2) for p in parameters]
-        self.words = 0
+    def __init__(self, table: np.ndarray, squares: np.ndarray) -> None:
+        self.table, self.squares = table.copy(), squares.copy()
+        self.parameters = parameters_of(self.table)
+        self.used = np.zeros(len(table), np.int64)
 
-    def _step(self, k: int, grad: np.ndarray, at: tuple | slice = slice(None)) -> None:
-        self.squares[k][at] += grad * grad
-        self.parameters[k][at] -= RATE * grad / np.sqrt(self.squares[k][at])
+    def _step(self, rows: np.ndarray | slice, grad: np.ndarray, used: np.ndarray | int) -> None:
+        self.squares[rows] += (grad * grad).mean(axis=1)
+        self.table[rows] -= RATE * grad / np.sqrt(self.squares[rows])[:, None]
+        self.used[rows] += used
 
     def learn(self, around: np.ndarray, classes: np.ndarray) -> None:
         n = len(classes)
         hidden, logs = log_classes(self.parameters, around)
         error = np.exp(logs)
         error[np.arange(n), classes] -= 1
-        error /= n
-        back = (error @ self.parameters[2].T) * (1 - hidden * hidden)
-        self._step(2, hidden.T @ error)
-        self._step(3, error.sum(axis=0))
-        self._step(1, back.sum(axis=0))
-        for place, ids in enumerate(around):
-            order = np.argsort(ids, kind="stable")
-            own = ids[order]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            self._step(0, np.add.reduceat(back[order], starts, axis=0), (place, own[starts]))
-        self.words += n
-
-
-def masked_words(texts: list[bytes], vocabulary: Vocabulary, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        back = np.zeros((n, WIDTH + 1), np.float32)
+        back[:, :WIDTH] = (error @ self.parameters[2].T) * (1 - hidden * hidden)
+        grad = np.concatenate([error.T @ hidden, error.sum(axis=0)[:, None]], axis=1)
+        self._step(slice(EMBEDDINGS + 1, EMBEDDINGS + 1 + CLASSES), grad / n, n)
+        self._step(slice(EMBEDDINGS, EMBEDDINGS + 1), back.mean(axis=0, keepdims=True), n)
+        ids = (around + PLACES[:, None]).ravel()
+        order = np.argsort(ids)
+        own = ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        often = np.diff(np.append(starts, len(own)))
+        self._step(own[starts], np.add.reduceat(back[order % n], starts, axis=0) / often[:, None].astype(np.float32), often)
+
+
+def masked_words(buckets: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and classes of the masked words; which are masked is a hash of word and place."""
-    buckets, first = buckets_of(texts)
     place = np.arange(len(buckets)) - np.repeat(first[:-1], np.diff(first))
     chosen = np.flatnonzero(mix64(buckets.astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U) + _U(salt << 32)) % _U(100) < _U(MASKED))
     return contexts(vocabulary.inputs[buckets], first)[:, chosen], vocabulary.classes[buckets[chosen]].astype(np.int64)
@@ -172,48 +196,80 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return counts
 
 
-def train_round(docs: DataFrame, text: str, vocabulary: Vocabulary, parameters: list[np.ndarray], salt: int, size: int = BATCH) -> list[np.ndarray]:
-    """The average, by masked words, of what each task makes of the parameters."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, parameters))
-    shapes = [p.shape for p in parameters]
+def shards_of(docs: DataFrame, text: str, shards: int) -> DataFrame:
+    """round, shard, words, ends: the buckets of each shard's texts, in an order that does not depend on where they lie.
+
+    A text's shard is a hash of its row, so copies with ids of their own are spread; a row of the
+    result holds about SHARD_WORDS words."""
+    some = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = docs.select(F.xxhash64(*some).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch, 1):
+                buckets, first = buckets_of(texts)
+                made = buckets.astype(np.int32)
+                key = part.column(0).to_numpy()
+                own = np.flatnonzero(np.diff(first))
+                words = [made[first[i] : first[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(key[own] % shards), pa.array(key[own]), pa.array(words, pa.binary())], names=["shard", "key", "words"])
+
+    def join(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True))
+        ends = np.cumsum([len(w) // 4 for _, w in rows], dtype=np.int64)
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"round": pa.array([shard // SHARDS], pa.int64()), "shard": pa.array([shard], pa.int64()), "words": pa.array([b"".join(w for _, w in rows)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
+
+    made = rows.mapInArrow(cut, "shard long, key long, words binary")
+    return made.groupBy("shard").applyInArrow(join, "round long, shard long, words binary, ends binary")
+
+
+def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, squares: np.ndarray, salt: int, size: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """What the shards make of the table, each from the same start: a row's changes are averaged by the words
+    that moved the row, so shards that never met it do not hold it back."""
+    context = shards.sparkSession.sparkContext
+    shared = context.broadcast((vocabulary, table, squares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        trainer = Trainer(start)
-        rest_around, rest_classes = np.empty((2 * WINDOW, 0), np.int32), np.empty(0, np.int64)
+        known, start, start_squares = shared.value
         for batch in batches:
-            for _, texts in chunks(batch, 0):
-                around, classes = masked_words(texts, known, salt)
-                around, classes = np.concatenate([rest_around, around], axis=1), np.concatenate([rest_classes, classes])
-                full = len(classes) // size * size
-                for i in range(0, full, size):
+            for words, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                trainer = Trainer(start, start_squares)
+                first = np.concatenate([[0], np.frombuffer(ends, np.int64)])
+                around, classes = masked_words(np.frombuffer(words, np.int32).astype(np.int64), first, known, salt)
+                for i in range(0, len(classes), size):
                     trainer.learn(around[:, i : i + size], classes[i : i + size])
-                rest_around, rest_classes = around[:, full:], classes[full:]
-        if len(rest_classes):
-            trainer.learn(rest_around, rest_classes)
-        if trainer.words:
-            flat = np.concatenate([p.ravel() for p in trainer.parameters]) - np.concatenate([p.ravel() for p in start])
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.words], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["words", "change"])
-
-    def add(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
-        return a[0] + b[0], a[1] + b[1]
-
-    made = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "words long, change binary")
-    parts = made.rdd.mapPartitionsWithIndex(lambda i, rows: ((i, (r[0], np.frombuffer(r[1], np.float32).astype(np.float64) * r[0])) for r in rows))
-    n = parts.getNumPartitions()
-    while n > 1:  # a task adds FAN sets of parameters at most, and the driver gets one
-        n = -(-n // FAN)
-        parts = parts.map(lambda kv, n=n: (kv[0] % n, kv[1])).reduceByKey(add, n)
-    total = parts.values().collect()
-    if not total:
-        return parameters
-    words, change = total[0]
-    out, at = [], 0
-    for p, shape in zip(parameters, shapes, strict=True):
-        out.append((p + (change[at : at + p.size] / words).reshape(shape)).astype(np.float32))
-        at += p.size
-    return out
+                moved = np.flatnonzero(trainer.used)
+                cut = np.searchsorted(moved, np.arange(0, len(start) + BLOCK, BLOCK))
+                some = np.flatnonzero(np.diff(cut))
+                spans = [moved[cut[k] : cut[k + 1]] for k in some]
+                change = [np.column_stack([trainer.table[m] - start[m], trainer.squares[m] - start_squares[m]]).astype(np.float16).tobytes() for m in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int64()), pa.array([m.astype(np.int32).tobytes() for m in spans], pa.binary()), pa.array([trainer.used[m].tobytes() for m in spans], pa.binary()), pa.array(change, pa.binary())],
+                    names=["block", "rows", "used", "change"],
+                )
+
+    def add(part: pa.Table) -> pa.Table:
+        block = part.column("block")[0].as_py()
+        used, total = np.zeros(BLOCK), np.zeros((BLOCK, WIDTH + 2))
+        # summed in a set order, as floats do not add up alike in every order
+        for rows, n, change in sorted(zip(*(part.column(c).to_pylist() for c in ("rows", "used", "change")), strict=True)):
+            at, n = np.frombuffer(rows, np.int32) - block * BLOCK, np.frombuffer(n, np.int64)
+            used[at] += n
+            total[at] += np.frombuffer(change, np.float16).reshape(-1, WIDTH + 2).astype(np.float64) * n[:, None]
+        at = np.flatnonzero(used)
+        mean = (total[at] / used[at, None]).astype(np.float32)
+        return pa.table({"rows": pa.array([(at + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
+
+    made = shards.select("words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
+    found = made.groupBy("block").applyInArrow(add, "rows binary, change binary").toArrow()  # at most the table's size reaches the driver
+    table, squares = table.copy(), squares.copy()
+    for rows, change in zip(found.column("rows").to_pylist(), found.column("change").to_pylist(), strict=True):
+        at, change = np.frombuffer(rows, np.int32), np.frombuffer(change, np.float32).reshape(-1, WIDTH + 2)
+        table[at] += change[:, :-1]
+        squares[at] += change[:, -1]
+    shared.destroy()
+    return table, squares
 
 
 @dataclass(frozen=True)
@@ -236,12 +292,19 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch: int = BATCH) -> Model:
+    """rounds: passes over the corpus. Steps grow with the corpus: a pass takes SHARDS shards at a time."""
     counts = word_counts(docs, text)
     vocabulary = make_vocabulary(counts)
-    parameters = first_parameters(np.bincount(vocabulary.classes, weights=counts, minlength=CLASSES))
-    for k in range(rounds):
-        parameters = train_round(docs, text, vocabulary, parameters, k, batch)
-    return Model(vocabulary, parameters)
+    table = as_table(first_parameters(np.bincount(vocabulary.classes, weights=counts, minlength=CLASSES)))
+    squares = np.full(len(table), 1e-2, np.float32)
+    shards = max(1, -(-int(counts.sum()) // SHARD_WORDS))
+    if counts.any():
+        folder = shared_folder(docs.sparkSession)
+        shards_of(docs, text, shards).write.partitionBy("round").parquet(folder)
+        for k in range(rounds):
+            for i in range(-(-shards // SHARDS)):
+                table, squares = train_round(docs.sparkSession.read.parquet(f"{folder}/round={i}"), vocabulary, table, squares, k, batch)
+    return Model(vocabulary, parameters_of(table))
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]

@@ -70,3 +70,37 @@ def test_odd_rows(docs_of, pattern):
     assert rows[3].log_likelihood == rows[4].log_likelihood < 0
     empty = docs_of(["x"]).where("false")
     assert lm.score_texts(empty, lm.train(empty)).count() == 0
+
+
+def test_partitions_do_not_change_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 2000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{w} {w}x {w}y" for w in rng.choice(list("abcdefgh"), 20)) for _ in range(150)] + [" ".join(["rare", "pair"] * 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = lm.train(docs.repartition(1), batch=32), lm.train(docs.repartition(7), batch=32)
+    raw = [t.encode() for t in texts]
+    assert (few.score(raw)[1] == many.score(raw)[1]).all()
+
+
+def test_a_row_met_in_one_shard_keeps_what_it_learned(spark):
+    """The same corpus beside much other text: rows that only it moves end as far from the start."""
+    rng = np.random.default_rng(4)
+    own = [(i, " ".join(f"{w} {w}x {w}y" for w in rng.choice(list("abcdefgh"), 40))) for i in range(8)]
+    other = [(100 + i, " ".join(f"z{w}" for w in rng.choice(list("ijklmnop"), 120))) for i in range(32)]
+    docs = spark.createDataFrame(own + other, "doc_id long, text string")
+    vocabulary = lm.make_vocabulary(lm.word_counts(docs, "text"))
+    table = lm.as_table(lm.first_parameters(np.ones(lm.CLASSES)))
+    squares = np.full(len(table), 1e-2, np.float32)
+
+    def moved(rows):
+        shards = [lm.shards_of(spark.createDataFrame(r, "doc_id long, text string"), "text", 1) for r in rows]
+        made = shards[0]
+        for s in shards[1:]:
+            made = made.unionAll(s)
+        return lm.train_round(made, vocabulary, table, squares, 0, 32)[0] - table
+
+    alone, beside = moved([own]), moved([own, *[other[i::4] for i in range(4)]])
+    buckets, _ = lm.buckets_of([b"a ax ay b bx by"])
+    rows = lm.PLACES[:, None] + vocabulary.inputs[buckets]
+    size = np.abs(alone[rows]).sum()
+    assert size > 0 and np.abs(beside[rows] - alone[rows]).sum() < 0.01 * size
