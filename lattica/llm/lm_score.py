@@ -2,11 +2,13 @@
 
 Each word of a text is predicted from the WINDOW words on both of its sides; the conditional
 log-probabilities of all words add up to the text's score. The network (position-wise
-embeddings, one tanh layer, softmax) predicts a word's class; the word's share of its class
-comes from counts, so P(word | both sides) = P(class | both sides) * P(word | class).
+embeddings, one tanh layer, hierarchical softmax) predicts the word itself: first a class (the
+commonest words are one each, a hash deals the others), then the sides of a Huffman tree of
+the class's words. Each inner node has weights of its own and sees both sides of the word; they
+start at zero and the shares that counts give.
 
 What is gathered from the corpus covers all of it: word counts of every text, and training on
-masked positions (each by a hash, MASKED of a hundred) of every text. Words are hashed to a
+every word of every text, predicted from its neighbours only. Words are hashed to a
 fixed number of buckets, so counts and parameters have a fixed size however large the corpus.
 Texts are dealt by a hash of their rows to shards of about SHARD_WORDS words. A shard trains its
 own copy in numpy, text after text; SHARDS copies are then averaged, each parameter row by the
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,6 @@ INPUTS = 4096
 OWN_INPUTS = 3840
 WINDOW = 3
 WIDTH = 24
-#: Masked positions in a hundred.
-MASKED = 15
 ROUNDS = 1
 BATCH = 512
 RATE = 0.08
@@ -51,6 +53,7 @@ SHARDS = 16
 #: Rows of the table whose changes are added up together.
 BLOCK = 4096
 EMBEDDINGS = 2 * WINDOW * (INPUTS + 1)
+NODES = EMBEDDINGS + 1 + CLASSES
 PLACES = np.arange(2 * WINDOW, dtype=np.int32) * (INPUTS + 1)
 
 _U = np.uint64
@@ -65,11 +68,71 @@ def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """By bucket: class, log share of its class, and input."""
+    """By bucket: class, log share of its class, and input. Each class is a tree of its buckets, whose inner
+    nodes are numbered from BUCKETS on. By node (a bucket or an inner one): parent, -1 at a root, and which
+    side of it; by inner node: the log odds of its first side."""
 
     classes: np.ndarray
     log_share: np.ndarray
     inputs: np.ndarray
+    parent: np.ndarray
+    side: np.ndarray
+    odds: np.ndarray
+
+    @cached_property
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inner nodes (from 0) above each bucket, the sides it is on, and where each bucket's begin."""
+        owners, nodes, sides = [], [], []
+        owner = at = np.arange(BUCKETS)
+        while True:
+            going = self.parent[at] >= 0
+            owner, at = owner[going], at[going]
+            if not len(at):
+                break
+            owners.append(owner)
+            sides.append(self.side[at])
+            at = self.parent[at]
+            nodes.append(at - BUCKETS)
+        if not owners:
+            return np.empty(0, np.int32), np.empty(0, bool), np.zeros(BUCKETS + 1, np.int64)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(nodes)[order].astype(np.int32), np.concatenate(sides)[order], np.searchsorted(owner[order], np.arange(BUCKETS + 1))
+
+    def path(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, inner node, is on its first side) of all inner nodes above the words' buckets, words in order."""
+        nodes, sides, begin = self.paths
+        size = begin[buckets + 1] - begin[buckets]
+        word = np.repeat(np.arange(len(buckets)), size)
+        at = np.arange(len(word)) + np.repeat(begin[buckets] - np.cumsum(size) + size, size)
+        return word, nodes[at], sides[at]
+
+
+def make_tree(classes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman trees of each class's buckets: parent, side, odds."""
+    parent, side, odds = [-1] * (2 * BUCKETS), [False] * (2 * BUCKETS), [0.0] * BUCKETS
+    new = BUCKETS
+    order = np.lexsort((np.arange(BUCKETS), weight, classes))
+    for own in np.split(order, np.flatnonzero(np.diff(classes[order])) + 1):
+        leaves, sizes = own.tolist(), weight[own].tolist()
+        inner: list[tuple[float, int]] = []  # grows in order of size
+        i = k = 0
+        for _ in range(len(leaves) - 1):
+            two = []
+            for _ in range(2):
+                if i < len(leaves) and (k == len(inner) or sizes[i] <= inner[k][0]):
+                    two.append((sizes[i], leaves[i]))
+                    i += 1
+                else:
+                    two.append(inner[k])
+                    k += 1
+            (a, x), (b, y) = two
+            parent[x] = parent[y] = new
+            side[x] = True
+            odds[new - BUCKETS] = log(a / b)
+            inner.append((a + b, new))
+            new += 1
+    return np.array(parent, np.int32), np.array(side), np.array(odds, np.float32)
 
 
 def make_vocabulary(counts: np.ndarray) -> Vocabulary:
@@ -81,7 +144,7 @@ def make_vocabulary(counts: np.ndarray) -> Vocabulary:
     inputs = np.where(rank < OWN_INPUTS, rank, OWN_INPUTS + (other % _U(INPUTS - OWN_INPUTS)).astype(np.int64))
     weight = counts + 0.5
     total = np.bincount(classes, weights=weight, minlength=CLASSES)
-    return Vocabulary(classes.astype(np.uint8), np.log(weight / total[classes]).astype(np.float32), inputs.astype(np.int32))
+    return Vocabulary(classes.astype(np.uint8), np.log(weight / total[classes]).astype(np.float32), inputs.astype(np.int32), *make_tree(classes, weight))
 
 
 def first_parameters(class_counts: np.ndarray) -> list[np.ndarray]:
@@ -124,23 +187,29 @@ def log_classes(parameters: list[np.ndarray], around: np.ndarray) -> tuple[np.nd
     return hidden, logits
 
 
-def as_table(parameters: list[np.ndarray]) -> np.ndarray:
-    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, classes."""
+def as_table(parameters: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
+    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, classes,
+    inner nodes (which start without weights, at the shares that counts give)."""
     embeddings, bias, weights, shares = parameters
-    table = np.zeros((EMBEDDINGS + 1 + CLASSES, WIDTH + 1), np.float32)
+    table = np.zeros((NODES + BUCKETS, WIDTH + 1), np.float32)
     table[:EMBEDDINGS, :WIDTH] = embeddings.reshape(-1, WIDTH)
     table[EMBEDDINGS, :WIDTH] = bias
-    table[EMBEDDINGS + 1 :, :WIDTH] = weights.T
-    table[EMBEDDINGS + 1 :, WIDTH] = shares
+    table[EMBEDDINGS + 1 : NODES, :WIDTH] = weights.T
+    table[EMBEDDINGS + 1 : NODES, WIDTH] = shares
+    table[NODES:, WIDTH] = odds
     return table
 
 
 def parameters_of(table: np.ndarray) -> list[np.ndarray]:
     """Views of the table in the shapes of first_parameters."""
-    classes = table[EMBEDDINGS + 1 : EMBEDDINGS + 1 + CLASSES]
+    classes = table[EMBEDDINGS + 1 : NODES]
     return [table[:EMBEDDINGS].reshape(2 * WINDOW, INPUTS + 1, WIDTH + 1)[:, :, :WIDTH], table[EMBEDDINGS, :WIDTH], classes[:, :WIDTH].T, classes[:, WIDTH]]
 
 
+def chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+
 class Trainer:
     """Adagrad with a step size for each row of the table, one batch after the other. used: words that moved a row."""
 
@@ -154,29 +223,37 @@ class Trainer:
         self.table[rows] -= RATE * grad / np.sqrt(self.squares[rows])[:, None]
         self.used[rows] += used
 
-    def learn(self, around: np.ndarray, classes: np.ndarray) -> None:
-        n = len(classes)
+    def learn(self, around: np.ndarray, buckets: np.ndarray, known: Vocabulary) -> None:
+        n = len(buckets)
         hidden, logs = log_classes(self.parameters, around)
         error = np.exp(logs)
-        error[np.arange(n), classes] -= 1
+        error[np.arange(n), known.classes[buckets]] -= 1
         back = np.zeros((n, WIDTH + 1), np.float32)
-        back[:, :WIDTH] = (error @ self.parameters[2].T) * (1 - hidden * hidden)
+        back[:, :WIDTH] = error @ self.parameters[2].T
+        word, node, first = known.path(buckets)
+        above, here = self.table[NODES + node], np.column_stack([hidden, np.ones(n, np.float32)])[word]
+        missed = chance(np.einsum("ij,ij->i", above, here)) - first
+        if len(word):
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            above *= missed[:, None]
+            back[word[begin], :WIDTH] += np.add.reduceat(above, begin, axis=0)[:, :WIDTH]
+        back[:, :WIDTH] *= 1 - hidden * hidden
+        here *= missed[:, None]
         grad = np.concatenate([error.T @ hidden, error.sum(axis=0)[:, None]], axis=1)
-        self._step(slice(EMBEDDINGS + 1, EMBEDDINGS + 1 + CLASSES), grad / n, n)
+        self._step(slice(EMBEDDINGS + 1, NODES), grad / n, n)
         self._step(slice(EMBEDDINGS, EMBEDDINGS + 1), back.mean(axis=0, keepdims=True), n)
-        ids = (around + PLACES[:, None]).ravel()
+        self._step_some((around + PLACES[:, None]).ravel(), back, n)
+        self._step_some(NODES + node, here, len(node))
+
+    def _step_some(self, ids: np.ndarray, grad: np.ndarray, n: int) -> None:
+        """Moves each row of ids by the mean of its gradients, which repeat every n ids."""
+        if not len(ids):
+            return
         order = np.argsort(ids)
         own = ids[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         often = np.diff(np.append(starts, len(own)))
-        self._step(own[starts], np.add.reduceat(back[order % n], starts, axis=0) / often[:, None].astype(np.float32), often)
-
-
-def masked_words(buckets: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and classes of the masked words; which are masked is a hash of word and place."""
-    place = np.arange(len(buckets)) - np.repeat(first[:-1], np.diff(first))
-    chosen = np.flatnonzero(mix64(buckets.astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U) + _U(salt << 32)) % _U(100) < _U(MASKED))
-    return contexts(vocabulary.inputs[buckets], first)[:, chosen], vocabulary.classes[buckets[chosen]].astype(np.int64)
+        self._step(own[starts], np.add.reduceat(grad[order % n], starts, axis=0) / often[:, None].astype(np.float32), often)
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -224,7 +301,7 @@ def shards_of(docs: DataFrame, text: str, shards: int) -> DataFrame:
     return made.groupBy("shard").applyInArrow(join, "round long, shard long, words binary, ends binary")
 
 
-def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, squares: np.ndarray, salt: int, size: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, squares: np.ndarray, size: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
     """What the shards make of the table, each from the same start: a row's changes are averaged by the words
     that moved the row, so shards that never met it do not hold it back."""
     context = shards.sparkSession.sparkContext
@@ -236,9 +313,10 @@ def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, sq
             for words, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 trainer = Trainer(start, start_squares)
                 first = np.concatenate([[0], np.frombuffer(ends, np.int64)])
-                around, classes = masked_words(np.frombuffer(words, np.int32).astype(np.int64), first, known, salt)
-                for i in range(0, len(classes), size):
-                    trainer.learn(around[:, i : i + size], classes[i : i + size])
+                buckets = np.frombuffer(words, np.int32).astype(np.int64)
+                around = contexts(known.inputs[buckets], first)
+                for i in range(0, len(buckets), size):
+                    trainer.learn(around[:, i : i + size], buckets[i : i + size], known)
                 moved = np.flatnonzero(trainer.used)
                 cut = np.searchsorted(moved, np.arange(0, len(start) + BLOCK, BLOCK))
                 some = np.flatnonzero(np.diff(cut))
@@ -275,18 +353,26 @@ def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, sq
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
-    parameters: list[np.ndarray]
+    table: np.ndarray
+
+    @property
+    def parameters(self) -> list[np.ndarray]:
+        return parameters_of(self.table)
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and summed conditional log-probability of each text."""
         buckets, first = buckets_of(texts)
         known = self.vocabulary
         around = contexts(known.inputs[buckets], first)
-        each = known.log_share[buckets].astype(np.float64)
-        classes = known.classes[buckets].astype(np.int64)
+        each = np.zeros(len(buckets))
         for i in range(0, len(buckets), 2048):
-            _, logs = log_classes(self.parameters, around[:, i : i + 2048])
-            each[i : i + 2048] += logs[np.arange(len(logs)), classes[i : i + 2048]]
+            own = buckets[i : i + 2048]
+            hidden, logs = log_classes(self.parameters, around[:, i : i + 2048])
+            word, node, side = known.path(own)
+            above = self.table[NODES + node]
+            odds = np.einsum("ij,ij->i", above[:, :WIDTH], hidden[word]) + above[:, WIDTH]
+            steps = -np.logaddexp(0, np.where(side, -odds, odds).astype(np.float64))
+            each[i : i + 2048] = logs[np.arange(len(logs)), known.classes[own]] + np.bincount(word, steps, len(own))
         sums = np.concatenate([[0.0], np.cumsum(each)])
         return np.diff(first), sums[first[1:]] - sums[first[:-1]]
 
@@ -295,16 +381,16 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch: int
     """rounds: passes over the corpus. Steps grow with the corpus: a pass takes SHARDS shards at a time."""
     counts = word_counts(docs, text)
     vocabulary = make_vocabulary(counts)
-    table = as_table(first_parameters(np.bincount(vocabulary.classes, weights=counts, minlength=CLASSES)))
+    table = as_table(first_parameters(np.bincount(vocabulary.classes, weights=counts, minlength=CLASSES)), vocabulary.odds)
     squares = np.full(len(table), 1e-2, np.float32)
     shards = max(1, -(-int(counts.sum()) // SHARD_WORDS))
     if counts.any():
         folder = shared_folder(docs.sparkSession)
         shards_of(docs, text, shards).write.partitionBy("round").parquet(folder)
-        for k in range(rounds):
+        for _ in range(rounds):
             for i in range(-(-shards // SHARDS)):
-                table, squares = train_round(docs.sparkSession.read.parquet(f"{folder}/round={i}"), vocabulary, table, squares, k, batch)
-    return Model(vocabulary, parameters_of(table))
+                table, squares = train_round(docs.sparkSession.read.parquet(f"{folder}/round={i}"), vocabulary, table, squares, batch)
+    return Model(vocabulary, table)
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]

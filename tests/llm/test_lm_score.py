@@ -89,7 +89,7 @@ def test_a_row_met_in_one_shard_keeps_what_it_learned(spark):
     other = [(100 + i, " ".join(f"z{w}" for w in rng.choice(list("ijklmnop"), 120))) for i in range(32)]
     docs = spark.createDataFrame(own + other, "doc_id long, text string")
     vocabulary = lm.make_vocabulary(lm.word_counts(docs, "text"))
-    table = lm.as_table(lm.first_parameters(np.ones(lm.CLASSES)))
+    table = lm.as_table(lm.first_parameters(np.ones(lm.CLASSES)), vocabulary.odds)
     squares = np.full(len(table), 1e-2, np.float32)
 
     def moved(rows):
@@ -97,10 +97,35 @@ def test_a_row_met_in_one_shard_keeps_what_it_learned(spark):
         made = shards[0]
         for s in shards[1:]:
             made = made.unionAll(s)
-        return lm.train_round(made, vocabulary, table, squares, 0, 32)[0] - table
+        return lm.train_round(made, vocabulary, table, squares, 32)[0] - table
 
     alone, beside = moved([own]), moved([own, *[other[i::4] for i in range(4)]])
     buckets, _ = lm.buckets_of([b"a ax ay b bx by"])
     rows = lm.PLACES[:, None] + vocabulary.inputs[buckets]
     size = np.abs(alone[rows]).sum()
     assert size > 0 and np.abs(beside[rows] - alone[rows]).sum() < 0.01 * size
+
+
+def test_context_tells_rare_words_apart(spark):
+    """150 words beyond the own classes, each with its own neighbours: the word, not a share of its class."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"l{w} m{w} r{w}" for w in rng.integers(0, 150, 40)) for _ in range(300)]
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=3, batch=64)
+    buckets, first = lm.buckets_of([t.encode() for t in texts[:50]])
+    known = model.vocabulary
+    beyond = known.classes[buckets] >= lm.OWN_CLASSES
+    assert beyond.mean() > 0.5
+    hidden, _ = lm.log_classes(model.parameters, lm.contexts(known.inputs[buckets], first))
+    word, node, side = known.path(buckets)
+    chance = lm.chance((model.table[lm.NODES + node, :-1] * hidden[word]).sum(axis=1) + model.table[lm.NODES + node, -1])
+    step = np.bincount(word, np.log(np.where(side, chance, 1 - chance)), len(buckets))
+    assert step[beyond].mean() > known.log_share[buckets][beyond].mean() + 0.5
+
+
+def test_probabilities_of_all_words_add_up_to_one(pattern):
+    _, model = pattern
+    hidden, logs = lm.log_classes(model.parameters, np.full((2 * lm.WINDOW, 1), lm.INPUTS))
+    word, node, side = model.vocabulary.path(np.arange(lm.BUCKETS))
+    odds = model.table[lm.NODES + node, :-1] @ hidden[0].astype(np.float64) + model.table[lm.NODES + node, -1]
+    step = np.bincount(word, -np.logaddexp(0, np.where(side, -odds, odds)), lm.BUCKETS)
+    assert np.exp(logs[0][model.vocabulary.classes] + step).sum() == pytest.approx(1, abs=1e-3)
