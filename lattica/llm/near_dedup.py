@@ -7,7 +7,8 @@ empty texts have none and are a class each.
 
 Each shingle is a Poisson process whose rate is its weight; an arrival hits a random register
 and the earliest arrival there names its shingle. A text's processes stop once they are later
-than all its registers, so registers agree with the probability Jaccard of two texts. Bands
+than all its registers, so registers agree with the probability Jaccard of two texts; registers
+of the same shingles without their counts agree with the plain Jaccard. Bands of either kind
 of registers make buckets. A link needs, by exact comparison of the shingles, a probability
 Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
 
@@ -15,14 +16,14 @@ Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
 2. In buckets that still hold several classes, texts of different classes are compared by
    their registers, in blocks of bounded size (a bucket of n texts becomes (n / BLOCK)^2 / 2
    pieces of work, wherever they run), first by the banded ones, then by LONG further ones.
-   Only pairs that agree in at least the share that 0.8 less four standard errors leaves are
-   compared exactly, each in its first common bucket.
+   Only pairs that agree, in registers of one kind, in at least the share that 0.8 less four
+   standard errors leaves are compared exactly, each in its first common bucket.
 
 So no pair of a bucket is lost that a link does not already join, and what leaves a block are
 near misses only. Equal texts are one node (a 64-bit hash of the text) from the start, so
 copies make no pairs. A class's id is its least doc_id (nulls last). Repeated rows belong to
-one class and each gets a row. With 32 bands of 6 registers a pair at exactly 0.8 shares no
-bucket with probability 6e-5, one at 0.85 with 3e-7.
+one class and each gets a row. With 32 bands of 6 registers of each kind a pair at exactly 0.8 by
+either Jaccard shares no bucket with probability 6e-5 at most, one at 0.85 with 3e-7.
 """
 
 from __future__ import annotations
@@ -114,6 +115,17 @@ def prob_min_hash(n_texts: int, doc: np.ndarray, shingle: np.ndarray, weight: np
     return winner.reshape(n_texts, registers)
 
 
+def plain_min_hash(winner: np.ndarray, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The registers that prob_min_hash makes of the shingles without their counts, from those with them, and which texts repeat a shingle."""
+    n, registers = winner.shape
+    again = np.bincount(doc[weight > 1], minlength=n) > 0
+    own = again[doc]
+    place = np.cumsum(again) - 1
+    out = winner.copy()
+    out[again] = prob_min_hash(int(again.sum()), place[doc[own]], shingle[own], np.ones(int(own.sum())), registers)
+    return out, again
+
+
 def band_hashes(winner: np.ndarray, bands: int, rows: int) -> np.ndarray:
     split = winner.reshape(len(winner), bands, rows)
     total = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=_U)), (len(winner), bands)).copy()
@@ -141,9 +153,12 @@ def _sketch_kernel(bands: int, rows: int) -> Callable[[], Callable]:
             doc, shingle, weight = weighted_shingles(texts)
             some = np.bincount(doc, minlength=len(texts))
             winner = prob_min_hash(len(texts), doc, shingle, weight, bands * rows)
-            made = band_hashes(winner, bands, rows).view(np.int64)
-            made = pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * bands, bands, dtype=np.int32), made.ravel())
-            short = mix64(winner).astype(np.uint8)
+            plain, again = plain_min_hash(winner, doc, shingle, weight)
+            made = np.concatenate([band_hashes(winner, bands, rows), band_hashes(plain, bands, rows)], axis=1).view(np.int64)
+            own = np.ones(made.shape, bool)
+            own[~again, bands:] = False  # without repeated shingles both are the same
+            made = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32), made[own])
+            short = mix64(np.concatenate([winner, plain], axis=1)).astype(np.uint8)
             return [some, made, [x.tobytes() for x in short]]
 
         return kernel
@@ -204,8 +219,8 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
         low, high, band = rows_[0][1], rows_[0][2], rows_[0][4]
         mine = np.array([r[3] for r in rows_])
         node, root = (np.array([r[k] for r in rows_], np.int64) for k in (5, 6))
-        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint8).reshape(len(rows_), bands * rows)
-        long = np.frombuffer(b"".join(r[8] for r in rows_), np.uint8).reshape(len(rows_), LONG)
+        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint8).reshape(len(rows_), 2, bands * rows)
+        long = np.frombuffer(b"".join(r[8] for r in rows_), np.uint8).reshape(len(rows_), 2, LONG)
         for i in range(len(rows_)):
             if mine[i] != low:
                 break
@@ -214,10 +229,10 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
             if not len(to):
                 continue
             same = short[to] == short[i]
-            near = np.flatnonzero(same.mean(axis=1) >= least)
-            common = same[near].reshape(len(near), bands, rows).all(axis=2)
+            near = np.flatnonzero((same.mean(axis=2) >= least).any(axis=1))
+            common = same[near].reshape(len(near), 2 * bands, rows).all(axis=2)
             near = to[near[common.argmax(axis=1) == band]]
-            for j in near[(long[near] == long[i]).mean(axis=1) >= least_long].tolist():
+            for j in near[((long[near] == long[i]).mean(axis=2) >= least_long).any(axis=1)].tolist():
                 yield max(node[i], node[j]), min(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +252,7 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
 
 
 def _long_sketches(profiles: DataFrame) -> DataFrame:
-    """node, long: LONG registers of each profile, a byte each."""
+    """node, long: LONG registers of each profile with counts and LONG without, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +260,9 @@ def _long_sketches(profiles: DataFrame) -> DataFrame:
                 part = batch.slice(at, 16)
                 made = [_profile(s, c) for s, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 doc = np.repeat(np.arange(len(made)), [len(s) for s, _ in made])
-                winner = prob_min_hash(len(made), doc, np.concatenate([s for s, _ in made]), np.concatenate([c for _, c in made]), LONG)
+                shingle, weight = np.concatenate([s for s, _ in made]), np.concatenate([c for _, c in made])
+                winner = prob_min_hash(len(made), doc, shingle, weight, LONG)
+                winner = np.concatenate([winner, plain_min_hash(winner, doc, shingle, weight)[0]], axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in mix64(winner).astype(np.uint8)], pa.binary())], names=["node", "long"])
 
     return profiles.select("node", "shingles", "counts").mapInArrow(run, "node long, long binary")

@@ -81,3 +81,13 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in {v for a, b in links if a != b for v in (a, b)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_plain_links_between_texts_of_unequal_repetition(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(12):
+        base, passage = ([f"{x}{rng.randrange(10**7)}" for _ in range(n)] for x, n in (("u", 300), ("p", 20)))
+        rows += [(2 * k, " ".join(base + passage)), (2 * k + 1, " ".join(base + passage * 40))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
