@@ -295,7 +295,7 @@ def shards_of(docs: DataFrame, text: str, shards: int) -> DataFrame:
         rows = sorted(zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True))
         ends = np.cumsum([len(w) // 4 for _, w in rows], dtype=np.int64)
         shard = table.column("shard")[0].as_py()
-        return pa.table({"round": pa.array([shard // SHARDS], pa.int64()), "shard": pa.array([shard], pa.int64()), "words": pa.array([b"".join(w for _, w in rows)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
+        return pa.table({"round": pa.array([shard % -(-shards // SHARDS)], pa.int64()), "shard": pa.array([shard], pa.int64()), "words": pa.array([b"".join(w for _, w in rows)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
 
     made = rows.mapInArrow(cut, "shard long, key long, words binary")
     return made.groupBy("shard").applyInArrow(join, "round long, shard long, words binary, ends binary")
@@ -339,7 +339,7 @@ def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, sq
         mean = (total[at] / used[at, None]).astype(np.float32)
         return pa.table({"rows": pa.array([(at + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
 
-    made = shards.select("words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
+    made = shards.repartitionByRange(SHARDS, "shard").select("words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
     found = made.groupBy("block").applyInArrow(add, "rows binary, change binary").toArrow()  # at most the table's size reaches the driver
     table, squares = table.copy(), squares.copy()
     for rows, change in zip(found.column("rows").to_pylist(), found.column("change").to_pylist(), strict=True):
