@@ -50,9 +50,10 @@ _SPACES = frozenset("br td th".split())
 _MARK = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 
 #: Parts of a compound name that keep it in, such as content-with-sidebar.
-KEPT_IN_NAMES = frozenset("article body container content entry has layout main page post story text with wrapper".split())
+KEPT_IN_NAMES = frozenset("article body container content entry has layout main overflow page post story text with wrapper".split())
 _PARTS = re.compile(r"[\s_-]+")
 
 #: Scores without labelled pages.
@@ -71,12 +72,21 @@ class Token:
     inside: bool
 
 
+def _is_hidden(attributes: str) -> bool:
+    """A hidden attribute, style with display:none, or aria-hidden=true; not these words in other values."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+    return False
+
+
 def _left_out(name: str, attributes: str, in_article: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not in_article:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attributes) and name != "input":
+    if name != "input" and _HIDDEN.search(attributes) and _is_hidden(attributes):
         return True
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():

@@ -54,3 +54,10 @@ def test_broken_markup_and_odd_rows(spark):
     assert got[4] == got[5] == got[6] == "" and got[7] == "text" and got[8] == "deep words" and got[9] == rows[9]
     assert got[11] == "A&bogus; &" and got[13] == got[14] == "same" and got[15] == "story words here"
     assert extract_main_text(pages.where("false")).count() == 0
+
+
+def test_only_hidden_elements_are_left_out():
+    words = "It rained all day, and the river rose over the old bridge before the evening came."
+    page = "<html><body><article>" + "".join(f"<div {a}><p>{words} {k}</p></div>" for k, a in (("kept1", 'class="overflow-hidden"'), ("kept2", 'style="overflow:hidden"'), ("kept3", 'title="the hidden river"'), ("gone1", "hidden"), ("gone2", 'style="display: none"'), ("gone3", 'aria-hidden="true"'))) + "</article></body></html>"
+    text = main_text(page, FALLBACK)
+    assert [k for k in ("kept1", "kept2", "kept3", "gone1", "gone2", "gone3") if k in text] == ["kept1", "kept2", "kept3"]
