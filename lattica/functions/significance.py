@@ -128,10 +128,12 @@ class TrialLedger:
     def n_trials(self) -> int:
         return len(self.trials)
 
-    def best(self) -> tuple[str, float]:
+    def best(self) -> tuple[int, float]:
+        """Place and Sharpe ratio of the best trial, the first of several."""
         if not self.trials:
             raise SignificanceError("no trials recorded")
-        return max(self.trials, key=lambda t: t[1])
+        ratios = [s for _, s in self.trials]
+        return ratios.index(max(ratios)), max(ratios)
 
     def report(self, winner_returns: Iterable[float]) -> SignificanceReport:
         return deflated_sharpe(winner_returns, [s for _, s in self.trials])

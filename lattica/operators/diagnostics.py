@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import PanelError
@@ -20,12 +20,16 @@ def _finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def correlations(rows: DataFrame, a: str, b: str, by: Sequence[str], min_breadth: int = MIN_BREADTH) -> DataFrame:
-    """Per group the Pearson correlation (ic) over rows with both, and their number (breadth);
-    NULL below min_breadth or without variance."""
-    both = rows.select(*by, F.col(a).alias("x"), F.col(b).alias("y")).withColumns({"x": F.when(F.col("y").isNotNull(), F.col("x")), "y": F.when(F.col("x").isNotNull(), F.col("y"))})
-    out = both.groupBy(*by).agg(F.count("x").alias("breadth"), F.covar_pop("x", "y").alias("__c"), F.stddev_pop("x").alias("__x"), F.stddev_pop("y").alias("__y"))
-    ic = F.try_divide(F.col("__c"), F.nullif(F.col("__x") * F.col("__y"), F.lit(0.0)))
+def rank_correlations(rows: DataFrame, a: str, b: str, by: Sequence[str], min_breadth: int = MIN_BREADTH) -> DataFrame:
+    """Per group the Pearson correlation (ic) of two columns of ranks over rows with both, and their
+    number (breadth); NULL below min_breadth or without variance. Ranks are halves, so twice their
+    values are integers and their sums exact: a correlation of zero is zero, whatever the order of rows."""
+    twice = lambda c: F.round(F.col(c) * 2).cast("decimal(18,0)")
+    both = rows.select(*by, twice(a).alias("x"), twice(b).alias("y")).withColumns({"x": F.when(F.col("y").isNotNull(), F.col("x")), "y": F.when(F.col("x").isNotNull(), F.col("y"))})
+    x, y = F.col("x"), F.col("y")
+    out = both.groupBy(*by).agg(F.count(x).alias("breadth"), *[F.sum(v.cast("decimal(28,0)")).alias(n) for n, v in (("__x", x), ("__y", y), ("__xx", x * x), ("__yy", y * y), ("__xy", x * y))])
+    centred = lambda p, q, r: (F.col("breadth").cast("decimal(10,0)") * F.col(r).cast("decimal(28,0)") - F.col(p).cast("decimal(18,0)") * F.col(q).cast("decimal(18,0)")).cast("double")
+    ic = F.try_divide(centred("__x", "__y", "__xy"), F.nullif(F.sqrt(centred("__x", "__x", "__xx") * centred("__y", "__y", "__yy")), F.lit(0.0)))
     return out.select(*by, F.when(F.col("breadth") >= min_breadth, ic).alias("ic"), "breadth")
 
 
@@ -35,14 +39,15 @@ def _ranked(panel: DataFrame, signal: Signal, price: str, horizons: Sequence[int
         raise PanelError("horizon and execution_lag must be at least 1")
     forward = {h: field_of(price).forward_returns(h, skip=lag - 1) for h in horizons}
     clean = Signal("finite", (signal,), lambda k, a: _finite(a))
-    return add_signals(panel, {"__rank": cs_rank(clean, least), **{f"__f{h}": f for h, f in forward.items()}, **{f"__r{h}": cs_rank(f, least) for h, f in forward.items()}})
+    ranks = {"__rank": cs_rank(clean, least, pct=False), **{f"__r{h}": cs_rank(f, least, pct=False) for h, f in forward.items()}}
+    return add_signals(panel, ranks | {"__share": cs_rank(clean, least), **{f"__f{h}": f for h, f in forward.items()}})
 
 
 def information_coefficient(panel: DataFrame, signal: Signal, price: str, horizons: Sequence[int] = (1,), execution_lag: int = 1, min_breadth: int = MIN_BREADTH) -> DataFrame:
     """horizon, t, ic, breadth; all horizons in one pass over the panel."""
     rows = _ranked(panel, signal, price, horizons, execution_lag, min_breadth)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__r{h}").alias("target")) for h in horizons]))
-    return correlations(rows.select("t", "__rank", each.alias("h")).select("t", "__rank", "h.horizon", "h.target"), "__rank", "target", ["horizon", "t"], min_breadth)
+    return rank_correlations(rows.select("t", "__rank", each.alias("h")).select("t", "__rank", "h.horizon", "h.target"), "__rank", "target", ["horizon", "t"], min_breadth)
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
@@ -66,10 +71,10 @@ def quantile_spread(panel: DataFrame, signal: Signal, price: str, n_quantiles: i
     if n_quantiles < 2:
         raise PanelError(f"need at least 2 quantiles, got {n_quantiles}")
     rows = _ranked(panel, signal, price, (horizon,), execution_lag, min_breadth)
-    both = rows.where(F.col("__rank").isNotNull() & F.col(f"__f{horizon}").isNotNull())
-    wide = both.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_breadth).select("t")
-    bucket = F.least(F.floor(F.col("__rank") * n_quantiles), F.lit(n_quantiles - 1)).cast("int")
-    found = both.join(wide, "t", "left_semi").groupBy(bucket.alias("bucket")).agg(F.avg(f"__f{horizon}").alias("mean_return"), F.count("*").alias("n"))
+    both = rows.where(F.col("__share").isNotNull() & F.col(f"__f{horizon}").isNotNull())
+    bucket = F.least(F.floor(F.col("__share") * n_quantiles), F.lit(n_quantiles - 1)).cast("int")
+    wide = both.select(bucket.alias("bucket"), F.col(f"__f{horizon}").alias("f"), F.count("*").over(Window.partitionBy("t")).alias("breadth")).where(F.col("breadth") >= min_breadth)
+    found = wide.groupBy("bucket").agg(F.avg("f").alias("mean_return"), F.count("*").alias("n"))
     all_ = panel.sparkSession.range(n_quantiles).select(F.col("id").cast("int").alias("bucket"))
     return all_.join(found, "bucket", "left").select("bucket", "mean_return", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -113,9 +118,9 @@ class QuantileReport:
 
 def autocorrelation(panel: DataFrame, signal: Signal, lag: int = 1, min_breadth: int = MIN_BREADTH) -> DataFrame:
     """One row: mean over time of the rank correlation with the ranks `lag` rows before (0 if none)."""
-    rank = cs_rank(signal, min_breadth)
+    rank = cs_rank(signal, min_breadth, pct=False)
     rows = add_signals(panel, {"__now": rank, "__then": rank.shift(lag)})
-    return correlations(rows, "__now", "__then", ["t"], min_breadth).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("autocorrelation"))
+    return rank_correlations(rows, "__now", "__then", ["t"], min_breadth).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("autocorrelation"))
 
 
 def fundamental_law(ic: float, breadth: float, periods_per_year: int = 252, transfer_coefficient: float = 1.0) -> float:

@@ -61,6 +61,8 @@ def rolling_folds(n_times: int, train_size: int, test_size: int, warmup: int = 0
 
 
 def expanding_folds(n_times: int, initial_train: int, test_size: int, warmup: int = 0) -> list[Fold]:
+    if warmup >= initial_train:
+        raise PanelError(f"warmup {warmup} leaves nothing of a first training window of {initial_train}")
     if initial_train < 1 or test_size < 1 or n_times < initial_train + test_size:
         raise PanelError(f"{n_times} times do not hold one fold of {initial_train} + {test_size}")
     return [Fold(0, e, e, e + test_size, warmup) for e in range(initial_train, n_times - test_size + 1, test_size)]

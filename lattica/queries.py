@@ -66,6 +66,19 @@ def ranked(v: str = "v", k: str = "", least: int = 5) -> str:
   (rank() over (partition by {k}t order by {v} nulls last) + (count({v}) over (partition by {k}t, {v}) - 1) / 2.0 - 1) / nullif(count({v}) {w} - 1, 0) end"""
 
 
+def ordinal(v: str, k: str = "", least: int = 5) -> str:
+    """Twice the rank, an integer."""
+    w = f"over (partition by {k}t)"
+    return f"""case when {v} is null or count({v}) {w} < {least} then null else
+  2 * rank() over (partition by {k}t order by {v} nulls last) + count({v}) over (partition by {k}t, {v}) - 1 end"""
+
+
+def exact(x: str = "x", y: str = "y", least: int = 5) -> str:
+    """Pearson correlation of integers where both are there, from exact sums."""
+    pair = lambda p, q, r: f"cast(count({x}) * sum(cast({r} as hugeint)) - sum({p}) * sum({q}) as double)"
+    return f"case when count({x}) >= {least} then {pair(x, y, f'{x} * {y}')} / nullif(sqrt({pair(x, x, f'{x} * {x}')} * {pair(y, y, f'{y} * {y}')}), 0) end"
+
+
 def each(v: str, base: str = BRAND, value: str = "close") -> str:
     """(t, asset, v) of an expression over the panel."""
     return f"with {base}, s as (select t, asset, {v} as v from (select *, {value} as x from panel)) select t, asset, round(v, 6) + 0.0 as v from s"
@@ -258,11 +271,11 @@ _HORIZONS = (1, 2, 5)
 
 def _ic(horizons: tuple[int, ...], signal: str = "s1.c") -> str:
     parts = [
-        f"""select {h} as horizon, t, asset, {ranked("c")} as a, {ranked("f")} as b from (select *, {change(3)} as c, (lead(close, {h}) {A} - close) / nullif(close, 0) as f from panel)"""
+        f"""select {h} as horizon, t, asset, {ordinal("c")} as a, {ordinal("f")} as b from (select *, {change(3)} as c, (lead(close, {h}) {A} - close) / nullif(close, 0) as f from panel)"""
         for h in horizons
     ]
     return f"""r as ({" union all ".join(parts)}), j as (select horizon, t, case when b is not null then a end as x, case when a is not null then b end as y from r),
-ics as (select horizon, t, count(x) as breadth, case when count(x) >= 5 then covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) end as ic from (select horizon, t, case when x is not null and y is not null then x end as x, case when x is not null and y is not null then y end as y from j) group by horizon, t)"""
+ics as (select horizon, t, count(x) as breadth, {exact()} as ic from j group by horizon, t)"""
 
 
 CHANGE = CLOSE.pct_change(3)
@@ -293,9 +306,9 @@ def quantile_spread(spark, sf_dir):
     return diagnostics.quantile_spread(brand_months(spark, sf_dir), CHANGE, "close").withColumns(_six("mean_return"))
 
 
-@query(f"""with {SUPPLIER}, r as (select t, asset, {ranked("c")} as a from (select *, {change(3)} as c from panel)), l as (select t, a, lag(a) {A} as b from r),
+@query(f"""with {SUPPLIER}, r as (select t, asset, {ordinal("c")} as a from (select *, {change(3)} as c from panel)), l as (select t, a, lag(a) {A} as b from r),
 j as (select t, case when b is not null then a end as x, case when a is not null then b end as y from l),
-c as (select t, case when count(x) >= 5 then covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) end as ic from j group by t)
+c as (select t, {exact()} as ic from j group by t)
 select round(coalesce(avg(ic), 0), 6) + 0.0 as autocorrelation from c""")
 def rank_autocorrelation(spark, sf_dir):
     return diagnostics.autocorrelation(supplier_weeks(spark, sf_dir), CHANGE).withColumns(_six("autocorrelation"))

@@ -29,6 +29,8 @@ NO_SESSION_FLAGS = ("NT", "SU", "MP", "HA")
 DELISTING_PAYMENT_FLAGS = ("DA", "DP", "DM")
 #: Columns that hold a delisting return, in order of preference.
 DELISTING_COLUMNS = ("dlret", "delret", "delistingreturn", "dlyret")
+#: Columns of the same files that hold a code or an amount; a return is never read from them.
+NO_RETURN_COLUMNS = ("delrettype", "delamt")
 
 _ORDER = ("__file", "__block", "__row")
 
@@ -160,7 +162,9 @@ def load_delistings(spark: SparkSession, path: str) -> DataFrame:
     raw = read_raw(spark, path, ("permno",))
     column = next((c for c in DELISTING_COLUMNS if c in raw.columns), None)
     if column is None:
-        raise DataError(f"{path} has no delisting-return column (tried {list(DELISTING_COLUMNS)})")
+        other = [c for c in NO_RETURN_COLUMNS if c in raw.columns]
+        hint = f"; {other} hold a type or an amount, not a return" if other else ""
+        raise DataError(f"{path} has no delisting-return column (tried {list(DELISTING_COLUMNS)}){hint}")
     rows = raw.select(key("permno").alias("asset"), numeric(column).alias("r"), *_ORDER).where("r is not null")
     return rows.groupBy("asset").agg(F.max_by("r", F.struct(*_ORDER)).alias("delist_ret"))
 

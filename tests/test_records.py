@@ -70,7 +70,7 @@ def test_significance(spark):
     ledger = sig.TrialLedger()
     for i, r in enumerate(noise):
         ledger.record(r, str(i))
-    winner = noise[int(ledger.best()[0])]
+    winner = noise[ledger.best()[0]]
     report = ledger.report(winner)
     assert report.probabilistic > 0.95 and not report.survives_deflation
     strong = [rng.gauss(0.0018, 0.012) for _ in range(2000)]
