@@ -1,31 +1,37 @@
 """Masked pseudo-likelihood from a bidirectional window network.
 
 Each word of a text is predicted from the WINDOW words on both of its sides; the conditional
-log-probabilities of all words add up to the text's score. The network (position-wise
-embeddings, one tanh layer, hierarchical softmax) predicts the word itself: first a class (the
-commonest words are one each, a hash deals the others), then the sides of a Huffman tree of
-the class's words. Each inner node has weights of its own and sees both sides of the word; they
-start at zero and the shares that counts give.
-
-What is gathered from the corpus covers all of it: word counts of every text, and training on
-every word of every text, predicted from its neighbours only. Words are hashed to a
-fixed number of buckets, so counts and parameters have a fixed size however large the corpus.
-Texts are dealt by a hash of their rows to shards of about SHARD_WORDS words. A shard trains its
-own copy in numpy, text after text; SHARDS copies are then averaged, each parameter row by the
-words that moved it, and the next shards go on from there. So steps grow with the corpus, and
-the parameters do not depend on how the input is partitioned.
+log-probabilities of all words add up to the text's score. The network (embeddings by position,
+one tanh layer, a weight vector and a bias for every word of the vocabulary) says how much
+likelier than by its share of the corpus a word is between its neighbours:
+p(w | c) = share(w) exp(s(w, c)) / Z(c). Z(c), the mean of exp(s) over words drawn by share, is
+taken over DRAWS fixed draws at even steps of the cumulative shares, so scores do not depend on
+chance, batches or partitions. Training is sampled softmax: a batch shares NOISE words drawn
+by share, against which each of its words is told apart. Outputs start at zero, that is at the
+shares.
+
+What is gathered from the corpus covers all of it: counts of every word, and training on every
+word of every text, predicted from its neighbours only. The commonest words, OWN at most, are
+vocabulary entries of their own (words as common as the first one that does not fit are left
+out together, so ties do not depend on order); the others are dealt by a hash to SHARED further
+entries, in which each counts an equal share. Parameters have a fixed size however large the
+corpus. Texts are dealt by a hash of their rows to shards of about SHARD_WORDS words. A shard
+trains its own copy in numpy, text after text; the copies of a round are then averaged, each
+parameter row by the words that moved it, and the next round goes on from there. Of n shards,
+about sqrt(n) train at once in about sqrt(n) rounds: both steps and parallelism grow with the
+corpus, and the parameters do not depend on how the input is partitioned.
 
 Words are what lies between ASCII white space, in lower case. Null, empty and wordless texts
-have no tokens, log_likelihood 0 and no mean. Rows never meet in scoring; repeated rows get
-equal scores. An empty corpus gives a model of equal shares.
+have no tokens, log_likelihood 0 and no mean. A very long text is scored and trained on whole (memory
+grows with the longest text of a task). Rows never meet in scoring; repeated rows get equal
+scores. An empty corpus gives a model of equal shares.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
-from math import log
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,181 +39,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import chunks, map_texts, mix64, shared_folder, words_of
-
-BUCKETS = 1 << 18
-#: Classes that the network predicts: the commonest buckets one each, the others by hash.
-CLASSES = 128
-OWN_CLASSES = 96
-#: Context words the network knows: the commonest buckets, others by hash; one more stands for none.
-INPUTS = 4096
-OWN_INPUTS = 3840
-WINDOW = 3
-WIDTH = 24
-ROUNDS = 1
-BATCH = 512
-RATE = 0.08
-#: Words of a shard, which is trained in order by one task, and shards between which changes are averaged.
+from lattica.llm.common import chunks, map_texts, mix64, shared_folder, words_of, written
+
+#: Vocabulary entries: the commonest words have their own, others share.
+OWN = 1 << 18
+SHARED = 1 << 15
+#: Context words the network knows: the commonest entries, others by hash; one more stands for none.
+INPUTS = 8192
+OWN_INPUTS = 7680
+WINDOW = 2
+WIDTH = 23  # and a bias: 24 numbers a row
+BATCH = 1024
+NOISE = 96
+DRAWS = 512
+RATE = 0.1
+#: Words of a shard, which is trained in order by one task.
 SHARD_WORDS = 1_000_000
-SHARDS = 16
 #: Rows of the table whose changes are added up together.
 BLOCK = 4096
 EMBEDDINGS = 2 * WINDOW * (INPUTS + 1)
-NODES = EMBEDDINGS + 1 + CLASSES
+WORDS = EMBEDDINGS + 1
 PLACES = np.arange(2 * WINDOW, dtype=np.int32) * (INPUTS + 1)
 
 _U = np.uint64
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else 32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 
 
-def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, and each text's first word."""
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and each text's first word."""
     words = words_of(texts, _LOWER, fold_latin=True)
-    return (words.hashes % _U(BUCKETS)).astype(np.int64), words.first
+    return words.hashes, words.first
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """By bucket: class, log share of its class, and input. Each class is a tree of its buckets, whose inner
-    nodes are numbered from BUCKETS on. By node (a bucket or an inner one): parent, -1 at a root, and which
-    side of it; by inner node: the log odds of its first side."""
+    """known: hashes of the words with entries of their own, sorted, and their entries (by commonness).
+    log_share: of a word, by entry. draw: cumulative shares of the entries. inputs: the context word of each entry."""
 
-    classes: np.ndarray
+    known: np.ndarray
+    entry: np.ndarray
     log_share: np.ndarray
+    draw: np.ndarray
     inputs: np.ndarray
-    parent: np.ndarray
-    side: np.ndarray
-    odds: np.ndarray
-
-    @cached_property
-    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inner nodes (from 0) above each bucket, the sides it is on, and where each bucket's begin."""
-        owners, nodes, sides = [], [], []
-        owner = at = np.arange(BUCKETS)
-        while True:
-            going = self.parent[at] >= 0
-            owner, at = owner[going], at[going]
-            if not len(at):
-                break
-            owners.append(owner)
-            sides.append(self.side[at])
-            at = self.parent[at]
-            nodes.append(at - BUCKETS)
-        if not owners:
-            return np.empty(0, np.int32), np.empty(0, bool), np.zeros(BUCKETS + 1, np.int64)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(nodes)[order].astype(np.int32), np.concatenate(sides)[order], np.searchsorted(owner[order], np.arange(BUCKETS + 1))
-
-    def path(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, inner node, is on its first side) of all inner nodes above the words' buckets, words in order."""
-        nodes, sides, begin = self.paths
-        size = begin[buckets + 1] - begin[buckets]
-        word = np.repeat(np.arange(len(buckets)), size)
-        at = np.arange(len(word)) + np.repeat(begin[buckets] - np.cumsum(size) + size, size)
-        return word, nodes[at], sides[at]
-
-
-def make_tree(classes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman trees of each class's buckets: parent, side, odds."""
-    parent, side, odds = [-1] * (2 * BUCKETS), [False] * (2 * BUCKETS), [0.0] * BUCKETS
-    new = BUCKETS
-    order = np.lexsort((np.arange(BUCKETS), weight, classes))
-    for own in np.split(order, np.flatnonzero(np.diff(classes[order])) + 1):
-        leaves, sizes = own.tolist(), weight[own].tolist()
-        inner: list[tuple[float, int]] = []  # grows in order of size
-        i = k = 0
-        for _ in range(len(leaves) - 1):
-            two = []
-            for _ in range(2):
-                if i < len(leaves) and (k == len(inner) or sizes[i] <= inner[k][0]):
-                    two.append((sizes[i], leaves[i]))
-                    i += 1
-                else:
-                    two.append(inner[k])
-                    k += 1
-            (a, x), (b, y) = two
-            parent[x] = parent[y] = new
-            side[x] = True
-            odds[new - BUCKETS] = log(a / b)
-            inner.append((a + b, new))
-            new += 1
-    return np.array(parent, np.int32), np.array(side), np.array(odds, np.float32)
-
-
-def make_vocabulary(counts: np.ndarray) -> Vocabulary:
-    order = np.lexsort((np.arange(BUCKETS), -counts))
-    rank = np.empty(BUCKETS, np.int64)
-    rank[order] = np.arange(BUCKETS)
-    other = mix64(np.arange(BUCKETS, dtype=_U))
-    classes = np.where(rank < OWN_CLASSES, rank, OWN_CLASSES + (other % _U(CLASSES - OWN_CLASSES)).astype(np.int64))
-    inputs = np.where(rank < OWN_INPUTS, rank, OWN_INPUTS + (other % _U(INPUTS - OWN_INPUTS)).astype(np.int64))
-    weight = counts + 0.5
-    total = np.bincount(classes, weights=weight, minlength=CLASSES)
-    return Vocabulary(classes.astype(np.uint8), np.log(weight / total[classes]).astype(np.float32), inputs.astype(np.int32), *make_tree(classes, weight))
-
-
-def first_parameters(class_counts: np.ndarray) -> list[np.ndarray]:
-    """Embeddings by position, hidden bias, output weights, output bias (log shares of the classes)."""
-    rng = np.random.default_rng(7)
-    share = (class_counts + 1) / (class_counts + 1).sum()
-    return [
-        (rng.standard_normal((2 * WINDOW, INPUTS + 1, WIDTH)) * 0.1).astype(np.float32),
-        np.zeros(WIDTH, np.float32),
-        (rng.standard_normal((WIDTH, CLASSES)) * 0.1).astype(np.float32),
-        np.log(share).astype(np.float32),
-    ]
+
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each word."""
+        other = (len(self.known) + (hashes % _U(SHARED))).astype(np.int32)
+        if not len(self.known):
+            return other
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.entry[at], other)
+
+    def drawn(self, places: np.ndarray) -> np.ndarray:
+        """Entries at places (0 to 1) of the cumulative shares."""
+        return np.minimum(np.searchsorted(self.draw, places, "right"), len(self.draw) - 1)
+
+
+def make_vocabulary(hashes: np.ndarray, counts: np.ndarray, shared_counts: np.ndarray, shared_words: np.ndarray) -> Vocabulary:
+    """From the words with entries of their own, and by shared entry the occurrences and number of the others."""
+    order = np.lexsort((hashes, -counts))
+    entry = np.empty(len(hashes), np.int32)
+    entry[order] = np.arange(len(hashes), dtype=np.int32)
+    by_hash = np.argsort(hashes)
+    weight = np.concatenate([counts[order], shared_counts]) + 0.5
+    share = weight / weight.sum()
+    log_share = np.log(share)
+    log_share[len(hashes) :] -= np.log(np.maximum(shared_words, 1))
+    each = np.arange(len(weight))
+    inputs = np.where(each < min(OWN_INPUTS, len(hashes)), each, OWN_INPUTS + (mix64(each.astype(_U)) % _U(INPUTS - OWN_INPUTS)).astype(np.int64))
+    return Vocabulary(hashes[by_hash], entry[by_hash], log_share.astype(np.float32), np.cumsum(share), inputs.astype(np.int32))
+
+
+def first_table(entries: int) -> np.ndarray:
+    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, words (at zero)."""
+    table = np.zeros((WORDS + entries, WIDTH + 1), np.float32)
+    table[:EMBEDDINGS, :WIDTH] = np.random.default_rng(7).standard_normal((EMBEDDINGS, WIDTH)) * 0.1
+    return table
 
 
 def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Inputs at the 2 * WINDOW places around each word; INPUTS beyond the text's ends."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.full((2 * WINDOW, len(inputs)), INPUTS, np.int32)
+    """Rows of the embeddings at the 2 * WINDOW places around each word; the last of a place beyond the text's ends."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    out = np.empty((2 * WINDOW, len(inputs)), np.int32)
     places = [o for o in range(-WINDOW, WINDOW + 1) if o]
-    for row, o in zip(out, places, strict=True):
+    for row, o, base in zip(out, places, PLACES.tolist(), strict=True):
+        row[:] = base + INPUTS
         n = len(inputs) - abs(o)
         if n > 0:
             at, to = (slice(0, n), slice(-o, None)) if o < 0 else (slice(o, None), slice(0, n))
-            row[to] = np.where(doc[at] == doc[to], inputs[at], INPUTS)
+            row[to] = np.where(doc[at] == doc[to], base + inputs[at], base + INPUTS)
     return out
 
 
-def log_classes(parameters: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of all classes."""
-    embeddings, bias, weights, shares = parameters
-    hidden = embeddings[0][around[0]]
-    for e, ids in zip(embeddings[1:], around[1:], strict=True):
-        hidden += e[ids]
-    hidden += bias
+def hidden_layer(table: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """tanh of the summed embeddings, and a column of ones for the words' biases."""
+    hidden = table[around[0]]
+    for ids in around[1:]:
+        hidden += table[ids]
+    hidden += table[EMBEDDINGS]
     np.tanh(hidden, out=hidden)
-    logits = hidden @ weights
-    logits += shares
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return hidden, logits
-
-
-def as_table(parameters: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
-    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, classes,
-    inner nodes (which start without weights, at the shares that counts give)."""
-    embeddings, bias, weights, shares = parameters
-    table = np.zeros((NODES + BUCKETS, WIDTH + 1), np.float32)
-    table[:EMBEDDINGS, :WIDTH] = embeddings.reshape(-1, WIDTH)
-    table[EMBEDDINGS, :WIDTH] = bias
-    table[EMBEDDINGS + 1 : NODES, :WIDTH] = weights.T
-    table[EMBEDDINGS + 1 : NODES, WIDTH] = shares
-    table[NODES:, WIDTH] = odds
-    return table
-
-
-def parameters_of(table: np.ndarray) -> list[np.ndarray]:
-    """Views of the table in the shapes of first_parameters."""
-    classes = table[EMBEDDINGS + 1 : NODES]
-    return [table[:EMBEDDINGS].reshape(2 * WINDOW, INPUTS + 1, WIDTH + 1)[:, :, :WIDTH], table[EMBEDDINGS, :WIDTH], classes[:, :WIDTH].T, classes[:, WIDTH]]
-
-
-def chance(odds: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+    hidden[:, WIDTH] = 1
+    return hidden
 
 
 class Trainer:
@@ -215,77 +147,112 @@ class Trainer:
 
     def __init__(self, table: np.ndarray, squares: np.ndarray) -> None:
         self.table, self.squares = table.copy(), squares.copy()
-        self.parameters = parameters_of(self.table)
         self.used = np.zeros(len(table), np.int64)
 
-    def _step(self, rows: np.ndarray | slice, grad: np.ndarray, used: np.ndarray | int) -> None:
-        self.squares[rows] += (grad * grad).mean(axis=1)
-        self.table[rows] -= RATE * grad / np.sqrt(self.squares[rows])[:, None]
-        self.used[rows] += used
-
-    def learn(self, around: np.ndarray, buckets: np.ndarray, known: Vocabulary) -> None:
-        n = len(buckets)
-        hidden, logs = log_classes(self.parameters, around)
-        error = np.exp(logs)
-        error[np.arange(n), known.classes[buckets]] -= 1
-        back = np.zeros((n, WIDTH + 1), np.float32)
-        back[:, :WIDTH] = error @ self.parameters[2].T
-        word, node, first = known.path(buckets)
-        above, here = self.table[NODES + node], np.column_stack([hidden, np.ones(n, np.float32)])[word]
-        missed = chance(np.einsum("ij,ij->i", above, here)) - first
-        if len(word):
-            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            above *= missed[:, None]
-            back[word[begin], :WIDTH] += np.add.reduceat(above, begin, axis=0)[:, :WIDTH]
-        back[:, :WIDTH] *= 1 - hidden * hidden
-        here *= missed[:, None]
-        grad = np.concatenate([error.T @ hidden, error.sum(axis=0)[:, None]], axis=1)
-        self._step(slice(EMBEDDINGS + 1, NODES), grad / n, n)
-        self._step(slice(EMBEDDINGS, EMBEDDINGS + 1), back.mean(axis=0, keepdims=True), n)
-        self._step_some((around + PLACES[:, None]).ravel(), back, n)
-        self._step_some(NODES + node, here, len(node))
-
-    def _step_some(self, ids: np.ndarray, grad: np.ndarray, n: int) -> None:
-        """Moves each row of ids by the mean of its gradients, which repeat every n ids."""
-        if not len(ids):
+    def learn(self, around: np.ndarray, entries: np.ndarray, noise: np.ndarray) -> None:
+        n = len(entries)
+        hidden = hidden_layer(self.table, around)
+        own, other = self.table[WORDS + entries], self.table[WORDS + noise]
+        right = np.einsum("ij,ij->i", own, hidden)
+        wrong = hidden @ other.T
+        top = np.maximum(wrong.max(axis=1), right)
+        wrong -= top[:, None]
+        np.exp(wrong, out=wrong)
+        right = np.exp(right - top)
+        total = wrong.sum(axis=1)
+        total += right
+        wrong /= total[:, None]
+        miss = right / total - 1
+        back = wrong @ other
+        own *= miss[:, None]
+        back += own
+        back *= 1 - hidden * hidden  # the column of ones has no gradient
+        self._step(np.concatenate([WORDS + entries, WORDS + noise]), np.concatenate([hidden * miss[:, None], wrong.T @ hidden]), np.arange(n + len(noise)))
+        self._step(around.ravel(), back, np.tile(np.arange(n), len(around)))
+        self._step(np.full(n, EMBEDDINGS), back, np.arange(n))
+
+    def _step(self, rows: np.ndarray, grad: np.ndarray, of: np.ndarray) -> None:
+        """Moves each row by the sum of its gradients grad[of], over the root of their number."""
+        if not len(rows):
             return
-        order = np.argsort(ids)
-        own = ids[order]
+        order = np.argsort(rows, kind="stable")
+        own = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         often = np.diff(np.append(starts, len(own)))
-        self._step(own[starts], np.add.reduceat(grad[order % n], starts, axis=0) / often[:, None].astype(np.float32), often)
+        total = np.add.reduceat(grad[of[order]], starts, axis=0)
+        total /= np.sqrt(often)[:, None].astype(np.float32)
+        own = own[starts]
+        squares = self.squares[own] + np.einsum("ij,ij->i", total, total) / np.float32(WIDTH + 1)
+        self.squares[own] = squares
+        total *= (RATE / np.sqrt(squares))[:, None]
+        self.table[own] -= total
+        self.used[own] += often
 
+    def learn_texts(self, entries: np.ndarray, first: np.ndarray, known: Vocabulary, seed: int, batch: int) -> None:
+        rng = np.random.default_rng(seed)
+        around = contexts(known.inputs[entries], first)
+        for i in range(0, len(entries), batch):
+            self.learn(around[:, i : i + batch], entries[i : i + batch], known.drawn(rng.random(NOISE)))
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of every bucket over all texts, summed on the executors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, texts in chunks(batch, 0):
-                total += np.bincount(buckets_of(texts)[0], minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """hash, n: occurrences of every word over all texts, as a written table."""
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)  # at most BUCKETS rows reach the driver
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return counts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.empty(0, _U), np.empty(0, np.int64)
 
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
-def shards_of(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """round, shard, words, ends: the buckets of each shard's texts, in an order that does not depend on where they lie.
+        for batch in batches:
+            for _, texts in chunks(batch, 0, 1 << 23):
+                new, often = np.unique(hashes_of(texts)[0], return_counts=True)
+                every, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, often]), len(every)).astype(np.int64)
+                words = every
+                if len(words) > 1 << 20:
+                    yield rows()
+                    words, counts = np.empty(0, _U), np.empty(0, np.int64)
+        yield rows()
+
+    return written(docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+
+
+def learn_vocabulary(counts: DataFrame, own: int = OWN) -> tuple[Vocabulary, int]:
+    """The vocabulary of counted words, and how many words there are in all. The driver gets at most
+    3000 sizes, `own` words and SHARED sums."""
+    sized = counts.withColumn("size", F.floor(F.log2("n") * 64).cast("int"))
+    sizes = sorted(((r["size"], r.words, r.n) for r in sized.groupBy("size").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
+    least, taken = 1 << 30, 0
+    for size, words, _ in sizes:
+        taken += words
+        if taken > own:
+            break
+        least = size
+    common = sized.where(F.col("size") >= least).select("hash", "n").toArrow()
+    entry = F.col("hash").bitwiseAND(F.lit(SHARED - 1)).alias("entry")
+    rest = sized.where(F.col("size") < least).groupBy(entry).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    shared_counts, shared_words = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+    at = rest.column("entry").to_numpy()
+    shared_counts[at], shared_words[at] = rest.column("n").to_numpy(), rest.column("words").to_numpy()
+    made = make_vocabulary(common.column("hash").to_numpy().view(_U), common.column("n").to_numpy(), shared_counts, shared_words)
+    return made, sum(n for _, _, n in sizes)
+
+
+def shards_of(docs: DataFrame, text: str, vocabulary: Vocabulary, shards: int, rounds: int) -> DataFrame:
+    """round, shard, words, ends: the entries of each shard's texts, in an order that does not depend on where they lie.
 
     A text's shard is a hash of its row, so copies with ids of their own are spread; a row of the
     result holds about SHARD_WORDS words."""
     some = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = docs.select(F.xxhash64(*some).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # OWN + SHARED entries at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, 1):
-                buckets, first = buckets_of(texts)
-                made = buckets.astype(np.int32)
+                hashes, first = hashes_of(texts)
+                made = shared.value.entries(hashes)
                 key = part.column(0).to_numpy()
                 own = np.flatnonzero(np.diff(first))
                 words = [made[first[i] : first[i + 1]].tobytes() for i in own]
@@ -295,28 +262,25 @@ def shards_of(docs: DataFrame, text: str, shards: int) -> DataFrame:
         rows = sorted(zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True))
         ends = np.cumsum([len(w) // 4 for _, w in rows], dtype=np.int64)
         shard = table.column("shard")[0].as_py()
-        return pa.table({"round": pa.array([shard % -(-shards // SHARDS)], pa.int64()), "shard": pa.array([shard], pa.int64()), "words": pa.array([b"".join(w for _, w in rows)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
+        return pa.table({"round": pa.array([shard % rounds], pa.int64()), "shard": pa.array([shard], pa.int64()), "words": pa.array([b"".join(w for _, w in rows)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
 
     made = rows.mapInArrow(cut, "shard long, key long, words binary")
     return made.groupBy("shard").applyInArrow(join, "round long, shard long, words binary, ends binary")
 
 
-def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, squares: np.ndarray, size: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np.ndarray, squares: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
     """What the shards make of the table, each from the same start: a row's changes are averaged by the words
     that moved the row, so shards that never met it do not hold it back."""
     context = shards.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, table, squares))
+    shared = context.broadcast((vocabulary, table, squares))  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start, start_squares = shared.value
-        for batch in batches:
-            for words, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for rows in batches:
+            for shard, words, ends in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 trainer = Trainer(start, start_squares)
                 first = np.concatenate([[0], np.frombuffer(ends, np.int64)])
-                buckets = np.frombuffer(words, np.int32).astype(np.int64)
-                around = contexts(known.inputs[buckets], first)
-                for i in range(0, len(buckets), size):
-                    trainer.learn(around[:, i : i + size], buckets[i : i + size], known)
+                trainer.learn_texts(np.frombuffer(words, np.int32), first, known, shard, batch)
                 moved = np.flatnonzero(trainer.used)
                 cut = np.searchsorted(moved, np.arange(0, len(start) + BLOCK, BLOCK))
                 some = np.flatnonzero(np.diff(cut))
@@ -339,7 +303,7 @@ def train_round(shards: DataFrame, vocabulary: Vocabulary, table: np.ndarray, sq
         mean = (total[at] / used[at, None]).astype(np.float32)
         return pa.table({"rows": pa.array([(at + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
 
-    made = shards.repartitionByRange(SHARDS, "shard").select("words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
+    made = shards.repartitionByRange(tasks, "shard").select("shard", "words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
     found = made.groupBy("block").applyInArrow(add, "rows binary, change binary").toArrow()  # at most the table's size reaches the driver
     table, squares = table.copy(), squares.copy()
     for rows, change in zip(found.column("rows").to_pylist(), found.column("change").to_pylist(), strict=True):
@@ -355,41 +319,42 @@ class Model:
     vocabulary: Vocabulary
     table: np.ndarray
 
-    @property
-    def parameters(self) -> list[np.ndarray]:
-        return parameters_of(self.table)
+    def each(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The conditional log-probability of each word between its neighbours."""
+        known, out = self.vocabulary, np.empty(len(hashes))
+        entries = known.entries(hashes)
+        around = contexts(known.inputs[entries], first)
+        drawn = self.table[WORDS + known.drawn((np.arange(DRAWS) + 0.5) / DRAWS)]
+        for i in range(0, len(hashes), 2048):
+            own = entries[i : i + 2048]
+            hidden = hidden_layer(self.table, around[:, i : i + 2048])
+            right = np.einsum("ij,ij->i", self.table[WORDS + own], hidden)
+            others = hidden @ drawn.T
+            np.exp(others, out=others)
+            out[i : i + 2048] = known.log_share[own] + right - np.log(others.mean(axis=1))
+        return out
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and summed conditional log-probability of each text."""
-        buckets, first = buckets_of(texts)
-        known = self.vocabulary
-        around = contexts(known.inputs[buckets], first)
-        each = np.zeros(len(buckets))
-        for i in range(0, len(buckets), 2048):
-            own = buckets[i : i + 2048]
-            hidden, logs = log_classes(self.parameters, around[:, i : i + 2048])
-            word, node, side = known.path(own)
-            above = self.table[NODES + node]
-            odds = np.einsum("ij,ij->i", above[:, :WIDTH], hidden[word]) + above[:, WIDTH]
-            steps = -np.logaddexp(0, np.where(side, -odds, odds).astype(np.float64))
-            each[i : i + 2048] = logs[np.arange(len(logs)), known.classes[own]] + np.bincount(word, steps, len(own))
-        sums = np.concatenate([[0.0], np.cumsum(each)])
+        hashes, first = hashes_of(texts)
+        sums = np.concatenate([[0.0], np.cumsum(self.each(hashes, first))])
         return np.diff(first), sums[first[1:]] - sums[first[:-1]]
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch: int = BATCH) -> Model:
-    """rounds: passes over the corpus. Steps grow with the corpus: a pass takes SHARDS shards at a time."""
-    counts = word_counts(docs, text)
-    vocabulary = make_vocabulary(counts)
-    table = as_table(first_parameters(np.bincount(vocabulary.classes, weights=counts, minlength=CLASSES)), vocabulary.odds)
+def train(docs: DataFrame, text: str = "text", passes: int = 1, batch: int = BATCH) -> Model:
+    """passes: how often the corpus is gone through. Of n shards about sqrt(n) train at once."""
+    vocabulary, total = learn_vocabulary(word_counts(docs, text))
+    table = first_table(len(vocabulary.draw))
     squares = np.full(len(table), 1e-2, np.float32)
-    shards = max(1, -(-int(counts.sum()) // SHARD_WORDS))
-    if counts.any():
+    if total:
+        shards = ceil(total / SHARD_WORDS)
+        rounds = ceil(sqrt(shards))
         folder = shared_folder(docs.sparkSession)
-        shards_of(docs, text, shards).write.partitionBy("round").parquet(folder)
-        for _ in range(rounds):
-            for i in range(-(-shards // SHARDS)):
-                table, squares = train_round(docs.sparkSession.read.parquet(f"{folder}/round={i}"), vocabulary, table, squares, batch)
+        shards_of(docs, text, vocabulary, shards, rounds).write.partitionBy("round").parquet(folder)
+        for _ in range(passes):
+            for i in range(rounds):
+                some = docs.sparkSession.read.schema("shard long, words binary, ends binary").parquet(f"{folder}/round={i}")
+                table, squares = train_round(some, ceil(shards / rounds), vocabulary, table, squares, batch)
     return Model(vocabulary, table)
 
 
@@ -398,7 +363,7 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, log_likelihood and mean_log_likelihood to each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS, INPUTS and CLASSES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: OWN, SHARED and INPUTS
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(texts: list[bytes]) -> list:
