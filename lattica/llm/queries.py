@@ -78,7 +78,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.learn_potentials(docs), keep=["doc_id"])
-    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
