@@ -7,7 +7,11 @@ LONG parts, for which repeated scans would be quadratic, use a heap with the sam
 
 A tokenizer file holds a vocabulary, merges, a normaliser (NFC, white space to one space,
 lower case) and a word pattern; its path is a parameter and must be readable on executors.
-Null and empty texts have no ids and decode to "". Equal rows get equal results.
+Letters, numbers and lower case are those of the library (Unicode 16 patterns and Unicode 17
+lower-casing over this Python's tables, of Unicode 15.1), so that every code point is split as
+it splits it. Null and empty texts have no ids and decode to "". Very long texts and words are
+encoded whole: memory grows with the longest text of a task, time with its length (times its
+logarithm within a long word). Equal ranks merge leftmost first. Equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -32,16 +36,53 @@ LONG = 64
 #: Words a task remembers; at more it starts anew, with equal results.
 CACHE_WORDS = 400_000
 
-#: The word pattern of the file, for which there is a quicker equal on texts below U+0250.
+#: The word pattern of the file that is compiled to explicit sets of code points.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _NONE = np.int32(2**31 - 1)
 
+# What the library's Unicode 16 patterns and Unicode 17 lower-casing know beyond Unicode 15.1.
+#: First and last code point of further letters.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+#: First and last code point of further numbers.
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: First and last further capital, and the lower case of the first.
+CAPITALS_17 = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: White space of the pattern.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+_LOWER_17 = {c: to + c - first for first, last, to in CAPITALS_17 for c in range(first, last + 1)}
+_CAPITAL_17 = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS_17) + "]")
+
+
+def _set(category: str, more: tuple[tuple[int, int], ...], below: int) -> str:
+    """A character class of the code points whose category begins so, and of further ranges."""
+    ranges: list[list[int]] = []
+    extra = {c for a, b in more for c in range(a, b + 1)}
+    for c in range(below):
+        if unicodedata.category(chr(c))[0] == category or c in extra:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
 
-def _below_u0250() -> tuple[re.Pattern, re.Pattern]:
-    """The word pattern over explicit character sets, and what a text must not hold for it."""
-    letters, numbers = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
-    return re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^\s{letters}{numbers}]+"), re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+
+@lru_cache(maxsize=2)
+def _words(below: int) -> re.Pattern:
+    """The word pattern over explicit sets, for texts of code points below a bound."""
+    letters, numbers = _set("L", LETTERS_16, below), _set("N", NUMBERS_16, below)
+    return re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
 
 
 def byte_letters() -> list[str]:
@@ -61,8 +102,9 @@ class WordBPE:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in {**vocabulary, **self.added}.items()}
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.quick, self.beyond = _below_u0250() if self.pattern.pattern == _WORD_PATTERN else (None, None)
+        written = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = _words(0x110000) if written == _WORD_PATTERN else regex.compile(written)
+        self.quick = _words(0x250) if written == _WORD_PATTERN else self.pattern
         letters = byte_letters()
         self.inner = np.array([vocabulary[x] for x in letters], np.int32)
         self.last = np.array([vocabulary[x + self.suffix] for x in letters], np.int32)
@@ -165,11 +207,12 @@ class WordBPE:
     def normalize(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing goes by code point: no final form
+            text = _CAPITAL_17.sub(lambda m: chr(_LOWER_17[ord(m[0])]), text)
         return text.lower()
 
     def words(self, text: str) -> list[str]:
         text = self.normalize(text)
-        return (self.quick if self.quick and not self.beyond.search(text) else self.pattern).findall(text)
+        return (self.pattern if _BEYOND.search(text) else self.quick).findall(text)
 
     def pieces(self, text: str) -> Iterable[tuple[str, bool]]:
         """The text's words, and the added tokens that stand in it as such."""
@@ -212,7 +255,7 @@ class Memory:
         known = self.known
         split = []
         for text in texts:
-            if bpe.split_added and "<|" in text and bpe.split_added.search(text):
+            if any(token in text for token in bpe.added):
                 split.append([f"\0{w}" if added else w for w, added in bpe.pieces(text)])
             else:
                 split.append(bpe.words(text))

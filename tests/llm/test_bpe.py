@@ -40,6 +40,17 @@ def test_odd_texts_equal_library(docs_of, library):
         assert rows[i].n_tokens == len(rows[i].ids)
 
 
+def test_every_code_point_equals_library(library):
+    own = WordBPE(tokenizer_path())
+    memory = module.Memory(own)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 64):
+        some = points[at : at + 64]
+        text = " ".join(f"a{chr(c)}b{chr(c)}1 {chr(c)}" for c in some)
+        ids = np.frombuffer(memory.encode([text])[0][0], "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, hex(some[0])
+
+
 def test_long_words_and_full_cache(library, monkeypatch):
     own = WordBPE(tokenizer_path())
     rng = random.Random(2)
