@@ -1,12 +1,13 @@
 """Masked pseudo-likelihood from a bidirectional window network.
 
 Each word of a text is predicted from the WINDOW words on both of its sides; the conditional
-log-probabilities of all words add up to the text's score. The network (embeddings by position,
-one tanh layer, a weight vector and a bias for every word of the vocabulary) says how much
+log-probabilities of all words add up to the text's score. The network (embeddings of left and of
+right neighbours, nearer ones counting more, one tanh layer, a weight vector and a bias for every
+word of the vocabulary) says how much
 likelier than by its share of the corpus a word is between its neighbours:
-p(w | c) = share(w) exp(s(w, c)) / Z(c). Z(c), the mean of exp(s) over words drawn by share, is
-taken over DRAWS fixed draws at even steps of the cumulative shares, so scores do not depend on
-chance, batches or partitions. Training is sampled softmax: a batch shares NOISE words drawn
+p(w | c) = share(w) exp(s(w, c)) / Z(c). Z(c), the mean of exp(s) over words by share, is estimated
+from DRAWS fixed words, at even steps of the cumulative shares to the power FLATTER and weighted
+back, so scores do not depend on chance, batches or partitions. Training is sampled softmax: a batch shares NOISE words drawn
 by share, against which each of its words is told apart. Outputs start at zero, that is at the
 shares.
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil, sqrt
 
 import numpy as np
@@ -42,24 +44,25 @@ from pyspark.sql import types as T
 from lattica.llm.common import chunks, map_texts, mix64, shared_folder, words_of, written
 
 #: Vocabulary entries: the commonest words have their own, others share.
-OWN = 1 << 18
+OWN = 1 << 17
 SHARED = 1 << 15
 #: Context words the network knows: the commonest entries, others by hash; one more stands for none.
 INPUTS = 8192
 OWN_INPUTS = 7680
-WINDOW = 2
-WIDTH = 23  # and a bias: 24 numbers a row
+WINDOW = 3
+NEARNESS = (1.0, 0.7, 0.5)
+WIDTH = 15  # and a bias: 16 numbers a row
 BATCH = 1024
-NOISE = 96
-DRAWS = 512
-RATE = 0.1
+NOISE = 64
+DRAWS = 256
+FLATTER = 0.75
+RATE = 0.07
 #: Words of a shard, which is trained in order by one task.
 SHARD_WORDS = 1_000_000
 #: Rows of the table whose changes are added up together.
 BLOCK = 4096
-EMBEDDINGS = 2 * WINDOW * (INPUTS + 1)
+EMBEDDINGS = 2 * (INPUTS + 1)
 WORDS = EMBEDDINGS + 1
-PLACES = np.arange(2 * WINDOW, dtype=np.int32) * (INPUTS + 1)
 
 _U = np.uint64
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else 32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
@@ -90,6 +93,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.entry[at], other)
 
+    @cached_property
+    def fixed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fixed words of Z, and their weights."""
+        share = np.diff(np.concatenate([[0], self.draw]))
+        flat = share**FLATTER / (share**FLATTER).sum()
+        words = np.minimum(np.searchsorted(np.cumsum(flat), (np.arange(DRAWS) + 0.5) / DRAWS, "right"), len(share) - 1)
+        weight = share[words] / flat[words]
+        return words, (weight / weight.sum()).astype(np.float32)
+
     def drawn(self, places: np.ndarray) -> np.ndarray:
         """Entries at places (0 to 1) of the cumulative shares."""
         return np.minimum(np.searchsorted(self.draw, places, "right"), len(self.draw) - 1)
@@ -111,37 +123,47 @@ def make_vocabulary(hashes: np.ndarray, counts: np.ndarray, shared_counts: np.nd
 
 
 def first_table(entries: int) -> np.ndarray:
-    """All parameters as rows of WIDTH weights and a bias: embeddings by position, the hidden bias, words (at zero)."""
+    """All parameters as rows of WIDTH weights and a bias: each context word's embeddings to the left and to
+    the right, the hidden bias, words (at zero)."""
     table = np.zeros((WORDS + entries, WIDTH + 1), np.float32)
     table[:EMBEDDINGS, :WIDTH] = np.random.default_rng(7).standard_normal((EMBEDDINGS, WIDTH)) * 0.1
     return table
 
 
-def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of the embeddings at the 2 * WINDOW places around each word; the last of a place beyond the text's ends."""
-    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    out = np.empty((2 * WINDOW, len(inputs)), np.int32)
-    places = [o for o in range(-WINDOW, WINDOW + 1) if o]
-    for row, o, base in zip(out, places, PLACES.tolist(), strict=True):
-        row[:] = base + INPUTS
-        n = len(inputs) - abs(o)
-        if n > 0:
-            at, to = (slice(0, n), slice(-o, None)) if o < 0 else (slice(o, None), slice(0, n))
-            row[to] = np.where(doc[at] == doc[to], base + inputs[at], base + INPUTS)
-    return out
-
-
-def hidden_layer(table: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """tanh of the summed embeddings, and a column of ones for the words' biases."""
-    hidden = table[around[0]]
-    for ids in around[1:]:
-        hidden += table[ids]
-    hidden += table[EMBEDDINGS]
+def stream(inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context words of texts one after the other, WINDOW times none between them, and the words' places there."""
+    doc = np.repeat(np.arange(1, len(first), dtype=np.int64), np.diff(first))
+    at = np.arange(len(inputs)) + WINDOW * doc
+    out = np.full(len(inputs) + WINDOW * len(first), INPUTS, np.int32)
+    out[at] = inputs
+    return out, at
+
+
+def hidden_layer(table: np.ndarray, ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """tanh of the weighted sums of neighbours' embeddings, and a column of ones for the words' biases.
+    ids: a stretch of the stream with WINDOW more on both sides of the words; own: places of the words after those."""
+    n = len(ids) - 2 * WINDOW
+    each = table[:EMBEDDINGS].reshape(INPUTS + 1, 2 * (WIDTH + 1))[ids]
+    left, right = each[:, : WIDTH + 1], each[:, WIDTH + 1 :]
+    total = np.empty((n, WIDTH + 1), np.float32)
+    total[:] = table[EMBEDDINGS]
+    for k, weight in enumerate(NEARNESS, 1):
+        both = left[WINDOW - k : n + WINDOW - k] + right[WINDOW + k : n + WINDOW + k]
+        both *= np.float32(weight)
+        total += both
+    hidden = total[own] if len(own) < n else total
     np.tanh(hidden, out=hidden)
     hidden[:, WIDTH] = 1
     return hidden
 
 
+def batches_of(at: np.ndarray, size: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """For each batch its words, its stretch of the stream, and the words' places there."""
+    for i in range(0, len(at), size):
+        own = at[i : i + size]
+        yield slice(i, i + len(own)), slice(own[0] - WINDOW, own[-1] + WINDOW + 1), own - own[0]
+
+
 class Trainer:
     """Adagrad with a step size for each row of the table, one batch after the other. used: words that moved a row."""
 
@@ -149,9 +171,9 @@ class Trainer:
         self.table, self.squares = table.copy(), squares.copy()
         self.used = np.zeros(len(table), np.int64)
 
-    def learn(self, around: np.ndarray, entries: np.ndarray, noise: np.ndarray) -> None:
-        n = len(entries)
-        hidden = hidden_layer(self.table, around)
+    def learn(self, ids: np.ndarray, at: np.ndarray, entries: np.ndarray, noise: np.ndarray) -> None:
+        n, m = len(entries), len(ids) - 2 * WINDOW
+        hidden = hidden_layer(self.table, ids, at)
         own, other = self.table[WORDS + entries], self.table[WORDS + noise]
         right = np.einsum("ij,ij->i", own, hidden)
         wrong = hidden @ other.T
@@ -167,32 +189,45 @@ class Trainer:
         own *= miss[:, None]
         back += own
         back *= 1 - hidden * hidden  # the column of ones has no gradient
-        self._step(np.concatenate([WORDS + entries, WORDS + noise]), np.concatenate([hidden * miss[:, None], wrong.T @ hidden]), np.arange(n + len(noise)))
-        self._step(around.ravel(), back, np.tile(np.arange(n), len(around)))
-        self._step(np.full(n, EMBEDDINGS), back, np.arange(n))
-
-    def _step(self, rows: np.ndarray, grad: np.ndarray, of: np.ndarray) -> None:
-        """Moves each row by the sum of its gradients grad[of], over the root of their number."""
-        if not len(rows):
-            return
+        words = np.concatenate([hidden * miss[:, None], wrong.T @ hidden])
+        self._step(np.concatenate([entries, noise]), words.reshape(n + len(noise), 1, -1), WORDS)
+        if n < m:
+            spread = np.zeros((m, WIDTH + 1), np.float32)
+            spread[at] = back
+        else:
+            spread = back
+        grad = np.zeros((m + 2 * WINDOW, 2, WIDTH + 1), np.float32)
+        for k, weight in enumerate(NEARNESS, 1):
+            part = spread * np.float32(weight)
+            grad[WINDOW - k : m + WINDOW - k, 0] += part
+            grad[WINDOW + k : m + WINDOW + k, 1] += part
+        self._step(ids, grad, 0)
+        self._move(np.array([EMBEDDINGS]), back.sum(axis=0).reshape(1, 1, -1), np.array([n]), EMBEDDINGS)
+
+    def _step(self, rows: np.ndarray, grad: np.ndarray, base: int) -> None:
+        """Moves each row by the sum of its gradients, over the root of their number. grad: (row, part, number)."""
         order = np.argsort(rows, kind="stable")
         own = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         often = np.diff(np.append(starts, len(own)))
-        total = np.add.reduceat(grad[of[order]], starts, axis=0)
-        total /= np.sqrt(often)[:, None].astype(np.float32)
-        own = own[starts]
-        squares = self.squares[own] + np.einsum("ij,ij->i", total, total) / np.float32(WIDTH + 1)
-        self.squares[own] = squares
-        total *= (RATE / np.sqrt(squares))[:, None]
-        self.table[own] -= total
-        self.used[own] += often
+        self._move(own[starts].astype(np.int64), np.add.reduceat(grad[order], starts, axis=0), often, base)
+
+    def _move(self, rows: np.ndarray, total: np.ndarray, often: np.ndarray, base: int) -> None:
+        parts = total.shape[1]
+        total /= np.sqrt(often).astype(np.float32)[:, None, None]
+        at = rows if base == EMBEDDINGS else (base + rows[:, None] * parts + np.arange(parts)).ravel()
+        total = total.reshape(len(at), -1)
+        squares = self.squares[at] + np.einsum("ij,ij->i", total, total) / np.float32(WIDTH + 1)
+        self.squares[at] = squares
+        total *= (np.float32(RATE) / np.sqrt(squares))[:, None]
+        self.table[at] -= total
+        self.used[at] += np.repeat(often, parts)
 
     def learn_texts(self, entries: np.ndarray, first: np.ndarray, known: Vocabulary, seed: int, batch: int) -> None:
         rng = np.random.default_rng(seed)
-        around = contexts(known.inputs[entries], first)
-        for i in range(0, len(entries), batch):
-            self.learn(around[:, i : i + batch], entries[i : i + batch], known.drawn(rng.random(NOISE)))
+        ids, at = stream(known.inputs[entries], first)
+        for words, stretch, own in batches_of(at, batch):
+            self.learn(ids[stretch], own, entries[words], known.drawn(rng.random(NOISE)))
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -323,22 +358,25 @@ class Model:
         """The conditional log-probability of each word between its neighbours."""
         known, out = self.vocabulary, np.empty(len(hashes))
         entries = known.entries(hashes)
-        around = contexts(known.inputs[entries], first)
-        drawn = self.table[WORDS + known.drawn((np.arange(DRAWS) + 0.5) / DRAWS)]
-        for i in range(0, len(hashes), 2048):
-            own = entries[i : i + 2048]
-            hidden = hidden_layer(self.table, around[:, i : i + 2048])
+        ids, at = stream(known.inputs[entries], first)
+        drawn, weight = known.fixed
+        drawn = self.table[WORDS + drawn]
+        others = np.zeros((2048, WIDTH + 1), np.float32)  # always as many rows, so that a product does not depend on a word's place
+        for words, stretch, place in batches_of(at, len(others)):
+            own = entries[words]
+            hidden = hidden_layer(self.table, ids[stretch], place)
             right = np.einsum("ij,ij->i", self.table[WORDS + own], hidden)
-            others = hidden @ drawn.T
-            np.exp(others, out=others)
-            out[i : i + 2048] = known.log_share[own] + right - np.log(others.mean(axis=1))
+            others[: len(own)] = hidden
+            likelier = others @ drawn.T
+            np.exp(likelier, out=likelier)
+            out[words] = known.log_share[own] + right - np.log(likelier @ weight)[: len(own)]
         return out
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and summed conditional log-probability of each text."""
         hashes, first = hashes_of(texts)
-        sums = np.concatenate([[0.0], np.cumsum(self.each(hashes, first))])
-        return np.diff(first), sums[first[1:]] - sums[first[:-1]]
+        each = self.each(hashes, first)
+        return np.diff(first), np.array([each[a:b].sum() for a, b in zip(first[:-1].tolist(), first[1:].tolist())])
 
 
 def train(docs: DataFrame, text: str = "text", passes: int = 1, batch: int = BATCH) -> Model:

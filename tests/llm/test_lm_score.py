@@ -29,9 +29,10 @@ def plain_scores(model, text):
     out = []
     for i, e in enumerate(entries):
         hidden = table[lm.EMBEDDINGS, :-1].copy()
-        for k, o in enumerate(o for o in range(-lm.WINDOW, lm.WINDOW + 1) if o):
-            word = known.inputs[entries[i + o]] if 0 <= i + o < len(entries) else lm.INPUTS
-            hidden += table[k * (lm.INPUTS + 1) + word, :-1]
+        for k, weight in enumerate(lm.NEARNESS, 1):
+            for side, j in ((0, i - k), (1, i + k)):
+                word = known.inputs[entries[j]] if 0 <= j < len(entries) else lm.INPUTS
+                hidden += weight * table[2 * word + side, :-1]
         likelier = table[lm.WORDS :, :-1] @ np.tanh(hidden) + table[lm.WORDS :, -1]
         out.append(known.log_share[e] + likelier[e] - np.log((share * np.exp(likelier)).sum()))
     return out
@@ -105,7 +106,7 @@ def test_a_row_met_in_one_shard_keeps_what_it_learned(spark):
 
     alone, beside = moved([own]), moved([own, *[other[i::4] for i in range(4)]])
     hashes, first = lm.hashes_of([b"a ax ay b bx by"])
-    rows = lm.contexts(vocabulary.inputs[vocabulary.entries(hashes)], first)[:, 2:4].ravel()
+    rows = 2 * vocabulary.inputs[vocabulary.entries(hashes)] + 1
     size = np.abs(alone[rows]).sum()
     assert size > 0 and np.abs(beside[rows] - alone[rows]).sum() < 0.01 * size
 
