@@ -3,15 +3,22 @@
 A page is read once into tokens in page order. Words score above zero and tags below, by the
 log-likelihood ratio of standing inside or outside the article, learned from labelled pages:
 those with exactly one <article> element, which is never a feature itself. One linear scan
-finds the contiguous stretch with the largest sum. Stretches of menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles have no words: their elements
-count as tags only, wherever they stand.
+finds the contiguous stretch with the largest sum, the first of several.
+
+Elements that are never part of an article (menus, footers, sidebars, forms, scripts, styles
+and the like, and hidden ones) have no words, wherever they stand. Elements that only their
+class, id or role calls an advert, a notice or reader comments have none either, unless they
+hold more than half of the page's words and of its paragraphs and headings: a name on what
+wraps the article does not cost it.
 
 Blocks are what block-level tags separate. Inside a block white space becomes one space, <br>
 and table cells count as white space, character references are decoded, and blocks are joined
-by an empty line. Null, empty and wordless pages give "". Broken markup never fails: a quote
-or comment without its end runs to the end of the page, an element without its end closes
-with an outer one, and <article>, <main> and <body> end anything left open that is left out.
+by an empty line. Null, empty and wordless pages give ""; equal pages give equal texts.
+Attribute values are quoted only after "="; other quotes in a tag are part of its names.
+Broken markup never fails: a quoted value or comment without its end runs to the end of the
+page, an element without its end closes with an outer one, and <article>, <main> and <body>
+end left-out elements that are never closed. Reading takes time and memory linear in a page's
+length, however long or deeply nested it is. Tags beyond the standard ones are one kind.
 Counts for learning cover every labelled page; without any, FALLBACK holds.
 """
 
@@ -21,8 +28,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,9 +54,17 @@ _BLOCKS = frozenset(
     "menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 _SPACES = frozenset("br td th".split())
-_MARK = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 article main blockquote".split())
+#: Tags with scores of their own (fixed values); others are "other".
+TAGS = frozenset(
+    "a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed "
+    "fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link main map mark menu meta meter nav noframes "
+    "noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody "
+    "td template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
+)
+_MARK = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_MAYBE_HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 
 #: Parts of a compound name that keep it in, such as content-with-sidebar.
@@ -61,8 +76,7 @@ FALLBACK = {"word": 1.0, "link": 0.3}
 FALLBACK_TAG = -3.0
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     """A tag, or a piece of text with its number of words."""
 
     kind: str
@@ -82,12 +96,16 @@ def _is_hidden(attributes: str) -> bool:
 
 
 def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is never part of an article."""
     if name in LEFT_OUT or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "article", "main", "input"):
         return False
-    if name != "input" and _HIDDEN.search(attributes) and _is_hidden(attributes):
-        return True
+    return bool(_MAYBE_HIDDEN.search(attributes)) and _is_hidden(attributes)
+
+
+def _named_out(attributes: str) -> bool:
+    """Whether a class, id or role calls the element something that is not part of an article."""
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = set(_PARTS.split(name))
@@ -96,57 +114,115 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def tokens_of(page: str) -> Iterator[Token]:
-    stack: list[tuple[str, bool]] = []
-    out = block = inside = links = 0
-    at = 0
-    size = len(page)
-    while at < size:
-        mark = page.find("<", at)
-        text = page[at:] if mark < 0 else page[at:mark]
-        found = _MARK.match(page, mark) if mark >= 0 else None
-        if mark >= 0 and not found:  # a bare "<" is text
-            text += "<"
-        if text and not out:
-            text = html.unescape(text) if "&" in text else text
-            yield Token("link" if links else "word", len(text.split()), text, block, inside > 0)
-        if not found:
-            at = size if mark < 0 else mark + 1
-            continue
-        at = found.end()
-        name = (found[3] or "").lower()
-        if not name:
-            continue
-        if found[2]:
-            if any(name == n for n, _ in stack):
-                while True:
-                    last, was_out = stack.pop()
-                    out -= was_out
-                    inside -= last == "article"
-                    links -= last == "a"
-                    if last == name:
-                        break
-        else:
-            if name in ("article", "main", "body"):
-                while out:
-                    last, was_out = stack.pop()
-                    out -= was_out
-                    links -= last == "a"
-            leave = _left_out(name, found[4], inside > 0)
-            if name not in _VOID and not (found[4] or "").endswith("/"):
-                if name in _RAW:
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else size
-                else:
-                    if name in ("p", "li") and stack and stack[-1][0] == name:
-                        out -= stack.pop()[1]
-                    stack.append((name, leave))
-                    out += leave
-                    inside += name == "article"
-                    links += name == "a"
-        if name in _BLOCKS:
-            block += 1
-        yield Token(("/" if found[2] else "") + name, 0, " " if name in _SPACES and not out else "", block, inside > 0)
+class _Reader:
+    """Reads a page into tokens. Named elements are numbered; each token knows the innermost it stands in."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.stack: list[tuple[str, bool, int]] = []  # name, left out, number of the named element or -1
+        self.open: Counter[str] = Counter()
+        self.out = self.inside = self.links = 0
+        self.left: list[str] = []  # the open left-out elements
+        self.named: list[int] = []  # numbers of the open named elements
+        self.outer: list[int] = []  # by number: the named element around it, or -1
+        self.last_end: dict[str, int] = {}
+
+    def pop(self) -> str:
+        name, left, number = self.stack.pop()
+        self.open[name] -= 1
+        if left:
+            self.out -= 1
+            self.left.pop()
+        self.inside -= name == "article"
+        self.links -= name == "a"
+        if number >= 0:
+            self.named.pop()
+        return name
+
+    def push(self, name: str, left: bool, named: bool) -> None:
+        number = -1
+        if named:
+            number = len(self.outer)
+            self.outer.append(self.named[-1] if self.named else -1)
+            self.named.append(number)
+        self.stack.append((name, left, number))
+        self.open[name] += 1
+        if left:
+            self.out += 1
+            self.left.append(name)
+        self.inside += name == "article"
+        self.links += name == "a"
+
+    def never_closed(self, name: str, at: int) -> bool:
+        if name not in self.last_end:
+            self.last_end[name] = max((m.start() for m in re.finditer(f"</{re.escape(name)}", self.page, re.IGNORECASE)), default=-1)
+        return self.last_end[name] < at
+
+    def read(self) -> Iterator[tuple[Token, int]]:
+        page, size = self.page, len(self.page)
+        at = block = 0
+        while at < size:
+            mark = page.find("<", at)
+            text = page[at:] if mark < 0 else page[at:mark]
+            found = _MARK.match(page, mark) if mark >= 0 else None
+            if mark >= 0 and not found:  # a bare "<" is text
+                text += "<"
+            if text and not self.out:
+                text = html.unescape(text) if "&" in text else text
+                yield Token("link" if self.links else "word", len(text.split()), text, block, self.inside > 0), self.named[-1] if self.named else -1
+            if not found:
+                at = size if mark < 0 else mark + 1
+                continue
+            at = found.end()
+            name = (found[3] or "").lower()
+            if not name:
+                continue
+            if found[2]:
+                if self.open[name] > 0:
+                    while self.pop() != name:
+                        pass
+            else:
+                attributes = found[4] or ""
+                if self.out and name in ("article", "main", "body"):
+                    if self.never_closed(self.left[0], at):
+                        while self.out:
+                            self.pop()
+                leave = _left_out(name, attributes, self.inside > 0)
+                if name not in _VOID and not attributes.endswith("/"):
+                    if name in _RAW:
+                        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+                        at = end.end() if end else size
+                    else:
+                        if name in ("p", "li") and self.stack and self.stack[-1][0] == name:
+                            self.pop()
+                        self.push(name, leave, bool(attributes) and not leave and name not in ("html", "body", "article", "main") and _named_out(attributes))
+            if name in _BLOCKS:
+                block += 1
+            kind = name if name in TAGS else "other"
+            yield Token(("/" if found[2] else "") + kind, 0, " " if name in _SPACES and not self.out else "", block, self.inside > 0), self.named[-1] if self.named else -1
+
+
+def tokens_of(page: str) -> list[Token]:
+    """The page's tokens; what stands in left-out elements has no text."""
+    reader = _Reader(page)
+    read = list(reader.read())
+    if not reader.outer:
+        return [t for t, _ in read]
+    held = [[0, 0] for _ in reader.outer]  # words and paragraphs of each named element
+    total = [0, 0]
+    for t, number in read:
+        for own in (total, held[number]) if number >= 0 else (total,):
+            own[0] += t.words
+            own[1] += t.kind in _PARAGRAPHS
+    for number in range(len(held) - 1, -1, -1):
+        if reader.outer[number] >= 0:
+            for i in (0, 1):
+                held[reader.outer[number]][i] += held[number][i]
+    gone: list[bool] = []
+    for number, (words, paragraphs) in enumerate(held):
+        few = 2 * words <= total[0] or 2 * paragraphs <= total[1] and total[1] > 0
+        gone.append(few or reader.outer[number] >= 0 and gone[reader.outer[number]])
+    return [Token(t.kind, 0, "", t.block, t.inside) if number >= 0 and gone[number] and t.text else t for t, number in read if not (number >= 0 and gone[number] and t.kind in FALLBACK)]
 
 
 def learn_scores(pages: DataFrame, column: str = "html") -> dict[str, float]:
@@ -166,8 +242,8 @@ def learn_scores(pages: DataFrame, column: str = "html") -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
 
     found = pages.select(F.col(f"`{column}`").cast("string").alias("html")).mapInArrow(run, "kind string, inside boolean, n long")
-    # tag names are free text: only the commonest get a score of their own
-    rows = found.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("here"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("there")).orderBy(F.desc(F.col("here") + F.col("there")), "kind").limit(500).collect()
+    # as many rows as there are kinds: words, links and the tags of TAGS
+    rows = found.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("here"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("there")).orderBy("kind").collect()
     total_in, total_out = sum(r.here for r in rows), sum(r.there for r in rows)
     if not total_in:
         return dict(FALLBACK)
@@ -196,7 +272,7 @@ def best_stretch(values: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, scores: dict[str, float]) -> str:
-    tokens = list(tokens_of(page))
+    tokens = tokens_of(page)
     low, high = best_stretch([t.words * scores[t.kind] if t.kind in FALLBACK else scores.get(t.kind, FALLBACK_TAG) for t in tokens])
     blocks: dict[int, list[str]] = {}
     for t in tokens[low:high]:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -61,3 +62,38 @@ def test_only_hidden_elements_are_left_out():
     page = "<html><body><article>" + "".join(f"<div {a}><p>{words} {k}</p></div>" for k, a in (("kept1", 'class="overflow-hidden"'), ("kept2", 'style="overflow:hidden"'), ("kept3", 'title="the hidden river"'), ("gone1", "hidden"), ("gone2", 'style="display: none"'), ("gone3", 'aria-hidden="true"'))) + "</article></body></html>"
     text = main_text(page, FALLBACK)
     assert [k for k in ("kept1", "kept2", "kept3", "gone1", "gone2", "gone3") if k in text] == ["kept1", "kept2", "kept3"]
+
+
+WORDS = "It rained all day, and the river rose over the old bridge before the evening came."
+
+
+@pytest.mark.parametrize(
+    "start",
+    ['<div style="overflow:hidden">', '<div class="overflow-hidden">', '<div title="hidden gems">', '<div class="search results">', '<div id="widget">', "<div don't>", "<div title=it's>", "<div data-x=a\"b>", '<div class="ad"><div class="comment-list">'],
+)
+def test_what_wraps_the_article_does_not_cost_it(start):
+    page = f"<html><body><nav>Menu of pages</nav>{start}<h1>Rain</h1><p>{WORDS}</p><div class='ad'>Buy this</div><p>{WORDS}</p></div><footer>Some firm</footer></body></html>"
+    assert main_text(page, FALLBACK | {k: -0.1 for k in ("p", "/p", "h1", "/h1", "div", "/div")}) == f"Rain\n\n{WORDS}\n\n{WORDS}"
+
+
+def test_pages_without_the_tag_they_learn_from(spark, small):
+    """The text is the same when the article is a plain div, on every page."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    scores = learn_scores(pages)
+    for r in pages.collect():
+        assert main_text(re.sub("<(/?)article>", r"<\1div>", r.html), scores) == main_text(r.html, scores)
+
+
+def test_large_and_nested_pages_take_linear_time():
+    deep = "".join(f"<div class=x{i % 9}><b>w</i></u>" for i in range(40_000))
+    for page in (deep, "<p " + "a=" * 300_000, "<div class='ad'>" * 30_000 + "word", "<a b='" * 100_000, "<!-- " * 100_000, "</b>" * 200_000, "<nav><article>" * 30_000 + "x"):
+        began = time.perf_counter()
+        main_text(page, FALLBACK)
+        assert time.perf_counter() - began < 2.5
+
+
+def test_every_kind_of_tag_counts(spark):
+    """Many made-up tags do not push standard ones out."""
+    page = "<body><nav>a b</nav><article><p>one two three</p>" + "".join(f"<x-{i}>w</x-{i}>" for i in range(600)) + "<kbd>k</kbd></article></body>"
+    scores = learn_scores(spark.createDataFrame([(page,)], "html string"))
+    assert scores["kbd"] != -3.0 and "other" in scores and not any(k.startswith("x-") for k in scores)
