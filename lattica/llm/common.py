@@ -6,6 +6,8 @@ Null texts count as empty. Result columns replace input columns of the same name
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,29 +28,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors share."""
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:  # only a local test session leaves it unset
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # only a local test session leaves it unset
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -69,9 +71,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(256, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1)) | _U(1)
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+_BYTES = tuple(mix64(np.arange(256, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1 + 256 * i)) | _U(1) for i in range(2))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -84,17 +86,18 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; spans are in order and do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span; spans are in order and do not overlap.
+    Two kinds (0, 1) are independent: together they are a hash of 128 bits."""
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
         low, high = int(starts[at]), int(ends[to - 1])
         sums = np.zeros(high - low + 1, _U)
-        np.cumsum(_BYTE[data[low:high]] * _power(_BASE, high - low), out=sums[1:])
+        np.cumsum(_BYTES[kind][data[low:high]] * _power(_BASES[kind], high - low), out=sums[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * _power(_INVERSE, high - low + 1)[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
+        out[at:to] = (sums[e] - sums[s]) * _power(_INVERSES[kind], high - low + 1)[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
         at = to
     return mix64(out)
 

@@ -2,21 +2,25 @@
 
 Lines are split at U+000A and compared without white space around them; lines without words
 (words: what lies between ASCII white space) are skipped over. A window is a shortest run of
-lines, from a line onward or up to a line, with MIN_WORDS words. Its fingerprint is its least
-line hash. Every run of that many words which two places share holds a whole window, so both
-places select the same fingerprint: the guarantee of winnowing, with windows measured in words.
-
-Positions of fingerprints found at one place only are done with. The others are joined and
-extended from the fingerprint to both sides until a window is covered: windows of equal lines
-are matches of a later place with the first one, and windows that continue one another on one
-diagonal join to maximal runs. Every line of a later run goes; the first place stays. The
-lines removed are exactly those in a run of MIN_WORDS words that also stands at an earlier
-place, in this document or another, and the lines without words between two that go.
+lines, from a line onward or up to a line, with MIN_WORDS words. Its minimum, the line with the
+least hash (the first of several), is a fingerprint. Every run of that many words which two
+places share holds a whole window, so both places select the same fingerprint: the guarantee
+of winnowing, with windows measured in words.
+
+Only the selected minima leave a document at first. Positions of fingerprints that stand at
+one place only are done with; documents with others are joined with those positions, and each
+is extended to both sides, line by line, until the windows it is the minimum of are covered. Windows of equal lines
+(two independent 64-bit hashes of the lines; by chance, 1e12 windows hold one wrong pair with
+probability 2e-15) are matches of a later place with the first one. Matches that continue one
+another on one diagonal join to maximal runs. Every line of a later run goes; the first place
+stays. The lines removed are exactly those in a run of MIN_WORDS words that also stands at an
+earlier place, in this document or another, and the lines without words between two that go.
 
 Places are ordered by doc_id (nulls first), then a hash of the text, then line. Repeated rows
 (same doc_id, same text) are one document: each gets that document's result. Null texts are
 empty, and empty texts have no lines to remove. No group is gathered: first places come from
-aggregates with partial results, and a document's own windows are as many as its lines.
+aggregates with partial results, and a document's own windows are as many as its lines, so
+memory grows with the longest text of a task only.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.llm.common import SPACED, checkpointed, map_texts, mix64, names_clash, span_hashes, words_of, written
+from lattica.llm.common import SPACED, checkpointed, chunks, map_texts, mix64, names_clash, span_hashes, words_of, written
 
 MIN_WORDS = 50
 
@@ -56,74 +60,118 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return place[out]
 
 
-def windows_of(texts: list[bytes], min_words: int) -> tuple[np.ndarray, ...]:
-    """(text, first line, last line, next line with words, fingerprint, content hash, whether its fingerprint's place is new), by text."""
+#: A line with words: its number in the text, its words and its two hashes.
+LINE = np.dtype([("number", "<i4"), ("words", "<i4"), ("a", "<u8"), ("b", "<u8")])
+
+
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' lines with words, and each text's first one."""
     words = words_of(texts, SPACED)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     base = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    doc = np.searchsorted(base, starts, "right") - 1
-    number = np.arange(len(starts)) - np.searchsorted(starts, base[:-1])[doc]
+    opening = np.searchsorted(starts, base)
+    number = np.arange(len(starts)) - np.repeat(opening[:-1], np.diff(opening))
     low, high = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
     some = np.flatnonzero(high > low)
-    doc, number, low, high = doc[some], number[some], low[some], high[some]
-    if not len(some):
-        return (np.empty(0, np.int64),) * 7
-    hashes = span_hashes(data, words.starts[low], words.ends[high - 1])
-    total = np.concatenate([[0], np.cumsum(high - low)])
-    each = np.arange(len(some))
+    low, high = low[some], high[some]
+    out = np.empty(len(some), LINE)
+    out["number"], out["words"] = number[some], high - low
+    for kind, name in enumerate("ab"):
+        out[name] = span_hashes(data, words.starts[low], words.ends[high - 1], kind) if len(some) else 0
+    return out, np.searchsorted(some, opening)
+
+
+def windows_in(lines: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, minimum) of every window, in order."""
+    n = len(lines)
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    total = np.concatenate([[0], np.cumsum(lines["words"], dtype=np.int64)])
+    each = np.arange(n)
     to = np.searchsorted(total, total[:-1] + min_words) - 1
-    ahead = to < len(some)
+    ahead = to < n
     ahead[ahead] = doc[to[ahead]] == doc[ahead]
     back = np.searchsorted(total, total[1:] - min_words, "right") - 1
     behind = back >= 0
     behind[behind] = doc[back[behind]] == doc[behind]
-    pairs = np.unique(np.concatenate([each[ahead] * len(some) + to[ahead], back[behind] * len(some) + each[behind]]))
-    first, last = pairs // len(some), pairs % len(some)
-    power = np.full(len(some) + 1, _STEP | 1, _U)
-    inverse = np.full(len(some) + 1, pow(_STEP | 1, -1, 1 << 64), _U)
+    pairs = np.unique(np.concatenate([each[ahead] * n + to[ahead], back[behind] * n + each[behind]]))
+    low, high = pairs // n, pairs % n
+    return low, high, _range_least(lines["a"], low, high) if len(low) else low
+
+
+def run_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of each hashes[low:high + 1]."""
+    power = np.full(len(hashes) + 1, _STEP | 1, _U)
+    inverse = np.full(len(hashes) + 1, pow(_STEP | 1, -1, 1 << 64), _U)
     power[0] = inverse[0] = 1
     power, inverse = np.cumprod(power, dtype=_U), np.cumprod(inverse, dtype=_U)
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * power[:-1], dtype=_U)])
-    content = mix64((sums[last + 1] - sums[first]) * inverse[first] + (last - first + 1).astype(_U))
-    anchor = _range_least(hashes, first, last) if len(first) else first
-    new = np.zeros(len(first), bool)
-    new[np.unique(anchor, return_index=True)[1]] = True
-    follows = number + 1
-    more = np.flatnonzero(doc[1:] == doc[:-1])
-    follows[more] = number[more + 1]
-    return doc[first], number[first], number[last], follows[last], hashes[anchor].view(np.int64), content.view(np.int64), new
-
-
-_WINDOW = T.StructType(
-    [
-        T.StructField("first", T.IntegerType(), False),
-        T.StructField("last", T.IntegerType(), False),
-        T.StructField("next", T.IntegerType(), False),
-        T.StructField("fingerprint", T.LongType(), False),
-        T.StructField("content", T.LongType(), False),
-        T.StructField("new", T.BooleanType(), False),
-    ]
-)
-
-
-def _kernel(min_words: int) -> Callable[[], Callable]:
-    field = T.StructField("windows", T.ArrayType(_WINDOW, False))
-    kind = to_arrow_schema(T.StructType([field])).field(0).type.value_type
+    return mix64((sums[high + 1] - sums[low]) * inverse[low] + (high - low + 1).astype(_U))
+
+
+_ANCHOR = T.StructType([T.StructField("fingerprint", T.LongType(), False), T.StructField("at", T.IntegerType(), False)])
+_WINNOWED = [T.StructField("lines", T.BinaryType()), T.StructField("anchors", T.ArrayType(_ANCHOR, False))]
+
+
+def _winnow(min_words: int) -> Callable[[], Callable]:
+    """Lines of each text, and its selected minima as (line hash, place among the lines)."""
+    kind = to_arrow_schema(T.StructType(_WINNOWED)).field(1).type.value_type
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(texts: list[bytes]) -> list:
-            doc, *rest = windows_of(texts, min_words)
-            cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-            parts = [pa.array(x).cast(f.type) for x, f in zip(rest, kind, strict=True)]
-            return [pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays(parts, fields=list(kind)))]
+            lines, first = lines_of(texts)
+            anchors = np.unique(windows_in(lines, first, min_words)[2])
+            cut = np.searchsorted(anchors, first)
+            at = anchors - np.repeat(first[:-1], np.diff(cut))
+            parts = pa.StructArray.from_arrays([pa.array(lines["a"][anchors].view(np.int64)), pa.array(at.astype(np.int32))], fields=list(kind))
+            some = np.diff(cut) > 0  # texts without windows need no lines
+            return [[lines[i:j].tobytes() if k else b"" for i, j, k in zip(first[:-1], first[1:], some)], pa.ListArray.from_arrays(cut.astype(np.int32), parts)]
 
         return kernel
 
     return make
 
 
+def _extended(found: DataFrame, min_words: int) -> DataFrame:
+    """found: doc_id, text_hash, lines, at (places of positions to extend). Every window that has one of them
+    as its minimum: content (two hashes), place, last, next (the number of the next line with words)."""
+    schema = T.StructType(
+        [
+            *[T.StructField(f"content_{k}", T.LongType()) for k in "ab"],
+            T.StructField("place", T.StructType([found.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("line", T.IntegerType())])),
+            T.StructField("last", T.IntegerType()),
+            T.StructField("next", T.IntegerType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in chunks(batch, 2):
+                lines = np.frombuffer(b"".join(raw), LINE)
+                first = np.concatenate([[0], np.cumsum([len(x) // LINE.itemsize for x in raw])]).astype(np.int64)
+                wanted = np.zeros(len(lines), bool)
+                places = part.column(3)
+                wanted[np.repeat(first[:-1], places.value_lengths().to_numpy()) + places.flatten().to_numpy()] = True
+                low, high, minimum = windows_in(lines, first, min_words)
+                own = np.flatnonzero(wanted[minimum])
+                low, high = low[own], high[own]
+                doc = np.searchsorted(first, low, "right") - 1
+                follows = lines["number"] + 1
+                inner = np.ones(len(lines), bool)
+                inner[first[1:][np.diff(first) > 0] - 1] = False
+                more = np.flatnonzero(inner)
+                follows[more] = lines["number"][more + 1]
+                place = pa.StructArray.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(lines["number"][low])], fields=list(arrow.field(2).type))
+                content = [pa.array(run_hashes(lines[k], low, high).view(np.int64)) for k in "ab"]
+                yield pa.RecordBatch.from_arrays([*content, place, pa.array(lines["number"][high]), pa.array(follows[high])], schema=arrow)
+
+    return found.select("doc_id", "text_hash", "lines", "at").mapInArrow(run, schema)
+
+
 def joined_runs(windows: list[dict]) -> list[dict]:
     """Matched windows as maximal runs: windows that overlap or follow one another on one diagonal join."""
     key = lambda w: (str(w["first_doc"]), w["line"] - w["first_line"], w["line"], w["last"])
@@ -153,15 +201,16 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     """doc_id, text_hash and, for each document with later places, runs and the lines left over."""
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("text_hash", F.xxhash64("text"))
-    field = T.StructField("windows", T.ArrayType(_WINDOW, False))
-    found = written(map_texts(base, "text", [field], _kernel(min_words), keep=["doc_id", "text_hash"]))
-    entries = found.select("doc_id", "text_hash", F.explode("windows").alias("w")).select("doc_id", "text_hash", "w.*")
+    base = base.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    found = written(map_texts(base, "text", _WINNOWED, _winnow(min_words), keep=["doc_id", "text_hash", "key"]))
+    minima = found.select("key", F.explode("anchors").alias("m")).select("key", "m.*")
     # tables of keys are cut off from their aggregates, so that adaptive execution can split a hot key's join
-    twice = checkpointed(entries.where("new").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
-    candidates = entries.drop("new").join(twice, "fingerprint", "left_semi").select("content", F.struct("doc_id", "text_hash", F.col("first").alias("line")).alias("place"), "last", "next")
-    candidates = checkpointed(candidates)
-    firsts = checkpointed(candidates.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin"))
-    later = candidates.join(firsts, "content").where("place > origin")
+    twice = checkpointed(minima.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    positions = minima.join(twice, "fingerprint", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
+    windows = checkpointed(_extended(found.where(F.size("anchors") > 0).select("doc_id", "text_hash", "lines", "key").join(positions, "key"), min_words))
+    content = ["content_a", "content_b"]
+    firsts = checkpointed(windows.groupBy(*content).agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select(*content, "origin"))
+    later = windows.join(firsts, content).where("place > origin")
     match = F.struct(F.col("place.line").alias("line"), "last", "next", F.col("origin.doc_id").alias("first_doc"), F.col("origin.line").alias("first_line"))
     grouped = later.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set(match).alias("runs"))
     lines = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType(), False), T.StructField("n", T.IntegerType(), False)]), False)
@@ -184,7 +233,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     kept = [c for c in names_clash(docs, [T.StructField(n, T.LongType()) for n in ("n_lines", "n_lines_removed", "runs")]) if c.lower() != text.lower()]
     own = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{doc_id}`").alias("__id"))
     own = own.withColumns({"__hash": F.xxhash64(F.coalesce("__text", F.lit(""))), "__place": F.xxhash64("__id")})
-    side = runs.select(F.col("text_hash").alias("__hash"), F.xxhash64("doc_id").alias("__place"), "runs", "left").hint("shuffle_hash")
+    side = runs.select(F.col("text_hash").alias("__hash"), F.xxhash64("doc_id").alias("__place"), "runs", "left")
     lines = F.split("__text", "\n", -1)
     stretch = lambda x: F.slice(lines, x["at"], F.greatest(F.lit(0), F.least(x["n"], F.size(lines) - x["at"] + 1)))
     kept_lines = F.filter("left", lambda x: x["at"] <= F.size(lines))

@@ -32,6 +32,40 @@ def removed_lines(texts, min_words):
     return out
 
 
+def removed_lines_of_long_texts(texts, min_words):
+    """As removed_lines; of the runs from a line on and up to a line only the shortest with enough words, which cover all others."""
+    seen, out = set(), []
+    for text in texts:
+        lines = [(k, line.strip(" \t\v\f\r"), len(line_words(line))) for k, line in enumerate((text or "").split("\n")) if line_words(line)]
+        runs, size, i = set(), 0, 0
+        for j, (_, _, n) in enumerate(lines):  # up to j: the last i from which the words are enough
+            size += n
+            while size - lines[i][2] >= min_words:
+                size -= lines[i][2]
+                i += 1
+            if size >= min_words:
+                runs.add((i, j))
+        size, j = 0, len(lines) - 1
+        for i in range(len(lines) - 1, -1, -1):  # from i on: the first j up to which they are
+            size += lines[i][2]
+            while size - lines[j][2] >= min_words:
+                size -= lines[j][2]
+                j -= 1
+            if size >= min_words:
+                runs.add((i, j))
+        gone = set()
+        for i, j in sorted(runs):
+            content = tuple(s for _, s, _ in lines[i : j + 1])
+            if content in seen:
+                gone.update(k for k, _, _ in lines[i : j + 1])
+            seen.add(content)
+        for (a, _, _), (b, _, _) in zip(lines, lines[1:]):
+            if a in gone and b in gone:
+                gone.update(range(a, b))
+        out.append(gone)
+    return out
+
+
 def shingles(text, n=5):
     low = "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
