@@ -20,10 +20,16 @@ Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
    standard errors leaves are compared exactly, each in its first common bucket.
 
 So no pair of a bucket is lost that a link does not already join, and what leaves a block are
-near misses only. Equal texts are one node (a 64-bit hash of the text) from the start, so
-copies make no pairs. A class's id is its least doc_id (nulls last). Repeated rows belong to
-one class and each gets a row. With 32 bands of 6 registers of each kind a pair at exactly 0.8 by
-either Jaccard shares no bucket with probability 6e-5 at most, one at 0.85 with 3e-7.
+near misses only. Registers are compared by 16 bits of each, so a pair's first common bucket is
+mistaken (and the pair lost there) with probability 2e-5 at most at 0.8. Comparisons within an
+open bucket grow with the square of its texts, in work but not in rows: its pieces are of
+bounded size. Equal texts are one node from the start, so copies make no pairs; a node is a
+64-bit hash of the text, and among 1e11 different texts about 270 pairs would be taken for
+copies. A class's id is its least doc_id (nulls last). Repeated rows belong to one class and each
+gets a row; of texts with as many bucket mates the one with the greatest hash is compared first. A very
+long text is sketched whole: memory grows with the longest text of a task. With 32 bands of 6
+registers of each kind a pair at exactly 0.8 by either Jaccard shares no bucket with
+probability 6e-5 at most, one at 0.85 with 3e-7.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ ROWS = 6
 BLOCK = 1000
 #: Registers of the sketches that rule out near misses in open buckets.
 LONG = 1024
-#: Slots of the table that says which texts have bucket mates (others may share a slot).
+#: Slots of the table by which rows are sorted out before a join; with more keys than half of them it is left away.
 SLOTS = 1 << 21
 
 _U = np.uint64
@@ -158,7 +164,7 @@ def _sketch_kernel(bands: int, rows: int) -> Callable[[], Callable]:
             own = np.ones(made.shape, bool)
             own[~again, bands:] = False  # without repeated shingles both are the same
             made = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32), made[own])
-            short = mix64(np.concatenate([winner, plain], axis=1)).astype(np.uint8)
+            short = mix64(np.concatenate([winner, plain], axis=1)).astype(np.uint16)
             return [some, made, [x.tobytes() for x in short]]
 
         return kernel
@@ -185,16 +191,30 @@ def _verify(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key (a long hash) is not wanted, to spare a join's shuffle: a table of
+    SLOTS slots says which keys could be. The join that decides has to follow."""
+    if wanted.count() > SLOTS // 2:
+        return rows
+    slots = np.zeros(SLOTS, bool)  # at most SLOTS / 2 rows reach the driver
+    slots[wanted.select(F.pmod(key, F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = rows.sparkSession.sparkContext.broadcast(slots)
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[batch.column(at).to_numpy() % SLOTS]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles, counts of (at least) the given nodes; texts stay where they are until cut down to hashes."""
-    slots = np.zeros(SLOTS, bool)  # at most SLOTS rows reach the driver
-    slots[nodes.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    shared = base.sparkSession.sparkContext.broadcast(slots)
+    """node, shingles, counts of the given nodes. Copies become one before the shuffle, which moves each
+    text with bucket mates once (every different text once if there are more than SLOTS / 2 of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = shared.value[batch.column(0).to_numpy() % SLOTS]
-            for part, texts in chunks(batch.filter(pa.array(wanted)), 1, 1 << 19):
+            for part, texts in chunks(batch, 1, 1 << 19):
                 doc, shingle, weight = weighted_shingles(texts)
                 order = np.lexsort((shingle, doc))
                 cut = np.searchsorted(doc[order], np.arange(len(texts) + 1))
@@ -203,7 +223,9 @@ def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
                 counts = [weight[i:j].tobytes() if (weight[i:j] > 1).any() else b"" for i, j in spans]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle[i:j].tobytes() for i, j in spans], pa.binary()), pa.array(counts, pa.binary())], names=["node", "shingles", "counts"])
 
-    return base.select("node", "text").mapInArrow(run, "node long, shingles binary, counts binary").dropDuplicates(["node"])
+    nodes = checkpointed(nodes.select("node").distinct())
+    own = maybe_among(base.select("node", "text"), "node", nodes).dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    return own.select("node", "text").mapInArrow(run, "node long, shingles binary, counts binary")
 
 
 def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
@@ -219,7 +241,7 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
         low, high, band = rows_[0][1], rows_[0][2], rows_[0][4]
         mine = np.array([r[3] for r in rows_])
         node, root = (np.array([r[k] for r in rows_], np.int64) for k in (5, 6))
-        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint8).reshape(len(rows_), 2, bands * rows)
+        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint16).reshape(len(rows_), 2, bands * rows)
         long = np.frombuffer(b"".join(r[8] for r in rows_), np.uint8).reshape(len(rows_), 2, LONG)
         for i in range(len(rows_)):
             if mine[i] != low:
@@ -268,13 +290,17 @@ def _long_sketches(profiles: DataFrame) -> DataFrame:
     return profiles.select("node", "shingles", "counts").mapInArrow(run, "node long, long binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, versions: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, node (a hash of its text), n_shingles, class_id, and
-    root, which also tells apart classes without ids (null for texts without shingles)."""
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    root, which also tells apart classes without ids (null for texts without shingles).
+    versions (doc_id, text): other texts of some documents, such as those before a change; a
+    document is also in the classes that its versions are in."""
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.lit(True).alias("own"))
+    if versions is not None:
+        base = base.unionByName(versions.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("own")))
     base = base.withColumn("node", F.xxhash64("text"))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False)), T.StructField("short", T.BinaryType())]
-    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "node"]))
+    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "node", "own"]))
 
     entries = sketches.where("n_shingles > 0").select("node", F.posexplode("bands").alias("band", "bucket"))
     # copies are one node, so a bucket has several texts where its least and greatest node differ
@@ -288,7 +314,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     heads = checkpointed(members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("h")).select("bucket", F.col("h.node").alias("head")))
     stars = members.join(heads, "bucket").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    links = checkpointed(_verify(stars, profiles, similarity))
+    links = _verify(stars, profiles, similarity)
+    if versions is not None:
+        some = sketches.where("n_shingles > 0 and doc_id is not null")
+        pairs = some.where("not own").select("doc_id", F.col("node").alias("a")).distinct().join(some.where("own").select("doc_id", F.col("node").alias("b")).distinct(), "doc_id")
+        links = links.unionByName(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    links = checkpointed(links)
     roots = components(links)
 
     told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -301,7 +332,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    rooted = sketches.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+    rooted = sketches.where("own").select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     least = checkpointed(rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("class_id")))
     named = rooted.join(least, "root", "left")
     return named.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root")

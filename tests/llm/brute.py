@@ -83,17 +83,21 @@ def similarity(a, b):
     return max(weighted, len(both) / len(union))
 
 
-def classes(rows, least=0.8):
-    """rows: (doc_id, text). Per row the least id of its class."""
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
+def classes(rows, least=0.8, versions=()):
+    """rows: (doc_id, text). Per row the least id of its class. versions: (place of a row, other text of it)."""
+    texts = [t for _, t in rows] + [t for _, t in versions]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(rows)):
+    for k, (i, _) in enumerate(versions):
+        if sets[i] and sets[len(rows) + k]:
+            parent[find(len(rows) + k)] = find(i)
+    for i in range(len(texts)):
         for j in range(i):
             if sets[i] and (sets[i] == sets[j] or len(sets[i].keys() & sets[j].keys()) * 2 > min(len(sets[i]), len(sets[j])) and similarity(sets[i], sets[j]) >= least):
                 parent[find(i)] = find(j)

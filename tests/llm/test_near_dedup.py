@@ -91,3 +91,32 @@ def test_plain_links_between_texts_of_unequal_repetition(spark):
         rows += [(2 * k, " ".join(base + passage)), (2 * k + 1, " ".join(base + passage * 40))]
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i in range(24)}
+
+
+def test_versions_join_documents(spark):
+    rng = random.Random(12)
+    a, b, c, d = family(rng, 3, edits=1)
+    cut = " ".join(b.split()[:30])
+    rows = [(1, a), (2, cut), (3, "nothing like the others at all"), (4, cut + " " + " ".join(f"n{i}" for i in range(60)))]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    found = lambda **more: {r.doc_id: r.class_id for r in near_duplicates(frame(rows), **more).collect()}
+    assert found() == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert found(versions=frame([(2, b), (None, c), (9, d)])) == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert found(versions=frame([]).where("false")) == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(150_000))
+    rows = [(1, long), (2, long + " and more"), (3, long[:5000])]
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_more_keys_than_slots(spark, monkeypatch):
+    from lattica.llm import near_dedup
+
+    rng = random.Random(3)
+    texts = [t for _ in range(10) for t in family(rng, 1, edits=1)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((r.doc_id, r.class_id) for r in near_duplicates(frame).collect())
+    monkeypatch.setattr(near_dedup, "SLOTS", 8)
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(frame).collect()) == want
