@@ -338,6 +338,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return named.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root")
 
 
+def earlier_versions(docs: DataFrame, originals: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, text of the originals of those docs whose text is another by now. An id that stands for
+    several different originals has no version, nor has a null id."""
+    key, own = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    raw = originals.select(key.alias("doc_id"), own.alias("text")).where("doc_id is not null")
+    marks = raw.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("h"), F.max("h").alias("other")).where("h = other")
+    now = docs.select(key.alias("doc_id"), F.xxhash64(own).alias("now"))
+    changed = checkpointed(now.join(marks, "doc_id").where("now <> h").select("doc_id").distinct().withColumn("key", F.xxhash64("doc_id")))
+    return maybe_among(raw.withColumn("key", F.xxhash64("doc_id")), "key", changed).join(changed, ["doc_id", "key"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the least doc_id. Repeated rows become one."""
     found = near_duplicates(docs, text, doc_id, **options)
