@@ -1,7 +1,13 @@
 """From raw documents to token ids in five stages.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents; columns
+with the names of an operator's results stay as they are. Null texts and ids: a null text is
+empty and goes with the first stage; rows without doc_id are documents like others. Repeated
+rows (same doc_id and text) get equal results until near dedup leaves one of them. Of equal
+places the order is doc_id, nulls first where lines are compared and last where one document
+of a class stays, then a hash of the text. Empty tables give empty tables. Very long texts are
+taken whole in every stage, so memory grows with the longest text of a task.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from lattica.llm.bpe import bpe_round_trip
 from lattica.llm.common import read, written
 from lattica.llm.decontaminate import drop_contaminated
 from lattica.llm.line_dedup import line_dedup
-from lattica.llm.near_dedup import one_of_each
+from lattica.llm.near_dedup import earlier_versions, one_of_each
 from lattica.llm.quality import line_first_quality
 from lattica.llm.queries import tokenizer_path
 
@@ -34,8 +40,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return one_of_each(docs)
+    """One document of each near-duplicate class. Line dedup leaves little of a later near copy, and that
+    little is like nothing else, so a document is also in the classes of its text before that stage."""
+    return one_of_each(docs, versions=earlier_versions(docs, read(spark, sf_dir, "documents")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
