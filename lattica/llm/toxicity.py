@@ -7,13 +7,18 @@ risk cannot fall below zero by overfitting.
 
 Features are a text's words (lower-cased runs of letters, digits and code points from U+0080)
 and their beginnings of 4, 5 and 6 bytes, by presence. Those kept occur clearly oftener in
-positives than in unlabelled texts. Fitting uses at most MAX_POSITIVE positives and
-MAX_UNLABELLED unlabelled texts, the first by a hash of their ids; scoring covers every whole
-text. Labels are read only for ids whose crc32 modulo FOLDS is not HELD_OUT, and the class
-prior is the share of toxic ones among them. Labels, lang, source and ids are no inputs of a
-score. Null and empty texts have no features and get the score of an unremarkable text; null
-ids count as held out; an id counts once in fitting, with its least text, however often it stands. Without
-positives every score is the prior, PRIOR without labels.
+positives than in unlabelled texts, the MAX_FEATURES clearest at most (the size of the model).
+Fitting takes a bounded sample of the rows with labels: at most MAX_POSITIVE toxic ones as
+positives, and at most MAX_UNLABELLED of all of them, whatever their label, as unlabelled texts, the
+first by a hash of their ids. So positives, unlabelled texts and the class prior, the share of
+toxic rows among all labels, speak of one population. Labels are read only for ids whose crc32
+modulo FOLDS is not HELD_OUT. Scoring covers every whole text; labels, lang, source and ids
+are no inputs of a score. Null and empty texts have no features and get the score of an
+unremarkable text; null ids count as held out; an id counts once in fitting, with its least
+text, however often it stands. A very long text is read whole, in time and memory linear in its length
+(presence of a feature does not grow with it). Features as clear as one another are kept by the
+order of their hashes. Equal texts get equal scores. Without positives every score is the prior, PRIOR
+without labels.
 """
 
 from __future__ import annotations
@@ -144,14 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.lit(0))).first()
     prior = float(np.clip(toxic / n, 0.005, 0.9)) if n else PRIOR
     first = lambda ids, most, kind: ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most).withColumn("kind", F.lit(kind))
-    chosen = first(known.where("label = 1").select("id"), max_positive, 1).unionByName(first(docs.where(fold(key) != HELD_OUT).select(key.alias("id")), max_unlabelled, 0))
+    chosen = first(known.where("label = 1").select("id"), max_positive, 1).unionByName(first(known.select("id"), max_unlabelled, 0))
     # a broadcast of at most max_positive + max_unlabelled ids
     texts = docs.select(key.alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").groupBy("kind", "id").agg(F.min("text").alias("text"))
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(parts: list[bytes]) -> list:
             doc, found = features_of(parts)
-            return [[np.unique(found[doc == i]).tobytes() for i in range(len(parts))]]
+            order = np.lexsort((found, doc))
+            doc, found = doc[order], found[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])])) if len(doc) else np.empty(0, np.int64)
+            doc, found = doc[new], found[new]
+            cut = np.searchsorted(doc, np.arange(len(parts) + 1))
+            return [[found[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]]
 
         return kernel
 

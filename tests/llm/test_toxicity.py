@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lattica.llm.queries import op6_toxicity
-from lattica.llm.toxicity import fit_nnpu, score_toxicity, train
+from lattica.llm.toxicity import features_of, fit_nnpu, score_toxicity, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +56,17 @@ def test_odd_rows(spark, docs_of):
     for a, b in ((labels.where("false"), docs), (labels, docs.where("false")), (labels.where("toxic = 0"), docs)):
         assert score_toxicity(docs, train(b, a)).count() == 5
     assert score_toxicity(docs.where("false"), train(docs, labels)).count() == 0
+
+
+def test_very_long_text_and_scores_by_hand(spark, docs_of):
+    """A score is the logistic of the bias and the weights of the features that are there, once each."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    some = [r.text for r in docs.limit(40).collect()]
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    for text, score in zip(some, model.scores([t.encode() for t in some]), strict=True):
+        found = {int(f) for f in features_of([text.encode()])[1]}
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found)))))
+    long = " ".join(some) * 20
+    rows = {r.doc_id: r.score for r in score_toxicity(docs_of([" ".join(some), long]), model).collect()}
+    assert abs(rows[0] - rows[1]) < 0.2 and len(model.features) > 0
