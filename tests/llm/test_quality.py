@@ -80,3 +80,35 @@ def test_verdict_follows_labels(spark, small):
     good = [r.kept for r in rows if labels[r.doc_id] == 1]
     bad = [r.kept for r in rows if labels[r.doc_id] == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def plain_verdict(text):
+    """Lines judged one by one with plain string operations: words lost, and whether the document stays."""
+    phrases = "all rights reserved,licensed under,released under,copyright,©,spdx-license,cookie,privacy policy,terms of use,terms of service,enable javascript,lorem ipsum,click here,sign up,log in,subscribe to,read more".split(",")
+    seen, lost = set(), 0
+    for line in (text or "").split("\n"):
+        words = WORD.findall(line)
+        n = len(words)
+        if not n:
+            continue
+        low = line.lower()
+        bad = line in seen
+        seen.add(line)
+        bad |= n >= 3 and sum(w in ("|", ">", "<", "»", "«", "•", "·", "/", "›", "‹", "→") for w in words) / n > 0.2
+        bad |= n >= 3 and sum(c in "#*$%&|<>" for c in line) / n > 0.3
+        bad |= n >= 3 and line.count("!!") / n > 0.3
+        bad |= n >= 8 and line == line.upper() and line != line.lower()
+        bad |= n >= 20 and len(set(words)) / n < 0.2
+        bad |= n <= 30 and (any(p in low for p in phrases) or bool(re.search(r"\(c\) \d{4}", low)))
+        ends = line.rstrip()[-1] in ".!?…:;\"'”’»)]。！？"
+        bad |= n >= 20 and not ends and all(w[-1] not in ".,;:!?" for w in words)
+        lost += n * bad
+    n, failed = base(text)[0], base(text)[5]
+    return lost, not failed and lost <= 0.5 * n
+
+
+def test_verdict_equals_plain_version(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = op2_quality_rules(spark, small).collect()
+    assert {r.doc_id: (r.n_words_lost, r.kept) for r in rows} == {i: plain_verdict(t) for i, t in texts.items()}
+    assert len({r.kept for r in rows}) == 2
