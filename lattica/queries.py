@@ -342,27 +342,44 @@ def capacity(spark, sf_dir):
     return brand_months(spark, sf_dir).groupBy("asset").agg(F.round(F.avg("adv") * unit, 4).alias("capacity"))
 
 
-def path_sql(source: str, k: str = "", half: float = 0.0005, fee: float = 0.005, exit_: float = -0.3) -> str:
-    """CTEs from source (t, asset, w, p) to `path`, the window engine's formulas."""
+def held_sql(source: str, k: str = "", exit_: float = -0.3) -> str:
+    """CTEs from source (t, asset, w, p) to `b8`: positions of a book that earns nothing in gaps."""
     a, past, x = f"over (partition by {k}asset order by t)", f"over (partition by {k}asset order by t rows unbounded preceding)", f"over (partition by {k}t)"
-    keys = k
     return f"""b1 as (select *, case when p is not null then coalesce(w, 0) end as target, (p - lag(p) {a}) / nullif(lag(p) {a}, 0) as r, max(case when p is not null then t end) over (partition by {k}asset) as last_t from {source}),
 b2 as (select *, lag(target) {a} * r as move from b1), b3 as (select *, greatest(coalesce(sum(move) {x}, 0), -1) as gross from b2),
-b4 as (select *, product(1 + gross) {past} as val from b3), b5 as (select *, last_value(case when p is not null then target * val end ignore nulls) {past} as base from b4),
+b4 as (select *, product(case when gross <= -1 then 1 else 1 + gross end) {past} as val from b3), b5 as (select *, last_value(case when p is not null then target * val end ignore nulls) {past} as base from b4),
 b6 as (select *, case when p is not null then target when t <= last_t then coalesce(base / val, 0) else 0 end as held from b5),
-b7 as (select *, coalesce(lag(held) {a}, 0) * (1 + coalesce(r, 0)) / (1 + gross) as pre from b6),
-b8 as (select *, t > coalesce(last_t, -1) and pre <> 0 as gone, case when p is not null then abs(held - pre) else 0 end as traded from b7),
-b9 as (select {keys}t, first(gross) as gross, sum(case when gone then pre * {exit_} else 0 end) as drag, sum(traded) as turnover, sum(case when p > 0 then traded / p else 0 end) * {fee} as commission, sum(gone::int)::bigint as delistings from b8 group by {keys}t),
-path as (select *, turnover * {half} as spread, gross + drag - turnover * {half} - commission as net, product(1 + gross + drag - turnover * {half} - commission) over ({"partition by " + k.rstrip(", ") if k else ""} order by t rows unbounded preceding) as equity from b9)"""
+b7 as (select *, coalesce(lag(held) {a}, 0) * case when gross <= -1 then 1 else (1 + coalesce(r, 0)) / (1 + gross) end as pre from b6),
+b8 as (select *, t > coalesce(last_t, -1) and pre <> 0 as gone, case when p is not null then abs(held - pre) else 0 end as traded, {exit_} as exit_return from b7)"""
+
+
+def daily_sql(k: str = "", half: float = 0.0005, fee: float = 0.005) -> str:
+    """CTE `b9` from `b8`: what does not depend on the capital."""
+    return f"""b9 as (select {k}t, first(gross) as gross, sum(case when gone then pre * exit_return else 0 end) as drag, sum(traded) as turnover, sum(traded) * {half} as spread,
+  sum(case when p > 0 then traded / p else 0 end) * {fee} as commission, sum(gone::int)::bigint as delistings from b8 group by {k}t)"""
+
+
+def wiped_sql(k: str = "", source: str = "b9i", initial: float = 1.0) -> str:
+    """CTE `path` from daily rows with impact and peak; a wiped-out run stays at zero."""
+    w = f"over ({'partition by ' + k.rstrip(', ') if k else ''} order by t rows between unbounded preceding and"
+    names = ("gross", "drag", "spread", "impact", "commission", "net", "turnover", "peak")
+    return f"""n1 as (select *, gross + drag - spread - impact - commission as net from {source}),
+n2 as (select *, coalesce(min(1 + net) {w} 1 preceding) <= 0, false) as dead, min(1 + net) {w} current row) > 0 as alive, product(1 + net) {w} current row) as value_ from n1),
+path as (select {k}t, {', '.join(f'case when dead then 0 else {c} end as {c}' for c in names)}, case when dead then 0 else delistings end as delistings, case when alive then {initial} * value_ else 0 end as equity from n2)"""
+
+
+def path_sql(source: str, k: str = "", half: float = 0.0005, fee: float = 0.005, exit_: float = -0.3) -> str:
+    """CTEs from source (t, asset, w, p) to `path`, without impact."""
+    return f"{held_sql(source, k, exit_)}, {daily_sql(k, half, fee)}, b9i as (select *, 0.0 as impact, 0.0 as peak from b9), {wiped_sql(k)}"
 
 
-_EXIT = "select *, v * 0.02 as w, case when asset = '7' and t > 200 then null else close end as p from mom"
+_EXIT = "select *, v as w, case when asset = '7' and t > 200 then null else close end as p from mom"
 
 
 def _traded(spark, sf_dir):
     """Momentum weights on supplier weeks; supplier 7 stops trading after week 200."""
     base = supplier_weeks(spark, sf_dir)
-    made = add_signals(base, {"w": MOMENTUM * 0.02})
+    made = add_signals(base, {"w": MOMENTUM})
     return made.withColumn("p", F.when(~((F.col("asset") == "7") & (F.col("t") > 200)), F.col("close")))
 
 
@@ -379,28 +396,65 @@ def backtest_path(spark, sf_dir):
     return _path(spark, sf_dir).select("t", *_PATH_COLUMNS, F.col("delistings").cast("long").alias("delistings")).withColumns(_six(*_PATH_COLUMNS))
 
 
-@query(f"""{_RUN}, d as (select *, max(equity) over (order by t rows unbounded preceding) as peak from path)
-select round(product(1 + net) - 1, 6) + 0.0 as total_return, round(avg(turnover) * 252, 6) as annual_turnover, sum(turnover) > 0 as traded, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 as sharpe,
- round(min(equity / peak - 1), 6) + 0.0 as max_drawdown, round(sum(gross), 6) + 0.0 as gross, round(sum(spread + commission), 6) as costs, round(sum(drag), 6) + 0.0 as drag, sum(delistings)::bigint as delistings from d""")
+@query(f"""{_RUN}, d as (select *, max(equity) over (order by t rows unbounded preceding) as peak_equity from path)
+select round(greatest(product(1 + net), 0) - 1, 6) + 0.0 as total_return, round(avg(turnover) * 252, 6) as annual_turnover, sum(turnover) > 0 as traded, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 as sharpe,
+ round(min(case when peak_equity > 0 then equity / peak_equity - 1 else 0 end), 6) + 0.0 as max_drawdown, round(sum(gross), 6) + 0.0 as gross, round(sum(spread + commission), 6) as costs, round(sum(drag), 6) + 0.0 as drag, sum(delistings)::bigint as delistings from d""")
 def backtest_summary(spark, sf_dir):
     out = bt.summary(_path(spark, sf_dir)).withColumn("delistings", F.col("delistings").cast("long"))
     return out.withColumns(_six("total_return", "annual_turnover", "sharpe", "max_drawdown", "gross", "costs", "drag"))
 
 
+@query(f"""with {SUPPLIER}, {momentum_sql()}, src as (select * replace (-2.5 * w as w) from ({_EXIT})), {path_sql('src')}
+select t, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in _PATH_COLUMNS)} from path""")
+def backtest_wipeout(spark, sf_dir):
+    """Two and a half times against momentum: the book is lost on the way."""
+    rows = _traded(spark, sf_dir).withColumn("w", F.col("w") * -2.5)
+    return bt.backtest(rows, "w", "p", COSTS, delisting=-0.3).select("t", *_PATH_COLUMNS).withColumns(_six(*_PATH_COLUMNS))
+
+
 @query(f"""{_RUN} select t, asset, round(held, 6) + 0.0 as held, round(traded, 6) + 0.0 as traded, gone from b8""")
 def held_weights(spark, sf_dir):
-    cells = _traded(spark, sf_dir).select("t", "ts", "asset", "w", "p")
+    cells = bt.cells_of(_traded(spark, sf_dir), "w", "p")
     return bt.held_weights(cells, 1, ()).select("t", "asset", "held", "traded", "gone").withColumns(_six("held", "traded"))
 
 
-@query()
+_MONTH = "over (partition by asset order by t rows between 19 preceding and current row)"
+
+
+@query(f"""with recursive {SUPPLIER}, {momentum_sql()}, src as ({_EXIT}), {held_sql('src')}, {daily_sql(half=0.00015, fee=0.0)},
+vol as (select t, asset, case when count(r) {_MONTH} = 20 then stddev_pop(r) {_MONTH} * sqrt(252) end as vol from b1),
+tr as (select b8.t, list({{'w': traded, 'adv': adv, 's': greatest(coalesce(vol, 0), 0.1) / sqrt(252)}} order by b8.asset) as trades from b8 join vol on vol.t = b8.t and vol.asset = b8.asset where traded <> 0 group by b8.t),
+st as (select b9.*, coalesce(trades, []) as trades from b9 left join tr on tr.t = b9.t),
+cap as (select cast(-1 as integer) as t, cast(100000.0 as double) as capital, cast(0.0 as double) as impact, cast(0.0 as double) as peak
+ union all select t, greatest(capital * (1 + gross + drag - spread - commission - now_), 0), case when capital > 0 then now_ else 0 end, case when capital > 0 then top_ else 0 end from (
+  select st.t, capital, gross, drag, spread, commission, coalesce(list_sum([x.s * x.w * sqrt(case when coalesce(x.adv > 0, false) then least(x.w * capital / x.adv, 1) else 1 end) for x in trades]), 0) as now_,
+   coalesce(list_max([case when coalesce(x.adv > 0, false) then x.w * capital / x.adv else 1 end for x in trades]), 0) as top_ from cap join st on st.t = cap.t + 1)),
+b9i as (select b9.*, cap.impact, cap.peak from b9 join cap on cap.t = b9.t), {wiped_sql(initial=1e5)}
+select t, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in (*_PATH_COLUMNS, 'impact', 'peak'))} from path""")
 def backtest_impact(spark, sf_dir):
     path = bt.backtest(_traded(spark, sf_dir), "w", "p", bt.CostModel(), volume="adv", delisting=-0.3, initial_equity=1e5)
     return path.select("t", *_PATH_COLUMNS, "impact", "peak").withColumns(_six(*_PATH_COLUMNS, "impact", "peak"))
 
 
-@query()
+_SEGMENT = "over (partition by asset, seg order by t rows unbounded preceding)"
+
+
+@query(f"""with recursive {SUPPLIER}, {momentum_sql()}, src as ({_EXIT}),
+v1 as (select *, coalesce((p - lag(p) {A}) / nullif(lag(p) {A}, 0), 0.001) as r, case when p is not null then coalesce(w, 0) end as target, max(case when p is not null then t end) over (partition by asset) as last_t, count(p) over (partition by asset order by t rows unbounded preceding) as seg from src),
+v2 as (select *, first(t) {_SEGMENT} as since, case when seg > 0 and t <= last_t then first(target) {_SEGMENT} * product(case when p is not null then 1 else 1 + r end) {_SEGMENT} else 0 end as own from v1),
+v3 as (select *, lag(own) {A} * r as earned, lag(since) {A} as taken from v2),
+v4 as (select t, taken, sum(earned) as c from v3 where earned is not null group by t, taken),
+v5 as (select x.t, coalesce(list({{'s': taken, 'c': c}} order by taken) filter (where taken is not null), []) as terms from (select distinct t from v3) x left join v4 on v4.t = x.t group by x.t),
+f as (select cast(-1 as integer) as t, cast([] as double[]) as vals, cast(0.0 as double) as gross
+ union all select t, list_append(vals, case when gain / last_ <= -1 then last_ else last_ + gain end), greatest(gain / last_, -1) from (
+  select v5.t, vals, coalesce(vals[len(vals)], 1.0) as last_, coalesce(list_sum([x.c * vals[x.s + 1] for x in terms]), 0) as gain from f join v5 on v5.t = f.t + 1)),
+v6 as (select v3.*, f.gross, f.vals[v3.t + 1] as val, f.vals[v3.since + 1] as val0 from v3 join f on f.t = v3.t),
+v7 as (select *, case when p is not null then target else coalesce(own * val0 / val, 0) end as held from v6),
+v8 as (select *, coalesce(lag(held) {A}, 0) * case when gross <= -1 then 1 else (1 + r) / (1 + gross) end as pre from v7),
+b8 as (select *, t > coalesce(last_t, -1) and pre <> 0 as gone, case when p is not null then abs(held - pre) else 0 end as traded, -0.3 as exit_return from v8), {daily_sql()}, b9i as (select *, 0.0 as impact, 0.0 as peak from b9), {wiped_sql()}
+select t, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in _PATH_COLUMNS)} from path""")
 def backtest_vendor_returns(spark, sf_dir):
+    """Gaps earn 0.1 % a week by the vendor's word."""
     rows = add_signals(_traded(spark, sf_dir), {"ret": field_of("p").pct_change(1).fill_na(0.001)})
     path = bt.backtest(rows, "w", "p", COSTS, returns="ret", delisting=-0.3)
     return path.select("t", *_PATH_COLUMNS).withColumns(_six(*_PATH_COLUMNS))
@@ -429,12 +483,12 @@ def folds_expanding(spark, sf_dir):
 
 def _walk(spark, sf_dir):
     base = brand_months(spark, sf_dir)
-    return walkforward.walk_forward(base, _folds(base), MOMENTUM * 0.02, "close", COSTS)
+    return walkforward.walk_forward(base, _folds(base), MOMENTUM, "close", COSTS)
 
 
 _WALK = f"""with {BRAND}, f as ({_FOLD_ROWS}), pf as (select panel.*, f.fold, f.test_start from panel join f on t >= f.signal_start and t < f.test_end), {momentum_sql("fold, ", "pf")},
-src as (select 'signal' as strategy, fold, t, asset, v * 0.02 as w, close as p from mom where t >= test_start union all select 'baseline', fold, t, asset, case when close is not null then 1.0 / count(close) over (partition by fold, t) end, close from mom where t >= test_start),
-{path_sql("src", "strategy, fold, ", exit_=0.0)}, r as (select strategy, fold, product(1 + net) - 1 as total, sum(turnover) > 0 as traded from path group by 1, 2),
+src as (select 'signal' as strategy, fold, t, asset, v as w, close as p from mom where t >= test_start union all select 'baseline', fold, t, asset, case when close is not null then 1.0 / count(close) over (partition by fold, t) end, close from mom where t >= test_start),
+{path_sql("src", "strategy, fold, ", exit_=0.0)}, r as (select strategy, fold, greatest(product(1 + net), 0) - 1 as total, sum(turnover) > 0 as traded from path group by 1, 2),
 o as (select f.fold, a.total as signal_return, b.total as baseline_return, a.total - b.total as excess, coalesce(a.traded, false) as traded, a.total is null as skipped, coalesce(a.traded and a.total > b.total, false) as genuine_win
  from f left join r a on a.fold = f.fold and a.strategy = 'signal' left join r b on b.fold = f.fold and b.strategy = 'baseline')"""
 
