@@ -14,21 +14,15 @@ from pyspark.sql import functions as F
 from lattica.errors import PanelError
 
 
-def time_axis(rows: DataFrame) -> DataFrame:
-    """(t, ts): the distinct times in order. One row for each time, so one task numbers them."""
-    return rows.select("ts").distinct().withColumn("t", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
+def axes(rows: DataFrame) -> DataFrame:
+    """One row: the distinct times in order and the distinct assets, from one aggregation with partial sets."""
+    return rows.agg(F.array_sort(F.collect_set("ts")).alias("times"), F.array_sort(F.collect_set("asset")).alias("assets"))
 
 
-def asset_axis(rows: DataFrame) -> DataFrame:
-    """(pos, asset): the distinct assets in order."""
-    return rows.select("asset").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("asset")) - 1).cast("int"))
-
-
-def dense_panel(rows: DataFrame, times: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
-    """The grid of all times and assets with the rows' fields, NULL where there is no row."""
-    times = time_axis(rows) if times is None else times
-    assets = rows.select("asset").distinct() if assets is None else assets.select("asset")
-    grid = times.join(assets)  # the grid itself: times x assets cells
+def dense_panel(rows: DataFrame) -> DataFrame:
+    """The grid of all times and assets with the rows' fields, NULL where there is no row. rows are
+    read twice: for the axes, which are as long as the calendar and the list of assets, and for the cells."""
+    grid = axes(rows).select("assets", F.posexplode("times").alias("t", "ts")).select("t", "ts", F.explode("assets").alias("asset"))
     fields = [c for c in rows.columns if c not in ("t", "ts", "asset")]
     return grid.join(rows.select("ts", "asset", *fields), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
 
@@ -102,4 +96,6 @@ def align(*panels: DataFrame) -> DataFrame | list[DataFrame]:
         if clash:
             raise PanelError(f"fields in several panels: {sorted(clash)}")
         out = out.join(p.drop("t"), ["ts", "asset"])
-    return out.join(time_axis(out), "ts").select("t", "ts", "asset", *[c for c in out.columns if c not in ("ts", "asset")])
+    # panels are dense, so each common asset has all common times
+    place = (F.row_number().over(Window.partitionBy("asset").orderBy("ts")) - 1).cast("int")
+    return out.select(place.alias("t"), "ts", "asset", *[c for c in out.columns if c not in ("ts", "asset")])

@@ -104,17 +104,19 @@ def walk_forward(panel: DataFrame, folds: Sequence[Fold], signal: Signal, price:
     """Signals see warm-up and test rows of their fold only, and only test rows are scored."""
     if not folds:
         raise PanelError("no folds")
-    able = [f.usable and f.test_end - f.signal_start > execution_lag and f.test_length > execution_lag for f in folds]
-    table = folds_frame(panel, folds).where(F.col("fold").isin([i for i, a in enumerate(able) if a]))
-    # a range join of the cells with as many rows as there are folds
-    rows = panel.join(F.broadcast(table.select("fold", "signal_start", "test_start", "test_end")), (F.col("t") >= F.col("signal_start")) & (F.col("t") < F.col("test_end")))
+    able = [i for i, f in enumerate(folds) if f.usable and f.test_end - f.signal_start > execution_lag and f.test_length > execution_lag]
+    # each fold's times, as an array that becomes rows: the cells are joined by time
+    table = folds_frame(panel, folds).where(F.col("fold").isin(able))
+    times = table.select("fold", "test_start", F.explode(F.sequence("signal_start", F.col("test_end") - 1)).alias("t"))
+    rows = panel.join(times, "t")
     made = add_signals(rows, {"__signal": signal, "__baseline": baseline or equal_weight(price)}, run=("fold",)).where(F.col("t") >= F.col("test_start"))
     both = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"__{n}").alias("__w")) for n in ("signal", "baseline")]))
     cells = made.withColumn("__b", both).withColumns({"strategy": F.col("__b.strategy"), "__w": F.col("__b.__w")})
     paths = backtest(cells, "__w", price, costs, execution_lag=execution_lag, run=("strategy", "fold"), **options)
     totals = summary(paths, ("strategy", "fold"))
-    side = lambda n: totals.where(F.col("strategy") == n).select("fold", F.col("total_return").alias(f"{n}_return"), *([F.col("traded")] if n == "signal" else []))
-    out = folds_frame(panel, folds).select("fold").join(side("signal"), "fold", "left").join(side("baseline"), "fold", "left")
+    side = lambda n, c: F.max(F.when(F.col("strategy") == n, F.col(c)))
+    both = totals.groupBy("fold").agg(side("signal", "total_return").alias("signal_return"), side("baseline", "total_return").alias("baseline_return"), side("signal", "traded").alias("traded"))
+    out = folds_frame(panel, folds).select("fold").join(both, "fold", "left")
     skipped = F.col("signal_return").isNull()
     excess = F.col("signal_return") - F.col("baseline_return")
     traded = F.coalesce("traded", F.lit(False))

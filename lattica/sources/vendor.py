@@ -43,11 +43,18 @@ class Dataset:
     def summary(self) -> DataFrame:
         """One row: securities, sessions, years, coverage, median breadth, delisted, returns below -50 %,
         and whether nothing ever delisted."""
-        p = self.panel
-        cells = p.agg(F.countDistinct("asset").alias("n_securities"), F.countDistinct("t").alias("n_sessions"), (F.datediff(F.max("ts"), F.min("ts")) / 365.25).alias("years"), F.try_divide(F.count("close"), F.count("*")).alias("coverage"), F.count_if(F.col("ret") < -0.5).alias("crashes"))
-        breadth = p.groupBy("t").agg(F.count("close").alias("n")).agg(F.percentile("n", F.lit(0.5)).alias("median_breadth"))
+        # a dense panel has every asset at every time
+        times = self.panel.groupBy("t", "ts").agg(F.count("*").alias("cells"), F.count("close").alias("n"), F.count_if(F.col("ret") < -0.5).alias("crashes"))
+        cells = times.agg(
+            F.coalesce(F.max("cells"), F.lit(0)).alias("n_securities"),
+            F.count("*").alias("n_sessions"),
+            (F.datediff(F.max("ts"), F.min("ts")) / 365.25).alias("years"),
+            F.try_divide(F.sum("n"), F.sum("cells")).alias("coverage"),
+            F.coalesce(F.sum("crashes"), F.lit(0)).alias("crashes"),
+            F.percentile("n", F.lit(0.5)).alias("median_breadth"),
+        )
         gone = self.securities.agg(F.count("last_tradable").alias("delisted"), (F.count("last_tradable") == 0).alias("survivorship_warning"))
-        return cells.join(breadth).join(gone)  # one row each
+        return cells.join(gone)  # one row each
 
 
 def numeric(column: str | Column) -> Column:
@@ -81,10 +88,11 @@ def _kept(rows: DataFrame, path: str) -> DataFrame:
 
 
 def listings(panel: DataFrame) -> DataFrame:
-    """asset, first_tradable, last_tradable: first and last date with a price; last is NULL on the extract's last date."""
-    own = panel.where("close is not null").groupBy("asset").agg(F.min("ts").alias("first_tradable"), F.max("ts").alias("__last"))
-    end = panel.agg(F.max("ts").alias("__end"))
-    return own.join(end).select("asset", "first_tradable", F.when(F.col("__last") < F.col("__end"), F.col("__last")).alias("last_tradable"))
+    """asset, first_tradable, last_tradable: first and last date with a price; last is NULL on the extract's last date
+    (in a dense panel every asset's last row)."""
+    day = F.when(F.col("close").isNotNull(), F.col("ts"))
+    own = panel.groupBy("asset").agg(F.min(day).alias("first_tradable"), F.max(day).alias("__last"), F.max("ts").alias("__end")).where("first_tradable is not null")
+    return own.select("asset", "first_tradable", F.when(F.col("__last") < F.col("__end"), F.col("__last")).alias("last_tradable"))
 
 
 def _tickers(rows: DataFrame) -> DataFrame:
