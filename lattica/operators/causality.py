@@ -28,46 +28,50 @@ class CausalityReport:
         return f"reads the future: value of {asset} at t={t} changed with data from t={cut} on"
 
 
-def perturbed(panel: DataFrame, cut: int, fields: Sequence[str], seed: int) -> DataFrame:
-    """From cut on, times are shuffled, values scaled by 2 to 10 and some lost; what is earlier stays."""
-    times = panel.where(F.col("t") >= cut).select("t").distinct()  # one row for each time
-    order = lambda by, name: times.withColumn(name, F.row_number().over(Window.orderBy(by)))
-    moved = order("t", "__n").join(order(F.xxhash64("t", F.lit(seed)), "__n").withColumnRenamed("t", "__from"), "__n").drop("__n")
-    cells = panel.where(F.col("t") >= cut).select(F.col("t").alias("__from"), "asset", *fields)
-    chance = lambda salt: F.pmod(F.xxhash64("t", "asset", F.lit(seed), F.lit(salt)), F.lit(10_000)) / 10_000.0
-    tail = panel.where(F.col("t") >= cut).drop(*fields).join(moved, "t").join(cells, ["__from", "asset"], "left").drop("__from")
+def perturbed(panel: DataFrame, fields: Sequence[str], runs: DataFrame) -> DataFrame:
+    """The panel once for each of runs (cut, seed). From cut on, times are shuffled, values scaled by 2 to 10
+    and some lost; what is earlier stays."""
+    times = panel.select("t").distinct().join(runs, F.col("t") >= F.col("cut"))  # as many rows as times and runs
+    order = lambda by, name: times.withColumn(name, F.row_number().over(Window.partitionBy("cut", "seed").orderBy(by)))
+    moved = order("t", "__n").join(order(F.xxhash64("t", "seed"), "__n").withColumnRenamed("t", "__from"), ["cut", "seed", "__n"]).drop("__n")
+    chance = lambda salt: F.pmod(F.xxhash64("t", "asset", "seed", F.lit(salt)), F.lit(10_000)) / 10_000.0
+    others = [c for c in panel.columns if c not in fields]
+    cells = panel.select(F.col("t").alias("__from"), "asset", *fields)
+    tail = moved.join(panel.select(*others), "t").join(cells, ["__from", "asset"], "left").drop("__from")
     tail = tail.withColumns({f: F.when(chance(i + 1) >= 0.15, F.col(f) * (2 + 8 * chance(0))) for i, f in enumerate(fields)})
-    return panel.where(F.col("t") < cut).unionByName(tail.select(*panel.columns))
-
-
-def _values(target: Target, panel: DataFrame) -> DataFrame:
-    if isinstance(target, Signal):
-        return add_signals(panel, {"value": target}).select("t", "asset", "value")
-    return target(panel).select("t", "asset", "value")
+    head = panel.join(runs, F.col("t") < F.col("cut"))
+    return head.select("cut", "seed", *panel.columns).unionByName(tail.select("cut", "seed", *panel.columns))
 
 
 def check_causality(target: Target, panel: DataFrame, fields: Sequence[str], cut_points: Sequence[int] | None = None, seed: int = 0, trials: int = 3, tolerance: float = 1e-12) -> CausalityReport:
     """Recomputes the target with perturbed tails; earlier values may differ by `tolerance`
-    relatively, for sums in another order, and missing must stay missing. All perturbations
-    are compared in one plan."""
+    relatively, for sums in another order, and missing must stay missing. All perturbations of a
+    signal are runs of one plan; a function of a panel is called for each, and their results are
+    compared in one plan."""
     n = panel.agg(F.coalesce(F.max("t") + 1, F.lit(0))).first()[0]
     if n < 4:
         raise ValueError(f"need at least 4 times to cut, got {n}")
     cuts = sorted({max(1, min(n - 1, c)) for c in (cut_points or (n // 8, n // 4, n // 2, 3 * n // 4, n - 2))})
     if trials < 1:
         raise ValueError(f"trials must be positive, got {trials}")
-    own = _values(target, panel)
-    wrong = None
-    for cut in cuts:
-        for trial in range(trials):
-            other = _values(target, perturbed(panel, cut, fields, seed + trial)).withColumnRenamed("value", "other")
-            both = own.where(F.col("t") < cut).withColumn("__a", F.lit(1)).join(other.where(F.col("t") < cut).withColumn("__b", F.lit(1)), ["t", "asset"], "full")
-            near = F.abs(F.col("value") - F.col("other")) <= tolerance * F.greatest(F.abs("value"), F.abs("other"))
-            same = F.col("value").eqNullSafe(F.col("other")) | F.coalesce(near, F.lit(False))
-            bad = both.where(F.col("__a").isNull() | F.col("__b").isNull() | ~same).select("t", "asset", F.lit(cut).alias("cut"))
-            wrong = bad if wrong is None else wrong.unionByName(bad)
+    plan = [(cut, seed + trial) for cut in cuts for trial in range(trials)]
+    table = lambda rows: panel.sparkSession.createDataFrame(rows, "cut int, seed int")
+    here = F.col("t") < F.col("cut")
+    if isinstance(target, Signal):
+        own = add_signals(panel, {"value": target}).select("t", "asset", "value").join(table(plan), here)
+        other = add_signals(perturbed(panel, fields, table(plan)), {"other": target}, run=("cut", "seed")).where(here).select("cut", "seed", "t", "asset", "other")
+    else:
+        own = target(panel).select("t", "asset", "value").join(table(plan), here)
+        other = None
+        for cut, s in plan:
+            made = target(perturbed(panel, fields, table([(cut, s)])).drop("cut", "seed")).select(F.lit(cut).alias("cut"), F.lit(s).alias("seed"), "t", "asset", F.col("value").alias("other")).where(here)
+            other = made if other is None else other.unionByName(made)
+    both = own.withColumn("__a", F.lit(1)).join(other.withColumn("__b", F.lit(1)), ["cut", "seed", "t", "asset"], "full")
+    near = F.abs(F.col("value") - F.col("other")) <= tolerance * F.greatest(F.abs("value"), F.abs("other"))
+    same = F.col("value").eqNullSafe(F.col("other")) | F.coalesce(near, F.lit(False))
+    wrong = both.where(F.col("__a").isNull() | F.col("__b").isNull() | ~same)
     first = wrong.agg(F.min(F.struct("t", "asset", "cut")).alias("m")).first().m
-    return CausalityReport(first is None, len(cuts) * trials, None if first is None else (first.t, first.asset, first.cut))
+    return CausalityReport(first is None, len(plan), None if first is None else (first.t, first.asset, first.cut))
 
 
 def assert_causal(target: Target, panel: DataFrame, fields: Sequence[str], **options: object) -> CausalityReport:

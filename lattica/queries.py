@@ -188,10 +188,10 @@ def cs_neutralize_volume(spark, sf_dir):
 MOMENTUM = cs_scale(cs_demean(cs_rank(CLOSE.pct_change(3))))
 
 
-def momentum_sql(k: str = "", source: str = "panel") -> str:
+def momentum_sql(k: str = "", source: str = "panel", moves: str = "") -> str:
     """CTEs that end in `mom` with the columns of source and v."""
     w = f"over (partition by {k}t)"
-    return f"""s1 as (select *, {change(3, k=k)} as c from {source}), s2 as (select *, {ranked("c", k)} as rk from s1),
+    return f"""s1 as (select *, {moves or change(3, k=k)} as c from {source}), s2 as (select *, {ranked("c", k)} as rk from s1),
 s3 as (select *, case when rk is not null and count(rk) {w} >= 5 then rk - avg(rk) {w} end as d from s2),
 mom as (select *, case when d is not null and count(d) {w} >= 5 then d / nullif(sum(abs(d)) {w}, 0) end as v from s3)"""
 
@@ -541,10 +541,14 @@ def event_statistics(spark, sf_dir):
     return _study(spark, sf_dir).statistics(0, 6).withColumns(_six("mean_car", "car_std", "win_rate", "t_stat", "clustering"))
 
 
-@query()
+@query(f"""with {SUPPLIER}, {_EVENTS}, z as (select count(car) as n_events, avg(car) as mean_car, avg(car) / stddev_samp(car) * sqrt(count(car)) as t_statistic, avg((car > 0)::int) as win_rate, 2 * stddev_samp(car) / sqrt(count(car)) as detectable_car,
+ (select avg((n > 1)::int) from (select count(*) over (partition by t) as n from pl)) as clustering, (select count(*) from ev) - (select count(*) from pl) as dropped from car),
+r as (select *, (n_events < 30)::int + (mean_car < 0)::int + (abs(t_statistic) < 2)::int + (win_rate < 0.5)::int + (clustering > 0.5)::int + (dropped / (n_events + dropped) > 0.2)::int as n_reasons from z)
+select case when n_reasons = 0 then 'SURVIVED' else 'KILLED' end as headline, n_events, cast(n_reasons as bigint) as n_reasons, round(mean_car, 6) + 0.0 as mean_car, round(t_statistic, 6) + 0.0 as t_statistic, round(win_rate, 6) as win_rate, round(clustering, 6) as clustering, round(detectable_car, 6) as detectable_car from r""")
 def event_verdict(spark, sf_dir):
     v = events.evaluate(_study(spark, sf_dir), events.EventKillCriteria())
-    return spark.createDataFrame([(v.headline, list(v.reasons), v.n_events)], "headline string, reasons array<string>, n_events long")
+    row = (v.headline, v.n_events, len(v.reasons), *(round(x, 6) + 0.0 for x in (v.mean_car, v.t_statistic, v.win_rate, v.clustering, v.detectable_car)))
+    return spark.createDataFrame([row], "headline string, n_events long, n_reasons long, mean_car double, t_statistic double, win_rate double, clustering double, detectable_car double")
 
 
 # --- significance, causality, vendor files ---------------------------------------------------
@@ -556,21 +560,65 @@ def sharpe_moments(spark, sf_dir):
     return significance.moments(_path(spark, sf_dir), "net").withColumns(_six("sharpe", "skew", "kurtosis"))
 
 
-@query()
+_TRIALS = (1, 2, 3, 5, 8)
+
+
+def phi_sql(x: str) -> str:
+    """The normal distribution function by its series."""
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) for k in range(0, 150)]))"
+
+
+def _trial_paths(spark, sf_dir) -> DataFrame:
+    """One backtest for each look-back of the momentum, told apart by trial."""
+    made = add_signals(supplier_weeks(spark, sf_dir), {f"w{n}": cs_scale(cs_demean(cs_rank(CLOSE.pct_change(n)))) for n in _TRIALS})
+    each_ = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), F.col(f"w{n}").alias("w")) for n in _TRIALS])).alias("x")
+    cells = made.select("t", "ts", "asset", "close", each_).select("x.trial", "t", "ts", "asset", "close", "x.w")
+    return bt.backtest(cells, "w", "close", COSTS, run=("trial",))
+
+
+_TRIAL_SQL = f"""{SUPPLIER}, runs as (select trial, panel.* from panel cross join (select unnest([{', '.join(map(str, _TRIALS))}]) as trial)),
+{momentum_sql("trial, ", "runs", "case trial " + " ".join(f"when {n} then {change(n, k='trial, ')}" for n in _TRIALS) + " end")},
+src as (select trial, t, asset, v as w, close as p from mom), {path_sql("src", "trial, ", exit_=0.0)},
+tr as (select trial, count(net) as n, avg(net) as m, stddev_samp(net) as s from path group by trial), sr as (select trial, n, m, s, coalesce(m / nullif(s, 0), 0) as sharpe from tr)"""
+
+
+@query(f"with {_TRIAL_SQL} select cast(trial as integer) as trial, n, round(sharpe, 6) + 0.0 as sharpe from sr")
+def trial_sharpes(spark, sf_dir):
+    found = significance.moments(_trial_paths(spark, sf_dir), "net", ["trial"])
+    return found.select("trial", "n", F.coalesce("sharpe", F.lit(0.0)).alias("sharpe")).withColumns(_six("sharpe"))
+
+
+@query(f"""with recursive {_TRIAL_SQL}, best as (select * from sr order by sharpe desc, trial limit 1), k as (select count(*) as n, var_pop(sharpe) as v from sr),
+targets as (select 1 - 1 / n as p, 'a' as which from k union all select 1 - 1 / (n * exp(1)), 'b' from k),
+bis as (select which, p, cast(-10.0 as double) as lo, cast(10.0 as double) as hi, 0 as i from targets union all
+ select which, p, case when below then mid else lo end, case when below then hi else mid end, i + 1 from (select *, {phi_sql('mid')} < p as below from (select *, (lo + hi) / 2 as mid from bis where i < 60))),
+q as (select max(case when which = 'a' then (lo + hi) / 2 end) as qa, max(case when which = 'b' then (lo + hi) / 2 end) as qb from bis where i = 60),
+mom4 as (select avg(power((net - m) / s, 3)) as skew, avg(power((net - m) / s, 4)) as kurt from path join best on path.trial = best.trial),
+z as (select k.n as n_trials, best.trial, best.n, sharpe, sqrt(k.v) * ((1 - 0.5772156649015329) * qa + 0.5772156649015329 * qb) as bar, sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)) as spread from best, k, q, mom4),
+y as (select *, sharpe * sqrt(n - 1) / spread as z0, (sharpe - bar) * sqrt(n - 1) / spread as z1 from z)
+select n_trials, cast(trial as integer) as best_trial, round(sharpe, 6) + 0.0 as sharpe, round({phi_sql('z0')}, 6) as probabilistic, round(bar, 6) as expected_max, round({phi_sql('z1')}, 6) as deflated, {phi_sql('z1')} >= 0.95 as survives from y""")
 def deflated_sharpe(spark, sf_dir):
-    row = significance.moments(_path(spark, sf_dir), "net").first()
-    trials = [0.02 * i for i in range(-4, 6)]
-    bar = significance.expected_max_sharpe(len(trials), sum((x - sum(trials) / 10) ** 2 for x in trials) / 10)
-    made = [significance.psr(row.n, row.sharpe, row.skew, row.kurtosis, b) for b in (0.0, bar)]
-    return spark.createDataFrame([(round(made[0], 6), round(bar, 6), round(made[1], 6))], "psr double, expected_max double, deflated double")
+    nets: dict[int, list[float]] = {n: [] for n in _TRIALS}
+    for r in _trial_paths(spark, sf_dir).select("trial", "net").collect():  # as many rows as times and trials
+        nets[r.trial].append(r.net)
+    ledger = significance.TrialLedger()
+    for n in _TRIALS:
+        ledger.record(nets[n], str(n))
+    at, ratio = ledger.best()
+    report = ledger.report(nets[_TRIALS[at]])
+    row = (ledger.n_trials, _TRIALS[at], *(round(x, 6) + 0.0 for x in (report.sharpe, report.probabilistic, report.expected_max, report.deflated)), report.survives_deflation)
+    return spark.createDataFrame([row], "n_trials long, best_trial int, sharpe double, probabilistic double, expected_max double, deflated double, survives boolean")
 
 
 @query()
 def causality_report(spark, sf_dir):
     base = brand_months(spark, sf_dir)
     checked = (("momentum", MOMENTUM), ("forward", CLOSE.forward_returns(1)))
-    rows = [(n, s.reads_future, causality.check_causality(s, base, ("close", "adv"), cut_points=(20, 60), trials=1).causal) for n, s in checked]
-    return spark.createDataFrame(rows, "signal string, reads_future boolean, causal boolean")
+    rows = []
+    for name, signal in checked:
+        found = causality.check_causality(signal, base, ("close", "adv"))
+        rows.append((name, signal.reads_future, found.causal, found.checks))
+    return spark.createDataFrame(rows, "signal string, reads_future boolean, causal boolean, checks int")
 
 
 @query(f"""with {SUPPLIER}, v as (select t, ts, asset, close, {change(1)} as r from panel where close is not null),
@@ -596,7 +644,30 @@ def security_listings(spark, sf_dir):
     return listings(supplier_weeks(spark, sf_dir))
 
 
-@query()
+_SCREEN = f"""l0 as (select asset, min(ts) as first_, case when max(ts) < (select max(ts) from panel) then max(ts) end as last_ from panel where close is not null group by asset),
+l1 as (select panel.*, first_, last_, first_ is not null and ts >= first_ and (last_ is null or ts <= last_) as listed, case when count(adv) {rows_(20).replace('asset', 'panel.asset')} >= 10 then avg(adv) {rows_(20).replace('asset', 'panel.asset')} end as adv_mean from panel left join l0 on l0.asset = panel.asset),
+l2 as (select *, coalesce(adv_mean >= 1000000 and adv > 0, false) as able from l1),
+l3 as (select *, case when able then row_number() over (partition by t order by able desc, adv_mean desc nulls last, asset) end as rk from l2),
+l4 as (select *, coalesce(last_value(case when able and rk <= 600 then true when not able or rk > 1600 then false end ignore nulls) over (partition by asset order by t rows unbounded preceding), false) as liquid,
+  coalesce(last_value(case when close >= 6 then true when close < 5 then false end ignore nulls) over (partition by asset order by t rows unbounded preceding), false) and close is not null as priced from l3),
+l5 as (select t, asset, listed and liquid and priced as member from l4), l6 as (select *, lag(member) {A} as b from l5),
+l7 as (select t, sum(member::int) as n, sum((member and not b)::int) as i, sum((not member and b)::int) as o from l6 group by t),
+au as (select avg(n) as mean_members, min(n) as min_members, max(n) as max_members, coalesce(sum(i), 0) as entries, coalesce(sum(o), 0) as exits, (coalesce(sum(i), 0) + coalesce(sum(o), 0)) / greatest(1, count(*) - 1) as churn from l7)"""
+
+
+@query(f"""with {SUPPLIER}, {_SCREEN}, r as (select *, {change(1)} as ret from panel), d as (select t, ts, count(close) as n, count(*) as cells from panel group by t, ts),
+sp as (select greatest(date_diff('day', min(ts), max(ts)) / 365.25, 0.1) as years, max(cells) as assets, sum(n) / sum(cells) as coverage, (select count(last_) from l0) as gone from d),
+big as (select r.t, r.ts, r.asset, close < 5 as cheap, last_ from r left join l0 on l0.asset = r.asset where abs(ret) > 0.5),
+mv as (select count(*) as n, coalesce(avg(cheap::int), 0) as cheap, (select coalesce(avg((not coalesce(abs(date_diff('day', ts, last_)) <= 5, false))::int), 0) from (select * from big order by t, asset limit 400)) as away from big),
+f as (select 'all' as section, 'attrition_per_year' as key, gone / assets / years as value, case when gone = 0 then 'FATAL' when gone / assets / years < 0.02 then 'FLAG' else 'OK' end as severity from sp
+ union all select 'all', 'delisting_returns', 0, 'FLAG' union all select 'all', 'delisting_median', null, 'OK' union all select 'all', 'delisting_worse_than_half', 0, 'OK'
+ union all select 'all', 'coverage', coverage, case when coverage < 0.5 then 'FLAG' else 'OK' end from sp
+ union all select 'breadth', cast(year(ts) as varchar), median(n), case when median(n) < 30 then 'FLAG' else 'OK' end from d group by year(ts)
+ union all select 'breadth', cast(year(ts) as varchar) || ' least', min(n), 'OK' from d group by year(ts)
+ union all select 'moves', 'large', n, 'OK' from mv union all select 'moves', 'cheap', cheap, 'OK' from mv union all select 'moves', 'away_from_exit', away, case when away > 0.25 and cheap <= 0.6 then 'FLAG' else 'OK' end from mv
+ union all select 'universe', 'mean_members', mean_members, 'OK' from au union all select 'universe', 'min_members', min_members, 'OK' from au union all select 'universe', 'max_members', max_members, 'OK' from au
+ union all select 'universe', 'entries', entries, 'OK' from au union all select 'universe', 'exits', exits, 'OK' from au union all select 'universe', 'churn', churn, 'OK' from au)
+select section, key, round(value, 6) + 0.0 as value, severity from f""")
 def extract_findings(spark, sf_dir):
     return verify_extract(dataset_from_panel(supplier_weeks(spark, sf_dir))).withColumns(_six("value"))
 

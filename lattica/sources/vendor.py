@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import DataError
+from lattica.operators import universe
 from lattica.operators.panel import dense_panel
 
 # Codes of the vendor's files.
@@ -198,34 +199,63 @@ def check_point_in_time(fundamentals: DataFrame, fiscal: str = "datadate", repor
     return out.select(F.get("p", 0).alias("median_days"), F.get("p", 1).alias("p10_days"), F.get("p", 2).alias("p90_days"), "undated", "n")
 
 
+def is_new_layout(spark: SparkSession, path: str) -> bool:
+    """Whether the header of a file has the date column of the newer layout."""
+    try:
+        header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    except Exception as e:
+        raise DataError(f"{path} cannot be read: {e}") from e
+    return "dlycaldt" in [c.lower() for c in header]
+
+
+def load_extract(spark: SparkSession, path: str, delisting_path: str | None = None) -> Dataset:
+    """A daily file of either layout, told apart by its columns, not its name."""
+    if is_new_layout(spark, path):
+        return load_daily_ciz(spark, path, delisting_path)
+    return load_daily_legacy(spark, path)
+
+
+# Bars of the verifier.
+LOW_ATTRITION, THIN, LARGE_MOVE, NEAR_EXIT_DAYS, SAMPLE, AWAY, CHEAP, CHEAP_SHARE, LEAST_COVERAGE = 0.02, 30, 0.5, 5, 400, 0.25, 5.0, 0.6, 0.5
+SEVERE, SCREEN_TOP = -0.5, 1000
+
+
 def verify_extract(data: Dataset) -> DataFrame:
-    """Findings (section, key, value, severity): attrition and breadth by year, delisting losses,
-    large moves and the share of the first 400 away from an exit, cheap shares, thin coverage."""
+    """Findings (section, key, value, severity OK, FLAG or FATAL): attrition a year, delisting returns,
+    breadth by year, large moves (the first SAMPLE by time and asset: share away from an exit; of all: share
+    of cheap stocks), coverage, and a universe built from the extract (listed, liquid, above the price floor)."""
     p, s = data.panel, data.securities
-    finding = lambda section, key_, value, severity: F.struct(F.lit(section).alias("section"), key_.cast("string").alias("key"), value.cast("double").alias("value"), severity.alias("severity"))
-    grade = lambda fatal, flag: F.when(fatal, "FATAL").when(flag, "FLAG").otherwise("OK")
-    year = F.year("ts")
-    alive = p.where("close is not null").select(year.alias("y"), "asset").distinct().groupBy("y").agg(F.count("*").alias("n"))
-    left = s.where("last_tradable is not null").groupBy(F.year("last_tradable").alias("y")).agg(F.count("*").alias("gone"))
-    rate = F.try_divide(F.coalesce("gone", F.lit(0)), F.col("n"))
-    attrition = alive.join(left, "y", "left").select(finding("attrition", F.col("y"), rate, grade(rate == 0, rate < 0.02)).alias("f"))
-    severe = s.where("delist_ret is not null").agg(F.avg("delist_ret").alias("m"), F.count("*").alias("n")).select(finding("delisting", F.lit("mean_return"), F.col("m"), grade(F.col("n") == 0, F.lit(False))).alias("f"))
-    daily = p.groupBy("ts").agg(F.count("close").alias("n"))
-    breadth = daily.groupBy(year.alias("y")).agg(F.percentile("n", F.lit(0.5)).alias("m"), F.min("n").alias("low")).select(finding("breadth", F.col("y"), F.col("m"), grade(F.lit(False), F.col("low") < 30)).alias("f"))
-    place = F.row_number().over(Window.orderBy("t", "asset"))
-    big = p.where(F.abs("ret") > 0.5).select("t", "ts", "asset").orderBy("t", "asset").limit(400).withColumn("__n", place)
-    near = F.coalesce(F.abs(F.datediff("ts", "last_tradable")) <= 5, F.lit(False))
-    share = F.coalesce(F.try_divide(F.count_if(~near), F.count("*")), F.lit(0.0))
-    moves = big.join(s.select("asset", "last_tradable"), "asset", "left").agg(share.alias("m")).select(finding("moves", F.lit("away_from_exit"), F.col("m"), grade(F.lit(False), F.col("m") > 0.5)).alias("f"))
-    cheap = p.agg(F.coalesce(F.try_divide(F.count_if(F.col("close_raw") < 5), F.count("close_raw")), F.lit(0.0)).alias("m")).select(finding("cheap", F.lit("share_below_5"), F.col("m"), grade(F.lit(False), F.col("m") > 0.2)).alias("f"))
-    cover = p.agg(F.coalesce(F.try_divide(F.count("close"), F.count("*")), F.lit(0.0)).alias("m")).select(finding("coverage", F.lit("all"), F.col("m"), grade(F.lit(False), F.col("m") < 0.5)).alias("f"))
-    out = attrition
-    for part in (severe, breadth, moves, cheap, cover):
-        out = out.unionByName(part)
-    return out.select("f.*")
+    rows = lambda section, *items: F.explode(F.array(*[F.struct(F.lit(section).alias("section"), k.cast("string").alias("key"), v.cast("double").alias("value"), F.when(fatal, "FATAL").when(flag, "FLAG").otherwise("OK").alias("severity")) for k, v, fatal, flag in items])).alias("f")
+    no, name, zero = F.lit(False), F.lit, F.lit(0.0)
+    times = p.groupBy("t", "ts").agg(F.count("close").alias("n"), F.count("*").alias("cells"))
+    span = times.agg(F.greatest(F.datediff(F.max("ts"), F.min("ts")) / 365.25, F.lit(0.1)).alias("years"), F.greatest(F.max("cells"), F.lit(1)).alias("assets"), F.coalesce(F.try_divide(F.sum("n"), F.sum("cells")), zero).alias("coverage"))
+    gone = s.agg(F.count("last_tradable").alias("left"), F.count("delist_ret").alias("known"), F.count_if(F.col("delist_ret") < SEVERE).alias("severe"), F.median("delist_ret").alias("median"))
+    rate = F.col("left") / F.col("assets") / F.col("years")
+    whole = span.join(gone).select(  # one row each
+        rows(
+            "all",
+            (name("attrition_per_year"), rate, F.col("left") == 0, rate < LOW_ATTRITION),
+            (name("delisting_returns"), F.col("known"), no, F.col("known") == 0),
+            (name("delisting_median"), F.col("median"), no, no),
+            (name("delisting_worse_than_half"), F.col("severe"), no, (F.col("known") > 0) & (F.col("severe") == 0)),
+            (name("coverage"), F.col("coverage"), no, F.col("coverage") < LEAST_COVERAGE),
+        )
+    )
+    years = times.groupBy(F.year("ts").alias("y")).agg(F.percentile("n", F.lit(0.5)).alias("m"), F.min("n").alias("low"))
+    breadth = years.select(rows("breadth", (F.col("y"), F.col("m"), no, F.col("m") < THIN), (F.concat(F.col("y"), F.lit(" least")), F.col("low"), no, no)))
+    big = p.where(F.abs("ret") > LARGE_MOVE).select("t", "ts", "asset", (F.col("close_raw") < CHEAP).alias("cheap"))
+    first = big.orderBy("t", "asset").limit(SAMPLE).join(s.select("asset", "last_tradable"), "asset", "left")
+    near = F.coalesce(F.abs(F.datediff("ts", "last_tradable")) <= NEAR_EXIT_DAYS, no)
+    share = lambda x: F.coalesce(F.try_divide(F.count_if(x), F.count("*")), zero)
+    moves = big.agg(F.count("*").alias("n"), share(F.coalesce("cheap", no)).alias("cheap")).join(first.agg(share(~near).alias("away")))  # one row each
+    moves = moves.select(rows("moves", (name("large"), F.col("n"), no, no), (name("cheap"), F.col("cheap"), no, no), (name("away_from_exit"), F.col("away"), no, (F.col("away") > AWAY) & (F.col("cheap") <= CHEAP_SHARE))))
+    listed = universe.listing_mask(p, s.select("asset", F.col("first_tradable").alias("first"), F.col("last_tradable").alias("last")))
+    screened = universe.price_floor_screen(universe.liquidity_screen(listed, "adv", top_n=SCREEN_TOP), "close_raw", CHEAP)
+    found = universe.audit(universe.combine(screened, "listed", "liquid", "priced"))
+    built = found.select(rows("universe", *[(name(c), F.col(c), no, no) for c in ("mean_members", "min_members", "max_members", "entries", "exits", "churn")]))
+    return whole.unionByName(breadth).unionByName(moves).unionByName(built).select("f.*")
 
 
 def exit_code(findings: DataFrame) -> int:
-    """2 with a fatal finding, 1 with a flag, else 0."""
-    worst = findings.agg(F.max(F.when(F.col("severity") == "FATAL", 2).when(F.col("severity") == "FLAG", 1).otherwise(0))).first()[0]
-    return int(worst or 0)
+    """1 with a fatal finding, else 0."""
+    return int(not findings.where("severity = 'FATAL'").isEmpty())

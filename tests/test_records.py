@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.errors import DataError, PreregistrationError, SignificanceError
 from lattica.functions import preregistration as pre
@@ -107,7 +108,14 @@ def test_legacy_file(spark, tmp_path):
     assert cells[6, "10003"].close is None and cells[6, "10003"].adv == 500 and cells[3, "10001"].ret is None and len(cells) == 90
     row = data.summary().first()
     assert row.n_securities == 3 and row.delisted == 1 and not row.survivorship_warning
-    assert {r.section for r in vendor.verify_extract(data).collect()} == {"attrition", "delisting", "breadth", "moves", "cheap", "coverage"}
+    assert not vendor.is_new_layout(spark, path) and vendor.load_extract(spark, path).panel.count() == 90
+    found = {(r.section, r.key): r for r in vendor.verify_extract(data).collect()}
+    assert {k for k, _ in found} == {"all", "breadth", "moves", "universe"} and vendor.exit_code(vendor.verify_extract(data)) == 0
+    assert found["all", "delisting_returns"].value == 1 and found["all", "delisting_worse_than_half"].severity == "OK" and found["breadth", "2020"].severity == "FLAG"
+    assert found["all", "attrition_per_year"].value == pytest.approx(1 / 3 / 0.1) and found["universe", "max_members"].value == 0
+    alive = vendor.Dataset(data.panel, data.securities.withColumns({"last_tradable": F.lit(None).cast("date"), "delist_ret": F.lit(None).cast("double")}))
+    fatal = {r.key: r.severity for r in vendor.verify_extract(alive).where("section = 'all'").collect()}
+    assert fatal["attrition_per_year"] == "FATAL" and fatal["delisting_returns"] == "FLAG" and vendor.exit_code(vendor.verify_extract(alive)) == 1
     with pytest.raises(DataError, match="lacks columns"):
         vendor.load_daily_legacy(spark, write(tmp_path / "x.csv", ["permno"], [(1,)]))
     with pytest.raises(DataError, match="survive"):
@@ -124,14 +132,15 @@ def test_ciz_file(spark, tmp_path):
     rows += [row(40004, d, 10.0, sub="ETF") for d in range(1, 7)] + [row(40005, d, 10.0, us="N") for d in range(1, 7)]
     path = write(tmp_path / "c.csv", header, rows)
     gone = write(tmp_path / "g.csv", ["PERMNO", "DLRET"], [(40001, -0.5), (40001, -0.72), (40001, "A")])
-    data = vendor.load_daily_ciz(spark, path, gone)
+    data = vendor.load_extract(spark, path, gone)
+    assert vendor.is_new_layout(spark, path)
     cells = {(r.asset, r.t): r for r in data.panel.collect()}
     assert {a for a, _ in cells} == {"40000", "40001"}
     assert cells["40000", 2].close is None and cells["40000", 2].close_raw == 10.0
     assert [cells["40000", t].close for t in (0, 1, 3)] == pytest.approx([10.0, 10.1, 10 * 1.01**3]) and cells["40001", 4].close is None
     known = {r.asset: r for r in data.securities.collect()}
     assert known["40001"].delist_ret == -0.72 and str(known["40001"].last_tradable) == "2020-01-04"
-    with pytest.raises(DataError, match="no delisting-return"):
+    with pytest.raises(DataError, match="no delisting-return.*delrettype"):
         vendor.load_delistings(spark, write(tmp_path / "n.csv", ["permno", "delrettype"], [(1, "x")]))
     with pytest.raises(DataError, match="classification"):
         vendor.load_daily_ciz(spark, write(tmp_path / "m.csv", header[:9], [r[:9] for r in rows]))
@@ -147,6 +156,18 @@ def test_point_in_time(spark):
         vendor.check_point_in_time(frame.drop("rdq"))
 
 
+def test_refusals():
+    for wrong in (dict(max_annual_turnover=0.0), dict(max_annual_turnover=-1.0), dict(min_oos_fold_win_rate=1.5), dict(min_capacity=-1.0)):
+        with pytest.raises(ValueError):
+            pre.KillCriteria(**wrong)
+    ledger = sig.TrialLedger()
+    with pytest.raises(SignificanceError):
+        ledger.best()
+    for r in ([0.0, 1.0, 0.5], [0.0, 2.0, 1.9], [0.0, 2.0, 1.9]):
+        ledger.record(r)
+    assert ledger.best()[0] == 1
+
+
 def test_bars_are_part_of_the_claim():
     assert json.dumps(pre.KillCriteria().to_json()) and EventKillCriteria().to_json()["min_events"] == 30
     assert claim(kill=pre.KillCriteria(min_ic=0.02)).fingerprint != claim().fingerprint
