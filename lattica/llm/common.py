@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(frame.sparkSession))
-    return frame.checkpoint(eager=True)
+    made = frame.checkpoint(eager=True)
+    _let_go(frame.sparkSession)
+    return made
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected what refers to them: do so when a lineage has been cut."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +65,7 @@ def written(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: what follows reads files, not the plan."""
     folder = shared_folder(frame.sparkSession)
     frame.write.parquet(folder)
+    _let_go(frame.sparkSession)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
@@ -151,22 +160,16 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
-
-
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in slices of about `limit` bytes of text, with the slices' texts."""
-    if not batch.num_rows:
-        return
-    texts = utf8(batch.column(column))
-    at = size = 0
-    for i, text in enumerate(texts):
-        if i > at and size + len(text) > limit:
-            yield batch.slice(at, i - at), texts[at:i]
-            at, size = i, 0
-        size += len(text)
-    yield batch.slice(at), texts[at:]
+    """The batch in slices of about `limit` bytes of text (one longer text is a slice alone), with the slices' texts."""
+    values = batch.column(column).cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, to - at), [b"" if v is None else v for v in values.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def names_clash(frame: DataFrame, fields: list[T.StructField]) -> list[str]:
@@ -175,10 +178,11 @@ def names_clash(frame: DataFrame, fields: list[T.StructField]) -> list[str]:
     return [c for c in frame.columns if c.lower() not in taken]
 
 
-def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make_kernel: Callable[[], Callable[[list[bytes]], list]], keep: list[str] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make_kernel: Callable[[], Callable[[list[bytes]], list]], keep: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """Add to each row what a kernel says of its text. make_kernel() runs once a task;
     the kernel gets texts and returns one sequence for each field. Rows stay where they
-    are: no shuffle. keep: columns that stay (all, unless a result column has the name)."""
+    are: no shuffle. keep: columns that stay (all, unless a result column has the name).
+    limit: bytes of text that a kernel gets at once."""
     keep = [c for c in (names_clash(docs, fields) if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
     source = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*source.schema.fields[1:], *fields])
@@ -188,7 +192,7 @@ def map_texts(docs: DataFrame, text: str, fields: list[T.StructField], make_kern
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
         for batch in batches:
-            for part, texts in chunks(batch, 0):
+            for part, texts in chunks(batch, 0, limit):
                 made = kernel(texts)
                 new = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=names)

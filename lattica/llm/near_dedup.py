@@ -17,12 +17,10 @@ Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
    their registers, in blocks of bounded size (a bucket of n texts becomes (n / BLOCK)^2 / 2
    pieces of work, wherever they run), first by the banded ones, then by LONG further ones.
    Only pairs that agree, in registers of one kind, in at least the share that 0.8 less four
-   standard errors leaves are compared exactly, each in its first common bucket.
+   standard errors leaves are compared exactly.
 
 So no pair of a bucket is lost that a link does not already join, and what leaves a block are
-near misses only. Registers are compared by 16 bits of each, so a pair's first common bucket is
-mistaken (and the pair lost there) with probability 2e-5 at most at 0.8. Comparisons within an
-open bucket grow with the square of its texts, in work but not in rows: its pieces are of
+near misses only; each leaves the least bucket that its texts share. Comparisons within an open bucket grow with the square of its texts, in work but not in rows: its pieces are of
 bounded size. Equal texts are one node from the start, so copies make no pairs; a node is a
 64-bit hash of the text, and among 1e11 different texts about 270 pairs would be taken for
 copies. A class's id is its least doc_id (nulls last). Repeated rows belong to one class and each
@@ -52,7 +50,7 @@ ROWS = 6
 #: Texts of a bucket that a piece of work holds on each side.
 BLOCK = 1000
 #: Registers of the sketches that rule out near misses in open buckets.
-LONG = 1024
+LONG = 512
 #: Slots of the table by which rows are sorted out before a join; with more keys than half of them it is left away.
 SLOTS = 1 << 21
 
@@ -164,8 +162,9 @@ def _sketch_kernel(bands: int, rows: int) -> Callable[[], Callable]:
             own = np.ones(made.shape, bool)
             own[~again, bands:] = False  # without repeated shingles both are the same
             made = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32), made[own])
-            short = mix64(np.concatenate([winner, plain], axis=1)).astype(np.uint16)
-            return [some, made, [x.tobytes() for x in short]]
+            kinds = (mix64(x).astype(np.uint8) for x in (winner, plain))
+            short = [x.tobytes() + (y.tobytes() if k else b"") for x, y, k in zip(*kinds, again, strict=True)]
+            return [some, made, short]
 
         return kernel
 
@@ -228,21 +227,25 @@ def _profiles(base: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.select("node", "text").mapInArrow(run, "node long, shingles binary, counts binary")
 
 
+def _both_kinds(sketches: list[bytes], n: int) -> np.ndarray:
+    """Sketches as (text, kind, register); where no shingle is repeated both kinds are the same and one is kept."""
+    return np.frombuffer(b"".join(x if len(x) > n else x + x for x in sketches), np.uint8).reshape(len(sketches), 2, n)
+
+
 def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
-    """members: bucket, band, size, node, root, short, long. Pairs (a, b) of different roots that their registers do not rule out."""
+    """members: bucket, size, node, root, short, long, bands. Pairs (a, b) of different roots that their registers do not rule out."""
     least, least_long = (similarity - 4 * (similarity * (1 - similarity) / n) ** 0.5 for n in (bands * rows, LONG))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = own.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    own = own.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "mine").select("bucket", "low", "high", "mine", "band", "node", "root", "short", "long")
+    own = own.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "mine").select("bucket", "low", "high", "mine", "node", "root", "short", "long", "bands")
 
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, int]]:
-        low, high, band = rows_[0][1], rows_[0][2], rows_[0][4]
+        bucket, low, high = rows_[0][:3]
         mine = np.array([r[3] for r in rows_])
-        node, root = (np.array([r[k] for r in rows_], np.int64) for k in (5, 6))
-        short = np.frombuffer(b"".join(r[7] for r in rows_), np.uint16).reshape(len(rows_), 2, bands * rows)
-        long = np.frombuffer(b"".join(r[8] for r in rows_), np.uint8).reshape(len(rows_), 2, LONG)
+        node, root = (np.array([r[k] for r in rows_], np.int64) for k in (4, 5))
+        short, long = (_both_kinds([r[k] for r in rows_], n) for k, n in ((6, bands * rows), (7, LONG)))
         for i in range(len(rows_)):
             if mine[i] != low:
                 break
@@ -251,17 +254,19 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
             if not len(to):
                 continue
             same = short[to] == short[i]
-            near = np.flatnonzero((same.mean(axis=2) >= least).any(axis=1))
-            common = same[near].reshape(len(near), 2 * bands, rows).all(axis=2)
-            near = to[near[common.argmax(axis=1) == band]]
+            near = to[(same.mean(axis=2) >= least).any(axis=1)]
             for j in near[((long[near] == long[i]).mean(axis=2) >= least_long).any(axis=1)].tolist():
-                yield max(node[i], node[j]), min(node[i], node[j])
+                if np.intersect1d(rows_[i][8], rows_[j][8]).min() == bucket:  # one of the buckets they share
+                    yield max(node[i], node[j]), min(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bands_ = batch.column(8)
+            cut = bands_.offsets.to_numpy()
+            lists = [bands_.values.to_numpy()[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            for row in zip(*(c.to_pylist() for c in batch.columns[:8]), lists, strict=True):
                 if waiting and row[:3] != waiting[0][:3]:
                     found += compare(waiting)
                     waiting = []
@@ -274,7 +279,7 @@ def _near_misses(members: DataFrame, similarity: float, bands: int, rows: int) -
 
 
 def _long_sketches(profiles: DataFrame) -> DataFrame:
-    """node, long: LONG registers of each profile with counts and LONG without, a byte each."""
+    """node, long: a byte of each of LONG registers of each profile with counts, and of LONG without if they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +289,10 @@ def _long_sketches(profiles: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(len(made)), [len(s) for s, _ in made])
                 shingle, weight = np.concatenate([s for s, _ in made]), np.concatenate([c for _, c in made])
                 winner = prob_min_hash(len(made), doc, shingle, weight, LONG)
-                winner = np.concatenate([winner, plain_min_hash(winner, doc, shingle, weight)[0]], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in mix64(winner).astype(np.uint8)], pa.binary())], names=["node", "long"])
+                plain, again = plain_min_hash(winner, doc, shingle, weight)
+                kinds = (mix64(x).astype(np.uint8) for x in (winner, plain))
+                long = [x.tobytes() + (y.tobytes() if k else b"") for x, y, k in zip(*kinds, again, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(long, pa.binary())], names=["node", "long"])
 
     return profiles.select("node", "shingles", "counts").mapInArrow(run, "node long, long binary")
 
@@ -300,13 +307,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         base = base.unionByName(versions.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("own")))
     base = base.withColumn("node", F.xxhash64("text"))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False)), T.StructField("short", T.BinaryType())]
-    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "node", "own"]))
+    sketches = written(map_texts(base, "text", fields, _sketch_kernel(bands, rows), keep=["doc_id", "node", "own"], limit=1 << 19))
 
-    entries = sketches.where("n_shingles > 0").select("node", F.posexplode("bands").alias("band", "bucket"))
+    entries = sketches.where("n_shingles > 0").select("node", F.explode("bands").alias("bucket"))
     # copies are one node, so a bucket has several texts where its least and greatest node differ
     # (tables of keys are cut off from their aggregates, so that adaptive execution can split a hot key's join)
     shared = checkpointed(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"))
-    members = checkpointed(entries.join(shared, "bucket", "left_semi").groupBy("bucket", "node").agg(F.min("band").alias("band")))
+    members = checkpointed(entries.join(shared, "bucket", "left_semi").distinct())
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     members = members.join(sizes, "bucket")
     members = checkpointed(members.join(members.groupBy("node").agg(F.sum("size").alias("degree")), "node"))
@@ -324,9 +331,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = checkpointed(told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"))
-    open_ = checkpointed(told.join(several, "bucket", "left_semi").select("bucket", "band", "size", "node", "root"))
+    open_ = checkpointed(told.join(several, "bucket", "left_semi").select("bucket", "size", "node", "root"))
     nodes = open_.select("node").distinct()
-    shorts = sketches.select("node", "short").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    shorts = sketches.select("node", "short", "bands").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     longs = _long_sketches(profiles.join(nodes, "node", "left_semi"))
     more = checkpointed(_verify(_near_misses(open_.join(shorts.join(longs, "node"), "node"), similarity, bands, rows), profiles, similarity))
     if not more.isEmpty():
