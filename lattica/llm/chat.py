@@ -8,12 +8,16 @@ A rendering comes in parts of consecutive turns: part k holds turns k * TURNS to
 k * TURNS + TURNS - 1, so one part for all but very long conversations, and parts in order
 make the whole. A part is rendered as a stream; a conversation of any length is spread over
 the cluster by part, and more than TURNS messages in a part's turns start a further row
-(piece). Output grows with turns times participants, as the rotation itself does.
+(piece). whole_dialogues puts the parts of a conversation together to one text, so that nobody's
+context ends at a part's border, for all conversations whose rendering has at most MAX_CHARS code
+points; longer ones stay in parts. Output grows with turns times participants, as the rotation
+itself does.
 
 Turns are ordered by number, then speaker, then text (nulls first); a repeated row is the same
 message and shown once. A null text is empty, a null speaker is "unknown", null turns are
 part -1, and rows without conv_id form one conversation. A conversation of narrators only
-has no perspective and gives no row.
+has no perspective and gives no row. Very long texts are rendered whole. Messages without a turn
+number are ordered among themselves in one task for each conversation.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 TURNS = 256
+#: Code points of a rendering that is put together to one row.
+MAX_CHARS = 1 << 20
 NARRATORS = ("system",)
 END = "<|end|>"
 
@@ -135,3 +141,21 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), arrow, strict=True)], names=arrow.names)
 
     return both.mapInArrow(run, schema)
+
+
+def whole_dialogues(rendered: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """rotate_perspectives' rows with each conversation's parts put together to one row (part and piece NULL,
+    mask over the whole text); conversations of more than max_chars from any perspective stay in parts."""
+    sizes = rendered.groupBy("conv_id", "perspective").agg(F.sum(F.length("text")).alias("size")).groupBy("conv_id").agg(F.max("size").alias("size"))
+    sizes = sizes.select(F.col("conv_id").alias("own"), (F.col("size") <= max_chars).alias("short"))
+    marked = rendered.join(sizes, F.col("conv_id").eqNullSafe(F.col("own")))
+    columns = rendered.columns
+    parts = F.array_sort(F.collect_list(F.struct("part", "piece", "n_turns", "text", "mask")))
+    whole = marked.where("short").groupBy("conv_id", "perspective").agg(parts.alias("parts"))
+    shifted = lambda p, by: F.transform(p["mask"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(rendered.schema["mask"].dataType).alias("mask"))
+    masks = F.aggregate("parts", start, lambda state, p: F.struct((state["at"] + F.length(p["text"])).alias("at"), F.concat(state["mask"], shifted(p, state["at"])).alias("mask")))
+    turns = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_turns"])
+    none = F.lit(None).cast("long")
+    made = {"part": none, "piece": none, "n_turns": turns, "text": F.array_join("parts.text", ""), "mask": masks["mask"]}
+    return whole.withColumns(made).select(*columns).unionByName(marked.where("not short").select(*columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import bpe_round_trip
-from lattica.llm.chat import rotate_perspectives
+from lattica.llm.chat import MAX_CHARS, rotate_perspectives, whole_dialogues
 from lattica.llm.common import read
 from lattica.llm.decontaminate import find_overlaps
 from lattica.llm.html_extract import extract_main_text
@@ -38,7 +38,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = rotate_perspectives(read(spark, sf_dir, "conversations"))
+    made = whole_dialogues(rotate_perspectives(read(spark, sf_dir, "conversations")))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
     return made.select("conv_id", "part", "piece", "perspective", "n_turns", "text", spans.alias("mask"))
 
@@ -94,16 +94,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-_CHAT_SQL = """with c as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+_CHAT_SQL = f"""with c as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
 p as (select distinct conv_id, role as perspective from c where role <> 'system'),
 r as (select c.*, coalesce(turn // 256, -1) as part, perspective,
   case when role = 'system' then '<|system|>' when role = perspective then '<|assistant|>' else '<|user name=' || role || '|>' end || chr(10) as head
   from c join p on c.conv_id is not distinct from p.conv_id),
+z as (select conv_id, max(n) <= {MAX_CHARS} as short from (select conv_id, perspective, sum(length(head || text) + 8) as n from r group by conv_id, perspective) group by conv_id),
+k as (select r.*, case when short then null else part end as own from r join z on r.conv_id is not distinct from z.conv_id),
 o as (select *, head || text || '<|end|>' || chr(10) as whole,
-  sum(length(head || text) + 8) over (partition by conv_id, perspective, part order by turn, role, text) - length(text) - 8 as begin_ from r)
-select conv_id, part, cast(0 as bigint) as piece, perspective, count(*) as n_turns, string_agg(whole, '' order by turn, role, text) as text,
-  coalesce(string_agg(case when role = perspective then begin_ || ':' || (begin_ + length(text) + 7) end, ',' order by turn, role, text), '') as mask
-from o group by conv_id, part, perspective"""
+  sum(length(head || text) + 8) over (partition by conv_id, perspective, own order by part, turn, role, text) - length(text) - 8 as begin_ from k)
+select conv_id, own as part, case when own is not null then cast(0 as bigint) end as piece, perspective, count(*) as n_turns, string_agg(whole, '' order by part, turn, role, text) as text,
+  coalesce(string_agg(case when role = perspective then begin_ || ':' || (begin_ + length(text) + 7) end, ',' order by part, turn, role, text), '') as mask
+from o group by conv_id, own, perspective"""
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OVERLAP_SQL = f"""with i as (select item_id, {_WORDS} as w from benchmark), d as (select doc_id, {_WORDS} as w from documents),

@@ -1,6 +1,6 @@
 import random
 
-from lattica.llm.chat import END, TURNS, head, rotate_perspectives
+from lattica.llm.chat import END, TURNS, head, rotate_perspectives, whole_dialogues
 from lattica.llm.queries import op4_chat_formatting
 
 
@@ -44,3 +44,29 @@ def test_many_parties_nulls_ties_and_long_conversations(spark):
     assert joined(got) == brute(rows)
     assert max(r.n_turns for r in got) <= TURNS and not [r for r in got if r.conv_id == 7]
     assert rotate_perspectives(turns.where("false")).count() == 0
+    # put together: one row for each conversation and perspective, but for long ones
+    made = whole_dialogues(rotate_perspectives(turns)).collect()
+    assert joined(made) == brute(rows) and len(made) == len(brute(rows)) and {r.part for r in made} == {None}
+    made = whole_dialogues(rotate_perspectives(turns), max_chars=15_000).collect()
+    assert joined(made) == brute(rows)
+    assert {r.conv_id for r in made if r.part is not None} == {r.conv_id for r in got for k in [r.conv_id] if max(len(t) for (c, _), (t, _) in brute(rows).items() if c == k) > 15_000} != set()
+    assert whole_dialogues(rotate_perspectives(turns.where("false"))).count() == 0
+
+
+def test_query_equals_sql_with_long_and_odd_conversations(spark, tmp_path):
+    """Conversations beyond the bound, gaps in turns, nulls; the SQL as it stands."""
+    import duckdb
+
+    from lattica.llm.queries import ORACLE
+
+    rng = random.Random(5)
+    rows = [(1, i, f"p{i % 3}", "x" * 2000 + str(i)) for i in range(700)] + [(2, i * 100, rng.choice(["a", "b", None]), f"é {i}") for i in range(50)] + [(None, 3, "c", None), (4, None, "d", "no turn"), (4, 1, "e", "turn"), (4, 1, "e", "turn")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = op4_chat_formatting(spark, str(tmp_path))
+    columns = sorted(made.columns)
+    other = duckdb.connect()
+    other.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = other.sql(ORACLE["op4_chat_formatting"])
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r) for r in made.select(*columns).collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
+    assert {r.conv_id for r in made.where("part is not null").collect()} == {1}
