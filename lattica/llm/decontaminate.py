@@ -1,16 +1,21 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-A shard is a chunk of whole training texts. Its words become codes of the benchmark's
-vocabulary (0 if not in it). No match crosses a word outside that vocabulary, so the shard's
-suffix array holds the suffixes that begin in runs of known words long enough for a window,
-sorted to the depth of a window. Every suffix of every benchmark item that holds a window is
-then searched by bisection; hits on one diagonal join to the longest verbatim matches.
+A shard holds the texts of a chunk that have the hash of a benchmark window. Its words become
+codes of the benchmark's vocabulary (0 if not in it). No match crosses a word outside that
+vocabulary, so the shard's suffix array holds the suffixes that begin in runs of known words
+long enough for a window, sorted to the depth of a window. Every suffix of every benchmark item
+that holds a window is then searched by bisection; hits on one diagonal join to the longest
+verbatim matches. Texts without any window's hash cannot match and are left out of the arrays
+(a hash that two windows share costs a search, not a result).
 
 The benchmark reaches the tasks as broadcast blocks of at most BLOCK_BYTES of text, read one
-after the other: no block grows with the data, and a task unites the hits of all blocks.
+after the other: no block grows with the data, and a task unites the hits of all blocks. A further
+block costs a task the lookup of its windows' hashes, about 20 ns a word, and its place on the
+executors' disks.
 Rows never meet, so there is no shuffle. Null and empty texts have no words and no hits;
 items without words have no windows; items that share a text all occur; a null item id shows
-as "null". Equal rows get equal results.
+as "null". Equal rows get equal results. A very long text is searched whole, in memory that
+grows with it.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import PLAIN, map_texts
+from lattica.llm.common import PLAIN, Words, map_texts, window_hashes, words_of
 
 #: Consecutive item words in a window; a shorter item is one window.
 WINDOW = 10
@@ -42,6 +47,7 @@ class Block:
     item: np.ndarray
     place: np.ndarray
     shortest: int
+    hashes: list[tuple[int, np.ndarray, np.ndarray]]  # by words in a window: a table of low bits, and the sorted hashes
 
 
 def _keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None, window: int) -> np.ndarray:
@@ -52,6 +58,39 @@ def _keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None, windo
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * window}").ravel()
 
 
+#: Entries of the table that rules out most windows at a glance.
+GLANCE = 1 << 22
+
+
+def hashed_windows(texts: list[bytes], window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    words = words_of(texts, PLAIN)
+    size = np.minimum(np.diff(words.first), window)
+    own = size[words.doc]
+    out = []
+    for n in np.unique(size[size > 0]).tolist():
+        made = window_hashes(words.hashes, n)
+        inside = (own[: len(made)] == n) & (words.doc[: len(made)] == words.doc[n - 1 :])
+        hashes = np.unique(made[inside])
+        table = np.zeros(GLANCE, bool)
+        table[hashes % GLANCE] = True
+        out.append((n, table, hashes))
+    return out
+
+
+def may_match(words: Words, block: Block) -> np.ndarray:
+    """The texts that have the hash of a window of the block."""
+    found, doc = [np.empty(0, np.int64)], words.doc
+    for n, table, hashes in block.hashes:
+        made = window_hashes(words.hashes, n)
+        if not len(made):
+            continue
+        at = np.flatnonzero(table[made % GLANCE])
+        at = at[doc[at] == doc[at + n - 1]]
+        place = np.minimum(np.searchsorted(hashes, made[at]), len(hashes) - 1)
+        found.append(doc[at[hashes[place] == made[at]]])
+    return np.unique(np.concatenate(found))
+
+
 def make_block(items: list[tuple[str, bytes]], window: int) -> Block:
     vocabulary: dict[bytes, int] = {}
     codes: list[int] = []
@@ -68,7 +107,7 @@ def make_block(items: list[tuple[str, bytes]], window: int) -> Block:
     padded = np.array(codes + [0] * window, np.int64)
     at, size = np.array(starts, np.int64), np.array(sizes, np.int64)
     keys = _keys(padded, at, size, window) if len(at) else np.empty(0, f"S{4 * window}")
-    return Block(vocabulary, [i for i, _ in items], keys, size, np.array(item, np.int64), np.array(place, np.int64), min(sizes, default=0))
+    return Block(vocabulary, [i for i, _ in items], keys, size, np.array(item, np.int64), np.array(place, np.int64), min(sizes, default=0), hashed_windows([text for _, text in items], window))
 
 
 def search_shard(texts: list[list[bytes]], block: Block, window: int) -> tuple[np.ndarray, ...]:
@@ -77,6 +116,8 @@ def search_shard(texts: list[list[bytes]], block: Block, window: int) -> tuple[n
     if not len(block.keys):
         return none
     get = block.vocabulary.get
+    if not texts:
+        return none
     codes = np.fromiter((c for words in texts for c in (*[get(w, 0) for w in words], 0)), np.int64)
     known = np.zeros(len(codes) + 2, bool)
     known[1:-1] = codes != 0
@@ -148,14 +189,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     def make() -> Callable[[list[bytes]], list]:
         def kernel(texts: list[bytes]) -> list[list]:
-            words = [t.translate(PLAIN).split() for t in texts]
-            base = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-            cover = np.zeros(base[-1] + 1, np.int64)
+            words = words_of(texts, PLAIN)
+            n_words = np.diff(words.first)
+            base = words.first[:-1] + np.arange(len(texts))
+            cover = np.zeros(len(words.hashes) + len(texts) + 1, np.int64)
             items: list[set[str]] = [set() for _ in texts]
             matches: list[list[tuple]] = [[] for _ in texts]
             for part in parts:
                 block = part.value
-                rows = longest_matches(*search_shard(words, block, window))
+                some = may_match(words, block)
+                rows = longest_matches(*search_shard([texts[i].translate(PLAIN).split() for i in some.tolist()], block, window))
+                rows[:, 0] = some[rows[:, 0]]
                 np.add.at(cover, base[rows[:, 0]] + rows[:, 1], 1)
                 np.add.at(cover, base[rows[:, 0]] + rows[:, 1] + rows[:, 4], -1)
                 for d, w, i, p, n in rows.tolist():
@@ -165,7 +209,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     del block
                     part.__dict__.pop("_value", None)
             hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-            return [[len(w) for w in words], (hit[base[1:]] - hit[base[:-1]]).tolist(), [sorted(x) for x in items], [sorted(x, key=lambda m: (m["doc_word"], m["item_id"], m["item_word"])) for x in matches]]
+            return [n_words.tolist(), (hit[base + n_words] - hit[base]).tolist(), [sorted(x) for x in items], [sorted(x, key=lambda m: (m["doc_word"], m["item_id"], m["item_word"])) for x in matches]]
 
         return kernel
 
