@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,6 +141,25 @@ def panel_arithmetic(spark, sf_dir):
     return add_signals(brand_months(spark, sf_dir), made).select("t", "asset", *made).withColumns(_six(*made))
 
 
+@query("select * from (values (0, date '2020-01-01', 'A', 1.0), (0, date '2020-01-01', 'B', null), (1, date '2020-01-03', 'A', 2.5), (1, date '2020-01-03', 'B', -3.0)) as v(t, ts, asset, v)")
+def panel_from_rows(spark, sf_dir):
+    days = [dt.date(2020, 1, 1), dt.date(2020, 1, 3)]
+    return panel.from_rows(spark, [[1.0, float("nan")], [2.5, -3.0]], days, ["A", "B"])
+
+
+@query(f"with {BRAND} select t, asset, cast(case asset when 'Brand#12' then 0 else 1 end as integer) as pos, round(close, 6) as close from panel where asset in ('Brand#12', 'Brand#11')")
+def panel_select(spark, sf_dir):
+    return panel.select_assets(brand_months(spark, sf_dir), ["Brand#12", "Brand#11"]).select("t", "asset", "pos", "close").withColumns(_six("close"))
+
+
+@query("""with r as (select cast(date_trunc('month', l_shipdate) as date) as ts, cast(l_suppkey as varchar) as asset, first(l_quantity order by l_orderkey, l_linenumber) as v from lineitem group by 1, 2),
+ax as (select ts, cast(row_number() over (order by ts) - 1 as integer) as t from (select distinct ts from r))
+select ax.t, ax.ts, a.asset, cast(r.v as double) as v from ax cross join (select distinct asset from r) a left join r on r.ts = ax.ts and r.asset = a.asset""")
+def long_to_panel(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"), "l_suppkey", "l_quantity", "l_orderkey", "l_linenumber")
+    return panel.long_to_panel(rows, "day", "l_suppkey", "l_quantity", ["l_orderkey", "l_linenumber"])
+
+
 # --- signals along time and across assets --------------------------------------------------
 
 _TIME: dict[str, tuple[Signal, str]] = {
@@ -306,6 +326,14 @@ def quantile_spread(spark, sf_dir):
     return diagnostics.quantile_spread(brand_months(spark, sf_dir), CHANGE, "close").withColumns(_six("mean_return"))
 
 
+@query(f"""with {BRAND}, {_BUCKETS.replace('select g.bucket', ', bk as (select g.bucket')}), rk as (select *, rank() over (order by mean_return, bucket) - 1 as place from bk)
+select round(max(mean_return) filter (where bucket = 4) - max(mean_return) filter (where bucket = 0), 6) + 0.0 as spread, round(corr(bucket, place), 6) + 0.0 as monotonicity,
+ abs(max(mean_return) filter (where bucket = 3) - max(mean_return) filter (where bucket = 1)) / abs(max(mean_return) filter (where bucket = 4) - max(mean_return) filter (where bucket = 0)) < 0.3 as one_tail from rk""")
+def quantile_report(spark, sf_dir):
+    report = diagnostics.QuantileReport.of(diagnostics.quantile_spread(brand_months(spark, sf_dir), CHANGE, "close").withColumns(_six("mean_return")))
+    return spark.createDataFrame([(round(report.spread, 6) + 0.0, round(report.monotonicity, 6) + 0.0, report.driven_by_one_tail)], "spread double, monotonicity double, one_tail boolean")
+
+
 @query(f"""with {SUPPLIER}, r as (select t, asset, {ordinal("c")} as a from (select *, {change(3)} as c from panel)), l as (select t, a, lag(a) {A} as b from r),
 j as (select t, case when b is not null then a end as x, case when a is not null then b end as y from l),
 c as (select t, {exact()} as ic from j group by t)
