@@ -132,6 +132,12 @@ def fundamental_law(ic: float, breadth: float, periods_per_year: int = 252, tran
     return transfer_coefficient * ic * math.sqrt(breadth * periods_per_year)
 
 
+def allowed_information_ratio(ics: DataFrame, periods_per_year: int = 252) -> DataFrame:
+    """One row: the fundamental law for the mean and mean breadth of information coefficients."""
+    known = ics.where("ic is not null")
+    return known.agg((F.avg("ic") * F.sqrt(F.avg("breadth") * periods_per_year)).alias("information_ratio"))
+
+
 def diagnose(panel: DataFrame, signal: Signal, price: str, execution_lag: int = 1, n_quantiles: int = 5, periods_per_year: int = 252) -> str:
     """A text report of all diagnostics."""
     ics = information_coefficient(panel, signal, price, HORIZONS, execution_lag)

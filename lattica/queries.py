@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import significance
+from lattica.functions import preregistration, significance
 from lattica.operators import backtest as bt
 from lattica.operators import causality, diagnostics, events, panel, universe, walkforward
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
@@ -344,9 +344,8 @@ def rank_autocorrelation(spark, sf_dir):
 
 @query(f"""with {SUPPLIER}, {_ic((1,))} select round(avg(ic) * sqrt(avg(breadth) * 252), 6) + 0.0 as information_ratio from ics where ic is not null""")
 def fundamental_law(spark, sf_dir):
-    ics = diagnostics.information_coefficient(supplier_weeks(spark, sf_dir), CHANGE, "close").where("ic is not null")
-    row = ics.agg(F.avg("ic").alias("ic"), F.avg("breadth").alias("breadth")).first()
-    return spark.createDataFrame([(round(diagnostics.fundamental_law(row.ic, row.breadth), 6),)], "information_ratio double")
+    ics = diagnostics.information_coefficient(supplier_weeks(spark, sf_dir), CHANGE, "close")
+    return diagnostics.allowed_information_ratio(ics).withColumns(_six("information_ratio"))
 
 
 # --- costs and backtests -------------------------------------------------------------------
@@ -638,6 +637,33 @@ def deflated_sharpe(spark, sf_dir):
     return spark.createDataFrame([row], "n_trials long, best_trial int, sharpe double, probabilistic double, expected_max double, deflated double, survives boolean")
 
 
+_MONOTONE = _BUCKETS.replace("select g.bucket", ", bk as (select g.bucket") + "), rk as (select *, rank() over (order by mean_return, bucket) - 1 as place from bk)"
+
+
+@query(f"""with e as (select (with {BRAND}, {_ic((1,))} select avg(ic) from ics where ic is not null) as ic, (with {BRAND}, {_ic((1,))} select avg(ic) / stddev_samp(ic) * sqrt(count(ic)) from ics where ic is not null) as t,
+ (with {BRAND}, {_MONOTONE} select round(corr(bucket, place), 6) from rk) as mono, ({_WALK} select sum((not skipped)::int) from o) as scored, ({_WALK} select sum(genuine_win::int) / sum((not skipped)::int) from o) as win,
+ ({_WALK} select sum((not skipped and traded)::int) > 0 from o) as testable, ({_WALK} select avg(turnover) * 12 from path where strategy = 'signal') as turnover),
+v as (select *, list_filter([case when ic < 0.01 then 'min_ic' end, case when abs(t) < 2 then 'min_ic_t_statistic' end, case when mono < 0.5 then 'min_monotonicity' end, case when win < 0.5 then 'min_oos_fold_win_rate' end,
+ case when turnover > 12 then 'max_annual_turnover' end, 'require_deflation_survival'], lambda x: x is not null) as broken, list_filter([case when scored = 0 then 'no_folds' end, case when scored > 0 and not testable then 'never_traded' end], lambda x: x is not null) as invalid from e)
+select case when len(invalid) > 0 then 'invalid' when len(broken) > 0 then 'killed' else 'survived' end as verdict, array_to_string(case when len(invalid) > 0 then invalid else broken end, ',') as violations, cast(scored as bigint) as folds_scored from v""")
+def preregistered_verdict(spark, sf_dir):
+    """From panel to verdict: a claim, its evidence from diagnostics and walk-forward folds, and the bars."""
+    base = brand_months(spark, sf_dir)
+    claim = preregistration.Hypothesis(
+        "brand momentum", "brands that rose for three months go on rising", preregistration.EdgeSource.INFORMATION_PROCESSING,
+        "Buyers notice a brand's rise late, because price lists are compared once a quarter; until they do, those who hold the brand are paid by those who restock it.",
+        "all brands with a price", horizon_bars=1, warmup_bars=6, parameters=("look-back",),
+    )
+    ic = diagnostics.ic_summary(diagnostics.information_coefficient(base, CHANGE, "close")).first()
+    report = diagnostics.QuantileReport.of(diagnostics.quantile_spread(base, CHANGE, "close").withColumns(_six("mean_return")))
+    walk = _walk(spark, sf_dir)
+    folds = walk.summary().first()
+    turnover = walk.paths.where("strategy = 'signal'").agg(F.avg("turnover") * 12).first()[0]
+    evidence = preregistration.Evidence(ic.mean, ic.t_stat, round(report.monotonicity, 6), folds.win_rate, folds.scored, folds.testable, turnover, survived_deflation=False, trials_used=1, test_window_bars=12)
+    verdict, violations = preregistration.assess(claim, evidence)
+    return spark.createDataFrame([(verdict.value, ",".join(v.criterion for v in violations), folds.scored)], "verdict string, violations string, folds_scored long")
+
+
 @query()
 def causality_report(spark, sf_dir):
     base = brand_months(spark, sf_dir)
