@@ -431,18 +431,19 @@ def backtest_summary(spark, sf_dir):
     return out.withColumns(_six("total_return", "annual_turnover", "sharpe", "max_drawdown", "gross", "costs", "drag"))
 
 
-@query(f"""with {SUPPLIER}, {momentum_sql()}, src as (select * replace (-2.5 * w as w) from ({_EXIT})), {path_sql('src')}
+@query(f"""with {SUPPLIER}, {momentum_sql()}, src as (select * replace (10 * w as w) from ({_EXIT})), {path_sql('src')}
 select t, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in _PATH_COLUMNS)} from path""")
 def backtest_wipeout(spark, sf_dir):
-    """Two and a half times against momentum: the book is lost on the way."""
-    rows = _traded(spark, sf_dir).withColumn("w", F.col("w") * -2.5)
+    """Ten times momentum: the book is lost on the way."""
+    rows = _traded(spark, sf_dir).withColumn("w", F.col("w") * 10)
     return bt.backtest(rows, "w", "p", COSTS, delisting=-0.3).select("t", *_PATH_COLUMNS).withColumns(_six(*_PATH_COLUMNS))
 
 
-@query(f"""{_RUN} select t, asset, round(held, 6) + 0.0 as held, round(traded, 6) + 0.0 as traded, gone from b8""")
+@query(f"""{_RUN} select t, asset, round(held + 3e-8, 6) + 0.0 as held, round(traded + 3e-8, 6) + 0.0 as traded, gone from b8""")
 def held_weights(spark, sf_dir):
+    """Weights are often exact halves of a last digit, which engines round either way: both move off them."""
     cells = bt.cells_of(_traded(spark, sf_dir), "w", "p")
-    return bt.held_weights(cells, 1, ()).select("t", "asset", "held", "traded", "gone").withColumns(_six("held", "traded"))
+    return bt.held_weights(cells, 1, ()).select("t", "asset", "held", "traded", "gone").withColumns({c: F.round(F.col(c) + 3e-8, 6) + F.lit(0.0) for c in ("held", "traded")})
 
 
 _MONTH = "over (partition by asset order by t rows between 19 preceding and current row)"
