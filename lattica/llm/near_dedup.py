@@ -332,8 +332,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     told = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = checkpointed(told.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"))
     open_ = checkpointed(told.join(several, "bucket", "left_semi").select("bucket", "size", "node", "root"))
-    nodes = open_.select("node").distinct()
-    shorts = sketches.select("node", "short", "bands").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    nodes = checkpointed(open_.select("node").distinct())
+    # copies become one in the task that reads them, before the join
+    shorts = maybe_among(sketches.select("node", "short", "bands"), "node", nodes).dropDuplicates(["node"]).join(nodes, "node", "left_semi")
     longs = _long_sketches(profiles.join(nodes, "node", "left_semi"))
     more = checkpointed(_verify(_near_misses(open_.join(shorts.join(longs, "node"), "node"), similarity, bands, rows), profiles, similarity))
     if not more.isEmpty():
