@@ -20,7 +20,8 @@ Jaccard or a plain Jaccard of 0.8. It is looked for in two steps:
    standard errors leaves are compared exactly.
 
 So no pair of a bucket is lost that a link does not already join, and what leaves a block are
-near misses only; each leaves the least bucket that its texts share. Comparisons within an open bucket grow with the square of its texts, in work but not in rows: its pieces are of
+near misses only; each leaves the least bucket that its texts share. Comparisons within an
+open bucket grow with the square of its texts, in work but not in rows: its pieces are of
 bounded size. Equal texts are one node from the start, so copies make no pairs; a node is a
 64-bit hash of the text, and among 1e11 different texts about 270 pairs would be taken for
 copies. A class's id is its least doc_id (nulls last). Repeated rows belong to one class and each
