@@ -10,8 +10,7 @@ verbatim matches. Texts without any window's hash cannot match and are left out
 
 The benchmark reaches the tasks as broadcast blocks of at most BLOCK_BYTES of text, read one
 after the other: no block grows with the data, and a task unites the hits of all blocks. A further
-block costs a task the lookup of its windows' hashes, about 20 ns a word, and its place on the
-executors' disks.
+block costs a task the lookup of its windows' hashes, and its place on the executors' disks.
 Rows never meet, so there is no shuffle. Null and empty texts have no words and no hits;
 items without words have no windows; items that share a text all occur; a null item id shows
 as "null". Equal rows get equal results. A very long text is searched whole, in memory that
