@@ -199,6 +199,10 @@ def assemble_sales(lines: DataFrame, sales: DataFrame, calendar: Calendar = Cale
     own = spark.newSession()  # its settings are the stream's alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores
+    own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")  # stores of runs that are over go soon
+    own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    own.conf.set("spark.sql.shuffle.partitions", str(min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     latest = None
     for batch in range(calendar.batches):
         until = ALL if batch == calendar.batches - 1 else NONE if latest is None else latest - calendar.patience

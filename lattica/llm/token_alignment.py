@@ -213,11 +213,15 @@ def _in_blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: Types that pass pandas unchanged, nulls included; columns of others pass as one JSON text.
+_PLAIN = (T.StringType, T.BooleanType, T.DateType, T.DecimalType, T.BinaryType)
+
+
 def _aligned(docs: DataFrame, keep: list[str], a_path: str, b_path: str) -> DataFrame:
     """Rows of documents (with `places` of their pairs in the block's list, and `links`, empty where all are one)
     and, for each block, a row with `pairs` and the number of `holders` of each."""
-    kept = T.StructType([docs.schema[c] for c in keep])
-    schema = T.StructType([T.StructField("__block", T.LongType()), T.StructField("__row", kept), *[f for f in FIELDS if f.name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")], *[T.StructField(f"__{n}", T.BinaryType()) for n in ("places", "links")], T.StructField("__pairs", T.ArrayType(T.LongType())), T.StructField("__holders", T.ArrayType(T.LongType()))])
+    kept = [docs.schema[c] for c in keep]
+    schema = T.StructType([T.StructField("__block", T.LongType()), *[T.StructField(f.name, f.dataType) for f in kept], *[f for f in FIELDS if f.name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")], *[T.StructField(f"__{n}", T.BinaryType()) for n in ("places", "links")], T.StructField("__pairs", T.ArrayType(T.LongType())), T.StructField("__holders", T.ArrayType(T.LongType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -239,12 +243,11 @@ def _aligned(docs: DataFrame, keep: list[str], a_path: str, b_path: str) -> Data
                     links += often
                 every, at, holders = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
                 places = np.split(at.astype(np.uint32), np.cumsum([len(p) for p in pairs])[:-1])
-                yield pd.DataFrame(numbers | {"__block": block, "__row": list(frame["__row"][start:end]), "__places": [p.tobytes() for p in places], "__links": [x.astype(np.uint32).tobytes() if (x > 1).any() else b"" for x in links], "__pairs": None, "__holders": None})
-                yield pd.DataFrame({"__block": [block], "__row": [None], **dict.fromkeys(numbers), "__places": [None], "__links": [None], "__pairs": [every], "__holders": [holders]})
+                yield pd.DataFrame(numbers | {"__block": block, **{c: frame[c].iloc[start:end].to_numpy() for c in keep}, "__places": [p.tobytes() for p in places], "__links": [x.astype(np.uint32).tobytes() if (x > 1).any() else b"" for x in links], "__pairs": None, "__holders": None})
+                yield pd.DataFrame({"__block": [block], **dict.fromkeys([*keep, *numbers]), "__places": [None], "__links": [None], "__pairs": [every], "__holders": [holders]})
                 block += 1
 
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col("__text"))
-    return source.mapInPandas(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "__text").mapInPandas(run, schema)
 
 
 def pair_counts(rows: DataFrame, b_bits: int) -> DataFrame:
@@ -260,14 +263,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text: str = "tex
     """Adds FIELDS to each row: n_best and n_best_b count links whose pair is the commonest of its A id and of
     its B id, count_sum adds up the counts of all links. keep: columns that stay (all, unless a result column has the name)."""
     keep = [c for c in (names_clash(docs, FIELDS) if keep is None else keep) if c.lower() not in {f.name.lower() for f in FIELDS}]
-    key = docs.withColumn("__text", F.col(f"`{text}`").cast("string"))
-    made = written(_aligned(key, keep, a_path, b_path))
+    simple = [c for c in keep if isinstance(docs.schema[c].dataType, _PLAIN)]
+    rest = T.StructType([docs.schema[c] for c in keep if c not in simple])
+    key = docs.select(*[F.col(f"`{c}`") for c in simple], F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in rest])).alias("__rest") if len(rest) else F.lit(None).cast("string").alias("__rest"), F.col(f"`{text}`").cast("string").alias("__text"))
+    made = written(_aligned(key, [*simple, "__rest"], a_path, b_path))
     b_bits = (len(encoders(a_path, b_path).b_bytes) - 1).bit_length()
     rows = made.where("__pairs is not null").select(F.col("__block").alias("block"), F.posexplode(F.arrays_zip("__pairs", "__holders")).alias("at", "z")).select("block", "at", F.col("z.__pairs").alias("pair"), F.col("z.__holders").alias("holders"))
     counts = pair_counts(rows, b_bits).select("pair", "n", (F.col("n") == F.col("most_a")).alias("best_a"), (F.col("n") == F.col("most_b")).alias("best_b"))
     told = rows.select("block", "at", "pair").join(counts, "pair").select("block", "at", "n", "best_a", "best_b")
-    own = made.where("__pairs is null").withColumnRenamed("__block", "block").drop("__pairs", "__holders")
-    made_names = [f.name for f in own.schema.fields if f.name not in ("block", "__places", "__links")]
+    own = made.where("__pairs is null").drop("__pairs", "__holders")
+    made_names = [f.name for f in own.schema.fields if f.name not in ("__block", "__places", "__links")]
     out = T.StructType([*[own.schema[n] for n in made_names], *[f for f in FIELDS if f.name in ("n_best", "n_best_b", "count_sum")]])
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,5 +288,6 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text: str = "tex
         told = np.array(sums, np.int64).reshape(-1, 3)
         return pa.table([left.column(n) for n in made_names] + [pa.array(told[:, k], pa.int64()) for k in range(3)], names=[*made_names, "n_best", "n_best_b", "count_sum"])
 
-    both = own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(look_up, out)
-    return both.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], *[f.name for f in FIELDS])
+    both = own.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(look_up, out)
+    back = F.from_json("__rest", rest) if len(rest) else None
+    return both.select(*[F.col(f"`{c}`") if c in simple else back[c].alias(c) for c in keep], *[f.name for f in FIELDS])

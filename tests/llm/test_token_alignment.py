@@ -78,10 +78,11 @@ def test_query_equals_plain(spark, small):
 @pytest.mark.parametrize("block", [1 << 22, 100])
 def test_odd_texts_in_blocks(spark, monkeypatch, block):
     rows = [(2**62 + i, t) for i, t in enumerate(ODD)] + [(None, "hello world"), (5, "hello world"), (5, "hello world")]
-    docs = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, n_links int, block string")
+    docs = spark.createDataFrame([(d, t, 1, "s", {"a": [2**60 + 1, None]}, float("nan")) for d, t in rows], "doc_id long, text string, n_links int, block string, more map<string, array<long>>, share double")
     monkeypatch.setattr(token_alignment, "BLOCK_BYTES", block)
     made = align_tokenizers(docs, str(A), str(B))
-    assert made.columns[:3] == ["doc_id", "text", "block"]
+    assert made.columns[:5] == ["doc_id", "text", "block", "more", "share"]
+    assert made.where("more['a'][0] = 1152921504606846977 and share = double('NaN') and block = 's'").count() == len(rows)
     assert found(made) == sorted(((d, *w) for (d, _), w in zip(rows, plain([t for _, t in rows]))), key=str)
     assert align_tokenizers(docs.limit(0), str(A), str(B)).count() == 0
 
