@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lattica.llm.common import shared_folder
+from lattica.llm.common import shared_folder, written
 
 #: Lines for each bucket.
 BUCKET_ROWS = 16000
@@ -85,7 +85,8 @@ def day_rows(lines: DataFrame, sales: DataFrame, calendar: Calendar) -> DataFram
     own = lines.where("sale_id is not null").distinct().select(
         F.col("sale_id").cast("long").alias("sale_id"), F.coalesce(shipped, calendar.start + h % calendar.spread).cast("int").alias("day"), cents(F.col("amount").cast("double")).alias("cents")
     )
-    by_day = own.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents"))
+    # written, so that the shuffle of whole lines goes before the next one comes
+    by_day = written(own.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents")))
     by_sale = by_day.groupBy("sale_id").agg(F.sum("cents").alias("all"), F.max_by("cents", "day").alias("last"))
     arrived = F.coalesce(F.unix_date(F.col("arrived_at").cast("date")), F.lit(calendar.start)).cast("int")
     heads = sales.where("sale_id is not null").select(F.col("sale_id").cast("long").alias("sale_id"), arrived.alias("day"), cents(F.col("total").cast("double")).alias("total"))
