@@ -20,7 +20,8 @@ corpus. Texts are dealt by a hash of their rows to shards of about SHARD_WORDS w
 trains its own copy in numpy, text after text; the copies of a round are then averaged, each
 parameter row by the words that moved it, and the next round goes on from there. Of n shards,
 about sqrt(n) train at once in about sqrt(n) rounds: both steps and parallelism grow with the
-corpus, and the parameters do not depend on how the input is partitioned.
+corpus, and the parameters do not depend on how the input is partitioned (but for which of its
+shards hold which copies of wholly equal rows). A round that leaves the finite numbers fails.
 
 Words are what lies between ASCII white space, in lower case. Null, empty and wordless texts
 have no tokens, log_likelihood 0 and no mean. A very long text is scored and trained on whole (memory
@@ -30,6 +31,7 @@ scores. An empty corpus gives a model of equal shares.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -277,13 +279,14 @@ def learn_vocabulary(counts: DataFrame, own: int = OWN) -> tuple[Vocabulary, int
 def shards_of(docs: DataFrame, text: str, vocabulary: Vocabulary, shards: int, rounds: int) -> DataFrame:
     """round, shard, words, ends: the entries of each shard's texts, in an order that does not depend on where they lie.
 
-    A text's shard is a hash of its row, so copies with ids of their own are spread; a row of the
-    result holds about SHARD_WORDS words."""
+    A text's shard is a hash of its row, so copies with ids of their own are spread; wholly equal rows
+    are dealt on to the next shards as a task meets them. A row of the result holds about SHARD_WORDS words."""
     some = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = docs.select(F.xxhash64(*some).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # OWN + SHARED entries at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
         for batch in batches:
             for part, texts in chunks(batch, 1):
                 hashes, first = hashes_of(texts)
@@ -291,7 +294,13 @@ def shards_of(docs: DataFrame, text: str, vocabulary: Vocabulary, shards: int, r
                 key = part.column(0).to_numpy()
                 own = np.flatnonzero(np.diff(first))
                 words = [made[first[i] : first[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(key[own] % shards), pa.array(key[own]), pa.array(words, pa.binary())], names=["shard", "key", "words"])
+                turn = np.empty(len(own), np.int64)
+                for i, k in enumerate(key[own].tolist()):
+                    turn[i] = seen[k]
+                    seen[k] += 1
+                yield pa.RecordBatch.from_arrays([pa.array((key[own] % shards + turn) % shards), pa.array(key[own]), pa.array(words, pa.binary())], names=["shard", "key", "words"])
+            if len(seen) > 1 << 18:
+                seen.clear()
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True))
@@ -320,7 +329,7 @@ def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np
                 cut = np.searchsorted(moved, np.arange(0, len(start) + BLOCK, BLOCK))
                 some = np.flatnonzero(np.diff(cut))
                 spans = [moved[cut[k] : cut[k + 1]] for k in some]
-                change = [np.column_stack([trainer.table[m] - start[m], trainer.squares[m] - start_squares[m]]).astype(np.float16).tobytes() for m in spans]
+                change = [np.column_stack([trainer.table[m] - start[m], trainer.squares[m] - start_squares[m]]).tobytes() for m in spans]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int64()), pa.array([m.astype(np.int32).tobytes() for m in spans], pa.binary()), pa.array([trainer.used[m].tobytes() for m in spans], pa.binary()), pa.array(change, pa.binary())],
                     names=["block", "rows", "used", "change"],
@@ -333,7 +342,7 @@ def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np
         for rows, n, change in sorted(zip(*(part.column(c).to_pylist() for c in ("rows", "used", "change")), strict=True)):
             at, n = np.frombuffer(rows, np.int32) - block * BLOCK, np.frombuffer(n, np.int64)
             used[at] += n
-            total[at] += np.frombuffer(change, np.float16).reshape(-1, WIDTH + 2).astype(np.float64) * n[:, None]
+            total[at] += np.frombuffer(change, np.float32).reshape(-1, WIDTH + 2).astype(np.float64) * n[:, None]
         at = np.flatnonzero(used)
         mean = (total[at] / used[at, None]).astype(np.float32)
         return pa.table({"rows": pa.array([(at + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
@@ -346,6 +355,8 @@ def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np
         table[at] += change[:, :-1]
         squares[at] += change[:, -1]
     shared.destroy()
+    if not (np.isfinite(table).all() and np.isfinite(squares).all()):
+        raise FloatingPointError("training left the finite numbers")
     return table, squares
 
 

@@ -125,3 +125,25 @@ def test_context_tells_rare_words_apart(spark):
     model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), passes=3, batch=64)
     hashes, first = lm.hashes_of([t.encode() for t in texts[:50]])
     assert model.each(hashes, first).mean() > model.vocabulary.log_share[model.vocabulary.entries(hashes)].mean() + 1
+
+
+def test_full_shards_over_several_rounds_stay_finite_and_learn(spark):
+    """Five shards of a million words, three rounds: the sums of squares go far beyond what half floats hold."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = lm.train(docs)
+    assert np.isfinite(model.table).all()
+    texts = [r.text.encode() for r in docs.where("doc_id % 40 = 0 and text is not null").collect()]
+    hashes, first = lm.hashes_of(texts)
+    own = model.each(hashes, first)
+    assert np.isfinite(own).all()
+    assert own.mean() > model.vocabulary.log_share[model.vocabulary.entries(hashes)].mean() + 0.3
+    rows = lm.score_texts(docs.where("doc_id % 40 = 0"), model).collect()
+    assert all(np.isfinite(r.log_likelihood) and r.log_likelihood < 0 for r in rows if r.n_tokens)
+
+
+def test_wholly_equal_rows_are_dealt_to_all_shards(spark):
+    docs = spark.createDataFrame([(1, "the same text again and again " * 20)] * 300, "doc_id long, text string").repartition(3)
+    vocabulary, _ = lm.learn_vocabulary(lm.word_counts(docs, "text"))
+    found = lm.shards_of(docs, "text", vocabulary, 4, 2).selectExpr("shard", "length(ends) as n").collect()
+    assert sorted(r.shard for r in found) == [0, 1, 2, 3] and max(r.n for r in found) < 1.1 * min(r.n for r in found)
+    assert sum(r.n for r in found) == 300 * 8
