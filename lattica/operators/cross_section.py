@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattica.errors import PanelError
-from lattica.plans.signal import Keys, Signal
+from lattica.functions.windows import Sliding
+from lattica.plans.signal import Keys, Signal, series
 
 MIN_BREADTH = 5
 
@@ -97,9 +98,5 @@ def ts_rank(signal: Signal, window: int) -> Signal:
     if window < 1:
         raise PanelError(f"window must be at least 1, got {window}")
 
-    def make(k: Keys, a: Column) -> Column:
-        frame = k.asset().rangeBetween(-(window - 1), 0)
-        below = F.size(F.filter(F.collect_list(a).over(frame), lambda v: v < a))
-        return F.when(F.count(a).over(frame) == window, below / float(window - 1) if window > 1 else F.lit(0.0))
-
-    return Signal(f"ts_rank({signal.label}, {window})", (signal,), make, "asset")
+    below = series(f"below({signal.label}, {window})", signal, Sliding("below", window, window))
+    return Signal(f"ts_rank({signal.label}, {window})", (below,), lambda k, a: a / float(max(1, window - 1)))

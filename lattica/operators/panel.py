@@ -1,7 +1,8 @@
 """Panels: a dense long table (t, ts, asset, fields) over the axes of its times and assets.
 
 `t` counts the distinct times from 0; `pos` counts the assets in order. The axes are as long
-as the calendar and the list of assets, the only tables the grid is crossed from.
+as the calendar and the list of assets, the only tables the grid is crossed from: numbered
+times, dealt to as many tasks as the session shuffles to, meet the assets in chunks of CHUNK.
 """
 
 from __future__ import annotations
@@ -12,25 +13,44 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import PanelError
+from lattica.sources.store import stored
 
 
-def axes(rows: DataFrame) -> DataFrame:
-    """One row: the distinct times in order and the distinct assets, from one aggregation with partial sets."""
-    return rows.agg(F.array_sort(F.collect_set("ts")).alias("times"), F.array_sort(F.collect_set("asset")).alias("assets"))
+#: Assets that a row of the grid's second axis holds.
+CHUNK = 64
+
+
+def axes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, ts, chunks): the distinct times, numbered, and (chunk, assets): the distinct assets in chunks. Both are lists
+    of distinct values, from aggregations with partial sets."""
+    assets = rows.agg(F.array_sort(F.collect_set("asset")).alias("assets"))
+    n = F.ceil(F.size("assets") / CHUNK).cast("int")
+    chunks = assets.select("assets", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("chunk")).select("chunk", F.slice("assets", F.col("chunk") * CHUNK + 1, CHUNK).alias("assets"))
+    both = rows.agg(F.array_sort(F.collect_set("ts")).alias("times"), F.count_distinct("asset").alias("n"))
+    times = both.select(F.posexplode("times").alias("t", "ts"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    return times, chunks
+
+
+def grid(rows: DataFrame) -> DataFrame:
+    """t, ts, asset of all times and assets, made in as many tasks as the session shuffles to: the calendar is dealt
+    out by t, each time names the chunks, and a join by the chunk's number brings their assets."""
+    times, chunks = axes(rows)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = times.repartition(tasks, "t").select("t", "ts", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return named.join(chunks, "chunk").select("t", "ts", F.explode("assets").alias("asset"))
 
 
 def dense_panel(rows: DataFrame) -> DataFrame:
-    """The grid of all times and assets with the rows' fields, NULL where there is no row. rows are
-    read twice: for the axes, which are as long as the calendar and the list of assets, and for the cells."""
-    grid = axes(rows).select("assets", F.posexplode("times").alias("t", "ts")).select("t", "ts", F.explode("assets").alias("asset"))
+    """The grid of all times and assets with the rows' fields, NULL where there is no row. rows are read
+    three times, twice for one column (the axes): hand over a stored table if they cost something."""
     fields = [c for c in rows.columns if c not in ("t", "ts", "asset")]
-    return grid.join(rows.select("ts", "asset", *fields), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
+    return grid(rows).join(rows.select("ts", "asset", *fields), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
 
 
 def long_to_panel(rows: DataFrame, date: str, asset: str, value: str, order: Sequence[str | Column], name: str = "v") -> DataFrame:
     """Long rows as a dense panel; of several rows for one cell the first by `order` counts."""
     cells = rows.groupBy(F.col(date).alias("ts"), F.col(asset).cast("string").alias("asset")).agg(F.min_by(F.struct(F.col(value).try_cast("double").alias("v")), F.struct(*order)).getField("v").alias(name))
-    return dense_panel(cells.where("ts is not null and asset is not null"))
+    return dense_panel(stored(cells.where("ts is not null and asset is not null")))
 
 
 def checked(panel: DataFrame) -> DataFrame:
@@ -87,7 +107,8 @@ def between(panel: DataFrame, start, end) -> DataFrame:
 
 
 def align(*panels: DataFrame) -> DataFrame | list[DataFrame]:
-    """Panels on their common times and assets, as one table (fields must differ); one panel stays as it is."""
+    """Panels on their common times and assets, as one table (fields must differ); one panel stays as it is.
+    Panels without a common time and asset are refused, which costs a look at the first row."""
     if len(panels) == 1:
         return panels[0]
     out = panels[0].drop("t")
@@ -96,6 +117,8 @@ def align(*panels: DataFrame) -> DataFrame | list[DataFrame]:
         if clash:
             raise PanelError(f"fields in several panels: {sorted(clash)}")
         out = out.join(p.drop("t"), ["ts", "asset"])
+    if out.isEmpty():
+        raise PanelError("the panels share no time and asset")
     # panels are dense, so each common asset has all common times
     place = (F.row_number().over(Window.partitionBy("asset").orderBy("ts")) - 1).cast("int")
     return out.select(place.alias("t"), "ts", "asset", *[c for c in out.columns if c not in ("ts", "asset")])

@@ -1,6 +1,8 @@
 """Signals: lazy expressions over a dense panel (run keys, t, ts, asset, fields).
 
-A node says on which axis it looks: a cell, an asset's time window, or a time's cross-section.
+A node says on which axis it looks: a cell, an asset's time window, a time's cross-section, or an
+asset's series by a kernel of its own (order statistics, and windows wider than WIDE: a window
+frame computes each row's statistic anew, at a cost that grows with the window).
 `add_signals` compiles a set of signals to stacked projections in which neighbouring nodes of
 one axis share a window, so the plan has one exchange for each change of axis and none for
 arithmetic. Missing values are NULL. Because nodes are data, reading the future can be proved
@@ -16,6 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lattica.errors import PanelError
+from lattica.functions.windows import Sliding, along_assets
+
+#: Rows of a window up to which Spark's own frames compute sums, moments and extremes.
+WIDE = 64
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,7 @@ class Signal:
     make: Callable[..., Column] = field(repr=False)
     axis: str = "cell"
     future: bool = False
+    sliding: Sliding | None = None
 
     def __repr__(self) -> str:
         return self.label
@@ -137,17 +144,20 @@ class Signal:
         if statistic not in _STATISTICS:
             raise PanelError(f"unknown statistic {statistic!r}; one of {sorted(_STATISTICS)}")
 
+        label = f"rolling_{statistic}({self.label}, {window})"
+        if statistic == "median" or window > WIDE:
+            return series(label, self, Sliding(statistic, window, least))
+
         def make(k: Keys, a: Column) -> Column:
             frame = k.asset().rangeBetween(-(window - 1), 0)
             return F.when(F.count(a).over(frame) >= least, _STATISTICS[statistic](a, frame))
 
-        return Signal(f"rolling_{statistic}({self.label}, {window})", (self,), make, "asset")
+        return Signal(label, (self,), make, "asset")
 
 
-def _median(a: Column, frame: WindowSpec) -> Column:
-    values = F.array_sort(F.collect_list(a).over(frame))
-    n = F.size(values)
-    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+def series(label: str, signal: Signal, sliding: Sliding) -> Signal:
+    """A statistic of sliding windows along each asset, by the kernel."""
+    return Signal(label, (signal,), lambda k, a: a, "series", sliding=sliding)
 
 
 _STATISTICS: dict[str, Callable[[Column, WindowSpec], Column]] = {
@@ -156,7 +166,7 @@ _STATISTICS: dict[str, Callable[[Column, WindowSpec], Column]] = {
     "sum": lambda a, f: F.sum(a).over(f),
     "min": lambda a, f: F.min(a).over(f),
     "max": lambda a, f: F.max(a).over(f),
-    "median": _median,
+    "median": lambda a, f: F.median(a).over(f),
 }
 
 
@@ -185,12 +195,15 @@ def add_signals(panel: DataFrame, signals: dict[str, Signal], run: tuple[str, ..
     while len(done) < len(order):
         ready = [s for s in order if id(s) not in done and all(id(i) in done for i in s.inputs)]
         # cells first, then the axis in hand, so that an axis changes only when it must
-        for choice in ("cell", axis, "asset", "time"):
+        for choice in ("cell", axis, "asset", "series", "time"):
             batch = [s for s in ready if s.axis == choice]
             if batch:
                 axis = axis if choice == "cell" else choice
                 break
-        out = out.withColumns({names[id(s)]: s.make(keys, *[F.col(names[id(i)]) for i in s.inputs]) for s in batch})
+        if batch[0].axis == "series":
+            out = along_assets(out, {names[id(s)]: (names[id(s.inputs[0])], s.sliding) for s in batch}, run)
+        else:
+            out = out.withColumns({names[id(s)]: s.make(keys, *[F.col(names[id(i)]) for i in s.inputs]) for s in batch})
         done |= {id(s) for s in batch}
     taken = [c for c in panel.columns if c not in signals]
     return out.select(*[F.col(f"`{c}`") for c in taken], *[F.col(names[id(s)]).alias(n) for n, s in signals.items()])

@@ -141,10 +141,15 @@ def panel_arithmetic(spark, sf_dir):
     return add_signals(brand_months(spark, sf_dir), made).select("t", "asset", *made).withColumns(_six(*made))
 
 
-@query("select * from (values (0, date '2020-01-01', 'A', 1.0), (0, date '2020-01-01', 'B', null), (1, date '2020-01-03', 'A', 2.5), (1, date '2020-01-03', 'B', -3.0)) as v(t, ts, asset, v)")
+@query("""with m as (select cast(date_trunc('year', o_orderdate) as date) as ts, o_orderpriority as asset, sum(cast(round(o_totalprice * 100) as bigint)) as c from orders where o_orderstatus = 'P' group by 1, 2)
+select cast(a.t as integer) as t, a.ts, b.asset, cast(m.c as double) as v from (select ts, row_number() over (order by ts) - 1 as t from (select distinct ts from m)) a cross join (select distinct asset from m) b left join m on m.ts = a.ts and m.asset = b.asset""")
 def panel_from_rows(spark, sf_dir):
-    days = [dt.date(2020, 1, 1), dt.date(2020, 1, 3)]
-    return panel.from_rows(spark, [[1.0, float("nan")], [2.5, -3.0]], days, ["A", "B"])
+    """A small table by year and priority, gathered and handed over as rows of a matrix."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'")
+    made = orders.groupBy(F.to_date(F.date_trunc("year", "o_orderdate")).alias("ts"), F.col("o_orderpriority").alias("asset")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("v"))
+    cells = {(r.ts, r.asset): r.v for r in made.collect()}  # years times priorities
+    days, names = (sorted({k[i] for k in cells}) for i in (0, 1))
+    return panel.from_rows(spark, [[cells.get((d, n)) for n in names] for d in days], days, names)
 
 
 @query(f"with {BRAND} select t, asset, cast(case asset when 'Brand#12' then 0 else 1 end as integer) as pos, round(close, 6) as close from panel where asset in ('Brand#12', 'Brand#11')")
@@ -171,6 +176,11 @@ _TIME: dict[str, tuple[Signal, str]] = {
         f"rolling_{name}": (CLOSE.rolling(12, name, 6), f"case when count(close) {rows_(12)} >= 6 then {f}(close) {rows_(12)} end")
         for name, f in (("mean", "avg"), ("std", "stddev_pop"), ("sum", "sum"), ("min", "min"), ("max", "max"), ("median", "median"))
     },
+    **{
+        f"rolling_{name}_wide": (CLOSE.rolling(104, name, 52), f"case when count(close) {rows_(104)} >= 52 then {f}(close) {rows_(104)} end")
+        for name, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("median", "median"))
+    },
+    "ts_rank_wide": (ts_rank(CLOSE, 52), f"case when count(close) {rows_(52)} = 52 then (" + " + ".join(f"case when lag(close, {i}) {A} < close then 1 else 0 end" for i in range(1, 52)) + ") / 51.0 end"),
     "ts_zscore": (ts_zscore(CLOSE, 12), f"case when count(close) {rows_(12)} = 12 then (close - avg(close) {rows_(12)}) / nullif(stddev_pop(close) {rows_(12)}, 0) end"),
     "ts_decay": (ts_decay(CLOSE, 6), f"case when count(close) {rows_(6)} = 6 then (" + " + ".join(f"{6 - i} * lag(close, {i}) {A}" for i in range(6)) + ") / 21.0 end"),
     "ts_rank": (ts_rank(CLOSE, 8), f"case when count(close) {rows_(8)} = 8 then (" + " + ".join(f"case when lag(close, {i}) {A} < close then 1 else 0 end" for i in range(1, 8)) + ") / 7.0 end"),

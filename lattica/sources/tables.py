@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.panel import dense_panel
+from lattica.sources.store import stored
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Prices from integer sums, so that they do not depend on the order of summing."""
+    """Prices from integer sums, so that they do not depend on the order of summing; lines are scanned once, when the panel is built."""
     made = rows.groupBy("asset", "ts").agg(F.sum("cents").alias("cents"), F.sum("l_quantity").alias("qty"))
-    # true of every row; it keeps both sums in whatever is read of the cells, so that all of it comes from one exchange
-    made = made.where(F.xxhash64("cents", "qty") >= -(2**63))
-    return made.select("asset", "ts", F.try_divide(F.col("cents").cast("double"), "qty").alias("close"), (F.col("cents").cast("double") / 100).alias("adv"))
+    return stored(made.select("asset", "ts", F.try_divide(F.col("cents").cast("double"), "qty").alias("close"), (F.col("cents").cast("double") / 100).alias("adv")))
 
 
 def _lines(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lattica.errors import DataError
 from lattica.operators import universe
 from lattica.operators.panel import dense_panel
+from lattica.sources.store import new_folder, read_panel, stored, write_panel
 
 # Codes of the vendor's files.
 US_COMMON_SHARES = (10, 11)
@@ -58,6 +59,19 @@ class Dataset:
         return cells.join(gone)  # one row each
 
 
+def keep_dataset(data: Dataset, folder: str | None = None) -> Dataset:
+    """The dataset as Parquet tables (the panel by year), in a new folder if none is given, read back from there."""
+    spark = data.panel.sparkSession
+    folder = folder or new_folder(spark)
+    write_panel(data.panel, f"{folder}/panel")
+    data.securities.write.mode("errorifexists").parquet(f"{folder}/securities")
+    return open_dataset(spark, folder)
+
+
+def open_dataset(spark: SparkSession, folder: str) -> Dataset:
+    return Dataset(read_panel(spark, f"{folder}/panel").drop("year"), spark.read.parquet(f"{folder}/securities"))
+
+
 def numeric(column: str | Column) -> Column:
     """A trimmed number; letter codes are NULL."""
     return F.trim(F.col(column) if isinstance(column, str) else column).try_cast("double")
@@ -103,7 +117,7 @@ def _tickers(rows: DataFrame) -> DataFrame:
 
 
 def _dataset(rows: DataFrame, delistings: DataFrame, cells: DataFrame) -> Dataset:
-    panel = dense_panel(cells)
+    panel = dense_panel(stored(cells))
     return Dataset(panel, listings(panel).join(delistings, "asset", "left").join(_tickers(rows), "asset", "left"))
 
 
@@ -194,6 +208,8 @@ def check_point_in_time(fundamentals: DataFrame, fiscal: str = "datadate", repor
     missing = [c for c in (fiscal, report) if c not in fundamentals.columns]
     if missing:
         raise DataError(f"fundamentals lack {missing}: without a report date nothing says when they were known")
+    if fundamentals.isEmpty():
+        raise DataError("fundamentals have no rows: nothing says when they were known")
     lag = F.datediff(F.col(report), F.col(fiscal))
     out = fundamentals.agg(F.percentile(lag, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("p"), F.count_if(F.col(report).isNull()).alias("undated"), F.count("*").alias("n"))
     return out.select(F.get("p", 0).alias("median_days"), F.get("p", 1).alias("p10_days"), F.get("p", 2).alias("p90_days"), "undated", "n")

@@ -168,3 +168,17 @@ def test_causality(spark):
     assert not report.causal and report.first[0] < 8 and "reads the future" in report.describe()
     with pytest.raises(ValueError):
         causality.check_causality(chain, p.where("t < 3"), ("v",))
+
+
+def test_the_grid_is_made_in_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("date_add(date'2020-01-01', cast(id % 40 as int)) as ts", "cast(id * 7 % 300 as string) as asset", "double(id) as v").dropDuplicates(["ts", "asset"])
+    made = panel.dense_panel(rows)
+    assert made.rdd.getNumPartitions() >= 4
+    assert made.agg(F.count("*"), F.count_distinct("t"), F.count_distinct("asset"), F.max("t"), F.count("v")).first()[:] == (40 * 300, 40, 300, 39, rows.count())
+    assert panel.dense_panel(rows.where("v < 0")).count() == 0
+
+
+def test_panels_without_anything_in_common_are_refused(spark):
+    one = panel.from_rows(spark, [[1.0]], days(1), ["A"], "v")
+    with pytest.raises(PanelError):
+        panel.align(one, panel.from_rows(spark, [[1.0]], days(1), ["B"], "w"))
