@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,8 @@ from lattica.operators import causality, diagnostics, events, panel, universe, w
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
 from lattica.plans.signal import Signal, add_signals, field_of
 from lattica.sources.tables import brand_months, supplier_weeks
-from lattica.sources.vendor import check_point_in_time, ciz_cells, dataset_from_panel, listings, verify_extract
+from lattica.sources.store import new_folder
+from lattica.sources.vendor import Dataset, check_point_in_time, ciz_cells, dataset_from_panel, keep_dataset, listings, load_extract, verify_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -742,3 +742,93 @@ select count(distinct asset) as n_securities, count(distinct t) as n_sessions, r
  (select median(n) from (select count(close) as n from panel group by t)) as median_breadth, (select count(last) from l) as delisted, (select count(last) = 0 from l) as survivorship_warning from d""")
 def dataset_summary(spark, sf_dir):
     return dataset_from_panel(supplier_weeks(spark, sf_dir)).summary().withColumns(_six("years", "coverage"))
+
+
+# --- files: both layouts written as CSV from lines, loaded, kept as Parquet by year ----------
+
+
+def _as_csv(rows: DataFrame, *order: str) -> str:
+    """The rows in several files in a new folder; the columns they are ordered by stay behind."""
+    folder = new_folder(rows.sparkSession)
+    rows.repartitionByRange(4, *order).sortWithinPartitions(*order).drop(*order).write.option("header", True).csv(folder)
+    return folder
+
+
+def _with_securities(data: Dataset) -> DataFrame:
+    kept = keep_dataset(data)
+    both = kept.panel.join(kept.securities, "asset", "left")
+    return both.select("t", "ts", "asset", "close", "close_raw", "adv", "ret", "first_tradable", "last_tradable", "delist_ret", "ticker").withColumns(_six("close", "close_raw", "adv", "ret", "delist_ret"))
+
+
+def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.withColumns({"ok": F.col("l_orderkey"), "ln": F.col("l_linenumber"), "id": F.col("l_suppkey"), "day": F.to_date(F.date_trunc("week", "l_shipdate")), "price": F.try_divide(F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")), "gain": F.round(F.col("l_discount").cast("double") - 0.05, 4)})
+
+
+_LOADED = """ax as (select ts, cast(row_number() over (order by ts) - 1 as integer) as t from (select distinct ts from c)),
+panel as (select ax.t, ax.ts, a.asset, close, close_raw, adv, ret from ax cross join (select distinct asset from c) a left join c on c.ts = ax.ts and c.asset = a.asset),
+li as (select asset, min(ts) as first_tradable, case when max(ts) < (select max(ts) from ax) then max(ts) end as last_tradable from panel where close is not null group by asset)
+select t, ts, panel.asset, round(close, 6) as close, round(close_raw, 6) as close_raw, round(adv, 6) as adv, round(ret, 6) + 0.0 as ret, first_tradable, last_tradable, round(delist_ret, 6) + 0.0 as delist_ret, ticker
+from panel left join li on li.asset = panel.asset left join ex on ex.asset = panel.asset and li.asset is not null left join tk on tk.asset = panel.asset and li.asset is not null"""
+_FILE_LINES = "select l_orderkey as ok, l_linenumber as ln, l_suppkey as id, cast(l_suppkey as varchar) as asset, cast(date_trunc('week', l_shipdate) as date) as ts, cast(l_extendedprice as double) / l_quantity as price, round(l_discount - 0.05, 4) as gain, l_quantity, l_returnflag, l_tax, l_extendedprice from lineitem"
+
+
+@query(f"""with f as ({_FILE_LINES}), r as (select *, case when ln = 7 then null when ln = 5 then -price else price end as prc, case when ln = 1 and ok % 7 = 0 then null else gain end as ret,
+  case when ln = 4 and l_returnflag = 'R' then -l_tax end as dlret, case when ln <> 2 then 'T' || asset || '-' || ln end as tick from f where id % 3 < 2 and id % 4 < 3),
+c0 as (select ts, asset, first(prc order by ok, ln) as prc, first(l_quantity order by ok, ln) as vol, first(ret order by ok, ln) as ret from r group by 1, 2),
+c as (select ts, asset, case when prc > 0 then prc end as close, abs(prc) as close_raw, vol * abs(prc) as adv, ret from c0),
+ex as (select asset, last(dlret order by ok, ln) filter (where dlret is not null) as delist_ret from r group by 1),
+tk as (select asset, last(tick order by ts, ok, ln) filter (where tick is not null) as ticker from r group by 1), {_LOADED}""")
+def load_legacy_files(spark, sf_dir):
+    """Lines as the older layout: several rows for a cell, of which the first in file order counts; negative prices,
+    letters for returns, other shares and venues; exits by the last return in file order."""
+    rows = _file_lines(spark, sf_dir).select(
+        "ok",
+        "ln",
+        F.col("id").alias("PERMNO"),
+        F.col("day").alias("date"),
+        F.when(F.col("ln") == 7, None).when(F.col("ln") == 5, -F.col("price")).otherwise(F.col("price")).alias("PRC"),
+        F.col("l_quantity").alias("VOL"),
+        F.when((F.col("ln") == 1) & (F.col("ok") % 7 == 0), "C").otherwise(F.col("gain").cast("string")).alias("RET"),
+        (10 + F.col("id") % 3).alias("SHRCD"),
+        (1 + F.col("id") % 4).alias("EXCHCD"),
+        F.when(F.col("ln") != 2, F.concat(F.lit("T"), F.col("id"), F.lit("-"), F.col("ln"))).alias("TICKER"),
+        F.when(F.col("ln") == 4, F.when(F.col("l_returnflag") == "R", (-F.col("l_tax")).cast("string")).otherwise("A")).alias("DLRET"),
+    )
+    return _with_securities(load_extract(spark, _as_csv(rows, "ok", "ln")))
+
+
+@query(f"""with f as ({_FILE_LINES}), r0 as (select *, case when ln <> 6 then price end as prc, case when ln <> 6 then gain end as gain_, row_number() over (partition by asset, ts order by ok, ln) as n from f),
+r as (select *, row_number() over (partition by asset order by ts) as k from r0 where n = 1 and ln <> 3 and id % 4 < 3 and id % 5 > 0),
+v as (select *, first(prc) over w as p0, first(1 + coalesce(gain_, 0)) over w as g0, product(1 + coalesce(gain_, 0)) over w as ch from r window w as (partition by asset order by ts rows unbounded preceding)),
+c as (select ts, asset, case when ln not in (2, 6, 7) then p0 * ch / g0 end as close, prc as close_raw, l_extendedprice as adv, gain_ as ret from v),
+ex as (select cast(s_suppkey as varchar) as asset, case when s_suppkey % 3 = 0 then -(s_suppkey % 10) / 20.0 else -(s_suppkey % 7) / 10.0 end as delist_ret from supplier where s_suppkey % 2 = 0),
+tk as (select asset, last('T' || asset || '-' || ln order by ts) as ticker from r group by 1), {_LOADED}""")
+def load_ciz_files(spark, sf_dir):
+    """Lines as the newer layout and a table of delistings: repeated rows go before any filter, prices are chained from
+    returns, flagged days have none, the last return of a delisting counts."""
+    flag = F.when(F.col("ln") == 2, " ba").when(F.col("ln") == 6, "NT").when(F.col("ln") == 7, "DA").otherwise("TR")
+    traded = F.col("ln") != 6
+    rows = _file_lines(spark, sf_dir).select(
+        "ok",
+        "ln",
+        F.col("id").alias("PERMNO"),
+        F.col("day").alias("DlyCalDt"),
+        F.when(traded, F.col("price")).alias("DlyPrc"),
+        flag.alias("DlyPrcFlg"),
+        F.col("l_quantity").alias("DlyVol"),
+        F.col("l_extendedprice").alias("DlyPrcVol"),
+        F.when(traded, F.col("gain")).alias("DlyRet"),
+        F.when(F.col("ln") == 3, "ADR").otherwise("NS").alias("ShareType"),
+        F.element_at(F.array(*map(F.lit, "NAQX")), (F.col("id") % 4 + 1).cast("int")).alias("PrimaryExch"),
+        F.concat(F.lit("T"), F.col("id"), F.lit("-"), F.col("ln")).alias("Ticker"),
+        F.when(F.col("id") % 5 == 0, "FUND").otherwise("EQTY").alias("SecurityType"),
+        F.lit(" COM").alias("SecuritySubType"),
+        F.lit("CORP").alias("IssuerType"),
+        F.lit("Y").alias("USIncFlg"),
+    )
+    key = F.col("s_suppkey")
+    gone = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(key % 2 == 0).select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    last = F.when(key % 3 == 0, F.lit("B")).otherwise((-(key % 7) / 10).cast("string"))
+    gone = gone.select(F.col("s_suppkey").alias("ok"), F.col("k").alias("ln"), key.alias("PERMNO"), F.when(F.col("k") == 0, (-(key % 10) / 20).cast("string")).otherwise(last).alias("DelRet"))
+    return _with_securities(load_extract(spark, _as_csv(rows, "ok", "ln"), _as_csv(gone, "ok", "ln")))
