@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.errors import SignificanceError
@@ -14,11 +14,51 @@ from lattica.errors import SignificanceError
 EULER = 0.5772156649015329
 
 
+def cdf(x: Column) -> Column:
+    """The normal distribution function, by its series; beyond 8 deviations it is 0 or 1."""
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(150)),
+        F.struct(x.alias("term"), x.alias("sum")),
+        lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum")),
+        lambda s: s["sum"],
+    )
+    inside = 0.5 + terms * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return F.when(x > 8, 1.0).when(x < -8, 0.0).when(x.isNotNull(), F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
+
+
+def quantile(p: Column) -> Column:
+    """The normal quantile of p inside (0, 1), by halving; NULL outside."""
+    start = F.struct(F.lit(-8.0).alias("low"), F.lit(8.0).alias("high"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        below = cdf(mid) < p
+        return F.struct(F.when(below, mid).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, half, lambda s: (s["low"] + s["high"]) / 2)
+    return F.when((p > 0) & (p < 1), found)
+
+
+def deflation(frame: DataFrame, returns: str, by: Sequence[str]) -> DataFrame:
+    """Of each trial (by): n, sharpe (0 without one), probabilistic (that the true ratio exceeds 0) and deflated
+    (that it exceeds expected_max, the best of n_trials worthless ones), both NULL without a ratio, survives, and identical: three or more
+    trials of one ratio are no search. One grouped plan for any number of trials; only their one row of sums meets all."""
+    trials = moments(frame, returns, by).withColumns({"rated": F.col("sharpe").isNotNull() & ~F.isnan("sharpe"), "sharpe": F.coalesce(F.nanvl("sharpe", F.lit(0.0)), F.lit(0.0))})
+    search = trials.agg(F.count("*").alias("n_trials"), F.var_pop("sharpe").alias("v"), ((F.count("*") >= 3) & (F.min("sharpe") == F.max("sharpe"))).alias("identical"))
+    n = F.col("n_trials")
+    lucky = (1 - EULER) * quantile(1 - 1 / n) + EULER * quantile(1 - 1 / (n * math.e))
+    search = search.select("n_trials", "identical", F.when((n > 1) & (F.col("v") > 0), F.sqrt("v") * lucky).otherwise(0.0).alias("expected_max"))
+    spread = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") * F.col("sharpe")))
+    beyond = lambda bar: F.when(F.col("rated"), cdf((F.col("sharpe") - bar) * F.sqrt(F.col("n") - 1) / spread))
+    made = trials.crossJoin(search).withColumns({"probabilistic": beyond(F.lit(0.0)), "deflated": beyond(F.col("expected_max"))})  # one row
+    return made.select(*by, "n", "sharpe", "n_trials", "expected_max", "probabilistic", "deflated", (F.coalesce("deflated", F.lit(0.0)) >= 0.95).alias("survives"), "identical")
+
+
 def moments(frame: DataFrame, returns: str, by: Sequence[str] = ()) -> DataFrame:
     """n, sharpe (sample deviation), skew and kurtosis (both with the sample deviation, kurtosis not in
-    excess) of the finite returns, in two aggregations; NULL without two returns or variance."""
+    excess) of the finite returns, in one aggregation; NULL without two returns or variance."""
     r = F.col(returns)
-    clean = frame.select(*by, F.when(~F.isnan(r) & (F.abs(r) != math.inf), r).alias("r")).where("r is not null")
+    clean = frame.select(*by, F.when(~F.isnan(r) & (F.abs(r) != math.inf), r).alias("r"))
     out = clean.groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.var_pop("r").alias("v"), F.skewness("r").alias("g"), F.kurtosis("r").alias("k"))
     s = F.nullif(F.col("s"), F.lit(0.0))
     return out.select(*by, "n", F.try_divide(F.col("m"), s).alias("sharpe"), F.try_divide(F.col("g") * F.pow("v", 1.5), F.pow(s, 3)).alias("skew"), F.try_divide((F.col("k") + 3) * F.pow("v", 2), F.pow(s, 4)).alias("kurtosis"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import preregistration, significance
+from lattica.functions.journal import Journal
 from lattica.operators import backtest as bt
 from lattica.operators import causality, diagnostics, events, panel, universe, walkforward
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
@@ -636,16 +637,9 @@ z as (select k.n as n_trials, best.trial, best.n, sharpe, sqrt(k.v) * ((1 - 0.57
 y as (select *, sharpe * sqrt(n - 1) / spread as z0, (sharpe - bar) * sqrt(n - 1) / spread as z1 from z)
 select n_trials, cast(trial as integer) as best_trial, round(sharpe, 6) + 0.0 as sharpe, round({phi_sql('z0')}, 6) as probabilistic, round(bar, 6) as expected_max, round({phi_sql('z1')}, 6) as deflated, {phi_sql('z1')} >= 0.95 as survives from y""")
 def deflated_sharpe(spark, sf_dir):
-    nets: dict[int, list[float]] = {n: [] for n in _TRIALS}
-    for r in _trial_paths(spark, sf_dir).select("trial", "net").collect():  # as many rows as times and trials
-        nets[r.trial].append(r.net)
-    ledger = significance.TrialLedger()
-    for n in _TRIALS:
-        ledger.record(nets[n], str(n))
-    at, ratio = ledger.best()
-    report = ledger.report(nets[_TRIALS[at]])
-    row = (ledger.n_trials, _TRIALS[at], *(round(x, 6) + 0.0 for x in (report.sharpe, report.probabilistic, report.expected_max, report.deflated)), report.survives_deflation)
-    return spark.createDataFrame([row], "n_trials long, best_trial int, sharpe double, probabilistic double, expected_max double, deflated double, survives boolean")
+    trials = significance.deflation(_trial_paths(spark, sf_dir), "net", ["trial"])
+    best = trials.orderBy(F.desc("sharpe"), "trial").limit(1)
+    return best.select("n_trials", F.col("trial").alias("best_trial"), "sharpe", "probabilistic", "expected_max", "deflated", "survives").withColumns(_six("sharpe", "probabilistic", "expected_max", "deflated"))
 
 
 _MONOTONE = _BUCKETS.replace("select g.bucket", ", bk as (select g.bucket") + "), rk as (select *, rank() over (order by mean_return, bucket) - 1 as place from bk)"
@@ -832,3 +826,32 @@ def load_ciz_files(spark, sf_dir):
     last = F.when(key % 3 == 0, F.lit("B")).otherwise((-(key % 7) / 10).cast("string"))
     gone = gone.select(F.col("s_suppkey").alias("ok"), F.col("k").alias("ln"), key.alias("PERMNO"), F.when(F.col("k") == 0, (-(key % 10) / 20).cast("string")).otherwise(last).alias("DelRet"))
     return _with_securities(load_extract(spark, _as_csv(rows, "ok", "ln"), _as_csv(gone, "ok", "ln")))
+
+
+# --- the journal ---------------------------------------------------------------------------
+
+_REASON = "Suppliers whose parts are sent back lower their prices to move what is left, and buyers who can wait are paid for taking goods that others have no room for."
+_CLAIMS = {
+    flag: preregistration.Hypothesis(f"lines {flag}", f"lines with flag {flag} are discounted more", preregistration.EdgeSource.LIQUIDITY_PROVISION, _REASON, "all lines", 4, 2, ("flag",), trial_budget=budget)
+    for flag, budget in (("A", 5), ("R", 1_000_000), ("X", 3))
+}
+
+
+@query(f"""with claims as (select flag, name, budget, substr(sha256(body), 1, 16) as fingerprint from (values {", ".join(f"('{f}', '{c.name}', {c.trial_budget}, '{c.text}')" for f, c in _CLAIMS.items())}) as v(flag, name, budget, body)),
+t as (select l_returnflag as flag, l_suppkey, round(avg(l_discount) - 0.05, 6) as sharpe from lineitem group by 1, 2)
+select fingerprint, name, cast(budget as bigint) as trial_budget, count(l_suppkey) as trials, max(sharpe) + 0.0 as best_sharpe, case when claims.flag = 'A' then 'invalid' end as verdict, count(l_suppkey) > budget as over_budget,
+ (select count(*) from t where flag not in (select flag from claims)) as refused, 0 as faults
+from claims left join t on t.flag = claims.flag group by fingerprint, name, budget, claims.flag""")
+def journal_standing(spark, sf_dir):
+    """Claims on return flags, a trial for each supplier, a verdict; trials of a flag without a claim are refused."""
+    journal = Journal(spark, new_folder(spark))
+    journal.register(*_CLAIMS.values())
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    marks = F.create_map(*[F.lit(x) for f, c in _CLAIMS.items() for x in (f, c.fingerprint)])
+    trials = lines.groupBy("l_returnflag", "l_suppkey").agg(F.round(F.avg("l_discount") - 0.05, 6).cast("double").alias("sharpe"))
+    trials = trials.select(F.coalesce(F.try_element_at(marks, F.col("l_returnflag")), F.col("l_returnflag")).alias("fingerprint"), "sharpe", F.col("l_suppkey").cast("string").alias("label"))
+    stray = journal.unregistered(trials)
+    journal.record_trials(trials.join(journal.claims().select("fingerprint"), "fingerprint", "left_semi"))
+    journal.record_verdict(_CLAIMS["A"].fingerprint, preregistration.Verdict.INVALID, [preregistration.Violation("trial_budget_exceeded", "more suppliers than trials")])
+    counted = stray.agg(F.count("*").alias("refused")).crossJoin(journal.faults().agg(F.count("*").cast("int").alias("faults")))  # one row each
+    return journal.standing().crossJoin(counted).withColumn("best_sharpe", F.col("best_sharpe") + F.lit(0.0))

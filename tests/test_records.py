@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.errors import DataError, PreregistrationError, SignificanceError
+from lattica.functions import journal
 from lattica.functions import preregistration as pre
 from lattica.functions import significance as sig
 from lattica.operators.events import EventKillCriteria
@@ -28,6 +29,7 @@ def test_verdicts():
     for more, name in ((dict(ic_mean=None), "min_ic"), (dict(ic_t_statistic=1.0), "min_ic_t_statistic"), (dict(annual_turnover=20.0), "max_annual_turnover"), (dict(survived_deflation=False), "require_deflation_survival")):
         verdict, found = judge(**more)
         assert verdict is pre.Verdict.KILLED and [v.criterion for v in found] == [name]
+    assert "not measured" in judge(survived_deflation=None)[1][0].detail and "lucky" in judge(survived_deflation=False)[1][0].detail
     assert judge(ic_t_statistic=-4.0)[0] is pre.Verdict.SURVIVED
     for more, name in ((dict(test_window_bars=10), "warmup_exceeds_window"), (dict(folds_scored=0), "no_folds"), (dict(folds_testable=False), "never_traded"), (dict(trials_used=4), "trial_budget_exceeded")):
         verdict, found = judge(**more)
@@ -46,23 +48,65 @@ def test_claims_and_fingerprints():
 
 
 def test_journal(spark, tmp_path):
-    path = tmp_path / "journal.jsonl"
-    journal = pre.ResearchJournal(path)
+    folder = tmp_path / "journal"
+    book = journal.Journal(spark, str(folder))
+    trials = lambda *rows: spark.createDataFrame(rows, "fingerprint string, sharpe double, label string")
     with pytest.raises(PreregistrationError, match="not registered"):
-        journal.record_trial("x", sharpe=1.0)
-    mark = journal.register(claim(notes="first"))
-    assert journal.register(claim()) == mark and len(journal.registrations()) == 1
-    journal.record_trial(mark, sharpe=0.1, label="a")
-    journal.record_verdict(mark, *pre.assess(claim(), pre.Evidence(**PASSING)))
-    again = pre.ResearchJournal(path)
-    assert again.trials_for(mark) == again.lifetime_trials() == 1 and "survived" in again.summarize()
-    assert pre.journal_frame(spark, str(path)).count() == 3
-    path.write_text(path.read_text().replace("deletions", "additions"))
-    with pytest.raises(PreregistrationError, match="altered"):
-        pre.ResearchJournal(path)
-    path.write_text("{}\n")
-    with pytest.raises(PreregistrationError, match="not a valid"):
-        pre.ResearchJournal(path)
+        book.record_trials(trials(("x", 1.0, "")))
+    mark, other = book.register(claim(notes="first"), claim(horizon_bars=21))
+    assert book.register(claim()) == [mark] and book.claims().count() == 2
+    book.record_trials(trials(*[(mark, 0.1 * i, "a") for i in range(5)]))
+    with pytest.raises(PreregistrationError, match="not registered"):
+        book.record_trials(trials((mark, 1.0, "b"), ("y", 1.0, "b")))
+    book.record_verdict(mark, *pre.assess(claim(), pre.Evidence(**PASSING)))
+    book.record_verdict(mark, pre.Verdict.KILLED, [pre.Violation("min_ic", "low")])
+    again = journal.Journal(spark, str(folder)).checked()
+    found = {r.fingerprint: r for r in again.standing().collect()}
+    assert (found[mark].trials, found[mark].verdict, found[mark].over_budget) == (5, "killed", True) and found[mark].best_sharpe == pytest.approx(0.4)
+    assert (found[other].trials, found[other].verdict, found[other].over_budget) == (0, None, False)
+    assert again.trials().count() == 5
+
+
+def test_an_altered_journal_is_found_out(spark, tmp_path):
+    def written(name):
+        book = journal.Journal(spark, str(tmp_path / name))
+        (mark,) = book.register(claim())
+        book.record_trials(spark.createDataFrame([(mark, 0.5, "b"), (mark, 0.7, "c")], "fingerprint string, sharpe double, label string"))
+        book.record_verdict(mark, pre.Verdict.SURVIVED, [])
+        return book, mark
+
+    def altered(name, change):
+        book, mark = written(name)
+        for path in (tmp_path / name).glob("part-*"):
+            path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+            path.write_text("".join(change(x, mark) for x in path.read_text().splitlines(keepends=True)))
+        return {(r.batch, r.fault) for r in book.faults().collect()}
+
+    assert altered("same", lambda line, _: line) == set()
+    assert {(0, "changed"), (0, "misfiled"), (1, "unchained")} <= altered("claim", lambda line, _: line.replace("deletions", "additions"))
+    assert {(1, "changed"), (2, "unchained")} <= altered("trial", lambda line, _: line.replace("0.5", "0.9"))
+    assert altered("removed", lambda line, _: "" if '\\"c\\"' in line else line) == {(2, "unchained")}
+    assert (None, "unreadable") in altered("broken", lambda line, _: "{}\n" if "survived" in line else line)
+    assert {(1, "unregistered"), (1, "changed")} <= altered("moved", lambda line, mark: line.replace(f'"fingerprint":"{mark}"', '"fingerprint":"z"') if '"trial"' in line else line)
+    with pytest.raises(PreregistrationError, match="not as it was written"):
+        journal.Journal(spark, str(tmp_path / "trial")).checked()
+
+
+def test_deflation_of_many_trials_equals_one_at_a_time(spark):
+    rng = random.Random(6)
+    paths = {i: [rng.gauss(0.001 * (i % 5), 0.01) for _ in range(60)] for i in range(40)} | {40: [], 41: [0.01]}
+    frame = spark.createDataFrame([(i, r) for i, p in paths.items() for r in p or [float("nan")]], "trial int, net double")
+    found = {r.trial: r for r in sig.deflation(frame, "net", ["trial"]).collect()}
+    ledger = sig.TrialLedger()
+    for i, p in paths.items():
+        ledger.record(p, str(i))
+    for i in range(40):
+        want = ledger.report(paths[i])
+        assert found[i].n_trials == 42 and found[i].sharpe == pytest.approx(want.sharpe) and found[i].expected_max == pytest.approx(want.expected_max, abs=1e-9)
+        assert found[i].probabilistic == pytest.approx(want.probabilistic, abs=1e-9) and found[i].deflated == pytest.approx(want.deflated, abs=1e-9)
+    assert found[40].sharpe == found[41].sharpe == 0 and not found[40].survives and not found[0].identical
+    ends = spark.range(1).select(*[sig.cdf(F.lit(x)).alias(f"c{i}") for i, x in enumerate((-9.0, -3.0, 0.0, 1.5, 7.5))]).first()
+    assert [round(v, 12) for v in ends] == [round(sig.normal_cdf(x), 12) for x in (-9.0, -3.0, 0.0, 1.5, 7.5)]
 
 
 def test_significance(spark):
