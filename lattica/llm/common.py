@@ -47,11 +47,11 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(frame.sparkSession))
     made = frame.checkpoint(eager=True)
-    _let_go(frame.sparkSession)
+    let_go(frame.sparkSession)
     return made
 
 
-def _let_go(spark: SparkSession) -> None:
+def let_go(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver has collected what refers to them: do so when a lineage has been cut."""
     spark.sparkContext._jvm.System.gc()
 
@@ -65,7 +65,7 @@ def written(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: what follows reads files, not the plan."""
     folder = shared_folder(frame.sparkSession)
     frame.write.parquet(folder)
-    _let_go(frame.sparkSession)
+    let_go(frame.sparkSession)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lattica.llm.common import shared_folder, written
+from lattica.llm.common import let_go, shared_folder, written
 
 #: Lines for each bucket.
 BUCKET_ROWS = 16000
@@ -195,6 +195,7 @@ def assemble_sales(lines: DataFrame, sales: DataFrame, calendar: Calendar = Cale
     bucket = F.pmod(F.xxhash64("sale_id"), F.lit(n)).cast("int")
     rows = day_rows(lines, sales, calendar).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("batch", "bucket")
     rows.write.partitionBy("batch").parquet(f"{folder}/cut")
+    let_go(spark)
     cut = spark.read.schema(f"{_DAYS}, batch int").parquet(f"{folder}/cut")
     largest = {r.batch: r.day for r in cut.groupBy("batch").agg(F.max("day").alias("day")).collect()}  # a row for each batch
     own = spark.newSession()  # its settings are the stream's alone
@@ -213,6 +214,7 @@ def assemble_sales(lines: DataFrame, sales: DataFrame, calendar: Calendar = Cale
         fed = own.readStream.schema(f"{_DAYS}, batch int").parquet(f"{folder}/in").mapInArrow(_packed, "bucket int, rows binary")
         closed = fed.groupBy("bucket").transformWithStateInPandas(Assembler(), OUT, "Append", "None")
         closed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        let_go(spark)
         day = largest.get(batch)
         latest = latest if day is None else day if latest is None else max(latest, day)
     return spark.read.schema(OUT).parquet(f"{folder}/out")
