@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import chunks, map_texts, mix64, shared_folder, words_of, written
+from lattica.llm.common import chunks, let_go, map_texts, mix64, shared_folder, words_of, written
 
 #: Vocabulary entries: the commonest words have their own, others share.
 OWN = 1 << 17
@@ -329,25 +329,28 @@ def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np
                 cut = np.searchsorted(moved, np.arange(0, len(start) + BLOCK, BLOCK))
                 some = np.flatnonzero(np.diff(cut))
                 spans = [moved[cut[k] : cut[k + 1]] for k in some]
-                change = [np.column_stack([trainer.table[m] - start[m], trainer.squares[m] - start_squares[m]]).tobytes() for m in spans]
+                # weights move by little; their squares add up beyond what half floats hold
+                change = [np.clip(trainer.table[m] - start[m], -6e4, 6e4).astype(np.float16).tobytes() for m in spans]
+                squares_ = [(trainer.squares[m] - start_squares[m]).tobytes() for m in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int64()), pa.array([m.astype(np.int32).tobytes() for m in spans], pa.binary()), pa.array([trainer.used[m].tobytes() for m in spans], pa.binary()), pa.array(change, pa.binary())],
-                    names=["block", "rows", "used", "change"],
+                    [pa.array(some, pa.int64()), pa.array([m.astype(np.int32).tobytes() for m in spans], pa.binary()), pa.array([trainer.used[m].astype(np.int32).tobytes() for m in spans], pa.binary()), pa.array(change, pa.binary()), pa.array(squares_, pa.binary())],
+                    names=["block", "rows", "used", "change", "squares"],
                 )
 
     def add(part: pa.Table) -> pa.Table:
         block = part.column("block")[0].as_py()
         used, total = np.zeros(BLOCK), np.zeros((BLOCK, WIDTH + 2))
         # summed in a set order, as floats do not add up alike in every order
-        for rows, n, change in sorted(zip(*(part.column(c).to_pylist() for c in ("rows", "used", "change")), strict=True)):
-            at, n = np.frombuffer(rows, np.int32) - block * BLOCK, np.frombuffer(n, np.int64)
+        for rows, n, change, more in sorted(zip(*(part.column(c).to_pylist() for c in ("rows", "used", "change", "squares")), strict=True)):
+            at, n = np.frombuffer(rows, np.int32) - block * BLOCK, np.frombuffer(n, np.int32).astype(np.float64)
             used[at] += n
-            total[at] += np.frombuffer(change, np.float32).reshape(-1, WIDTH + 2).astype(np.float64) * n[:, None]
+            total[at, :-1] += np.frombuffer(change, np.float16).reshape(-1, WIDTH + 1).astype(np.float64) * n[:, None]
+            total[at, -1] += np.frombuffer(more, np.float32) * n
         at = np.flatnonzero(used)
         mean = (total[at] / used[at, None]).astype(np.float32)
         return pa.table({"rows": pa.array([(at + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "change": pa.array([mean.tobytes()], pa.binary())})
 
-    made = shards.repartitionByRange(tasks, "shard").select("shard", "words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary")
+    made = shards.repartitionByRange(tasks, "shard").select("shard", "words", "ends").mapInArrow(run, "block long, rows binary, used binary, change binary, squares binary")
     found = made.groupBy("block").applyInArrow(add, "rows binary, change binary").toArrow()  # at most the table's size reaches the driver
     table, squares = table.copy(), squares.copy()
     for rows, change in zip(found.column("rows").to_pylist(), found.column("change").to_pylist(), strict=True):
@@ -355,6 +358,7 @@ def train_round(shards: DataFrame, tasks: int, vocabulary: Vocabulary, table: np
         table[at] += change[:, :-1]
         squares[at] += change[:, -1]
     shared.destroy()
+    let_go(shards.sparkSession)
     if not (np.isfinite(table).all() and np.isfinite(squares).all()):
         raise FloatingPointError("training left the finite numbers")
     return table, squares
