@@ -178,7 +178,7 @@ _TIME: dict[str, tuple[Signal, str]] = {
         for name, f in (("mean", "avg"), ("std", "stddev_pop"), ("sum", "sum"), ("min", "min"), ("max", "max"), ("median", "median"))
     },
     **{
-        f"rolling_{name}_wide": (CLOSE.rolling(104, name, 52), f"case when count(close) {rows_(104)} >= 52 then {f}(close) {rows_(104)} end")
+        f"rolling_{name}_wide": ((CLOSE / 1000.0).rolling(104, name, 52), f"case when count(close) {rows_(104)} >= 52 then {f}(close / 1000) {rows_(104)} end")
         for name, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("median", "median"))
     },
     "ts_rank_wide": (ts_rank(CLOSE, 52), f"case when count(close) {rows_(52)} = 52 then (" + " + ".join(f"case when lag(close, {i}) {A} < close then 1 else 0 end" for i in range(1, 52)) + ") / 51.0 end"),
@@ -751,7 +751,7 @@ def _as_csv(rows: DataFrame, *order: str) -> str:
 def _with_securities(data: Dataset) -> DataFrame:
     kept = keep_dataset(data)
     both = kept.panel.join(kept.securities, "asset", "left")
-    return both.select("t", "ts", "asset", "close", "close_raw", "adv", "ret", "first_tradable", "last_tradable", "delist_ret", "ticker").withColumns(_six("close", "close_raw", "adv", "ret", "delist_ret"))
+    return both.select("t", "ts", "asset", "close", "close_raw", "adv", "ret", "first_tradable", "last_tradable", "delist_ret", "ticker").withColumns({"close": F.round(F.col("close") + 1e-8, 6)} | {c: F.round(c, 8) + F.lit(0.0) for c in ("close_raw", "adv", "ret", "delist_ret")})  # prices are cents over up to 50: exact in 7 digits, or moved off a half
 
 
 def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -762,7 +762,7 @@ def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOADED = """ax as (select ts, cast(row_number() over (order by ts) - 1 as integer) as t from (select distinct ts from c)),
 panel as (select ax.t, ax.ts, a.asset, close, close_raw, adv, ret from ax cross join (select distinct asset from c) a left join c on c.ts = ax.ts and c.asset = a.asset),
 li as (select asset, min(ts) as first_tradable, case when max(ts) < (select max(ts) from ax) then max(ts) end as last_tradable from panel where close is not null group by asset)
-select t, ts, panel.asset, round(close, 6) as close, round(close_raw, 6) as close_raw, round(adv, 6) as adv, round(ret, 6) + 0.0 as ret, first_tradable, last_tradable, round(delist_ret, 6) + 0.0 as delist_ret, ticker
+select t, ts, panel.asset, round(close + 1e-8, 6) as close, round(close_raw, 8) as close_raw, round(adv, 8) as adv, round(ret, 8) + 0.0 as ret, first_tradable, last_tradable, round(delist_ret, 8) + 0.0 as delist_ret, ticker
 from panel left join li on li.asset = panel.asset left join ex on ex.asset = panel.asset and li.asset is not null left join tk on tk.asset = panel.asset and li.asset is not null"""
 _FILE_LINES = "select l_orderkey as ok, l_linenumber as ln, l_suppkey as id, cast(l_suppkey as varchar) as asset, cast(date_trunc('week', l_shipdate) as date) as ts, cast(l_extendedprice as double) / l_quantity as price, round(l_discount - 0.05, 4) as gain, l_quantity, l_returnflag, l_tax, l_extendedprice from lineitem"
 
