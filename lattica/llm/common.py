@@ -61,10 +61,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, codec: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder: what follows reads files, not the plan."""
     folder = shared_folder(frame.sparkSession)
-    frame.write.parquet(folder)
+    frame.write.parquet(folder, compression=codec)
     let_go(frame.sparkSession)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 

@@ -45,6 +45,8 @@ from lattica.llm.common import let_go, shared_folder, written
 BUCKET_ROWS = 16000
 #: The least number of buckets.
 BUCKETS = 64
+#: Of the files of batches, states and closings.
+CODEC = "zstd"
 #: Entries of a bucket's map of assemblies.
 PAGES = 16
 OUT = "sale_id long, first_day int, last_day int, n_lines long, cents long, due long, status string, closing_batch int"
@@ -86,7 +88,7 @@ def day_rows(lines: DataFrame, sales: DataFrame, calendar: Calendar) -> DataFram
         F.col("sale_id").cast("long").alias("sale_id"), F.coalesce(shipped, calendar.start + h % calendar.spread).cast("int").alias("day"), cents(F.col("amount").cast("double")).alias("cents")
     )
     # written, so that the shuffle of whole lines goes before the next one comes
-    by_day = written(own.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents")))
+    by_day = written(own.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents")), CODEC)
     by_sale = by_day.groupBy("sale_id").agg(F.sum("cents").alias("all"), F.max_by("cents", "day").alias("last"))
     arrived = F.coalesce(F.unix_date(F.col("arrived_at").cast("date")), F.lit(calendar.start)).cast("int")
     heads = sales.where("sale_id is not null").select(F.col("sale_id").cast("long").alias("sale_id"), arrived.alias("day"), cents(F.col("total").cast("double")).alias("total"))
@@ -193,8 +195,8 @@ def assemble_sales(lines: DataFrame, sales: DataFrame, calendar: Calendar = Cale
     folder = shared_folder(spark)
     n = buckets or max(BUCKETS, lines.count() // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("sale_id"), F.lit(n)).cast("int")
-    rows = day_rows(lines, sales, calendar).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("batch", "bucket")
-    rows.write.partitionBy("batch").parquet(f"{folder}/cut")
+    rows = day_rows(lines, sales, calendar).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("batch", "bucket", "sale_id", "day")
+    rows.write.option("compression", CODEC).partitionBy("batch").parquet(f"{folder}/cut")
     let_go(spark)
     cut = spark.read.schema(f"{_DAYS}, batch int").parquet(f"{folder}/cut")
     largest = {r.batch: r.day for r in cut.groupBy("batch").agg(F.max("day").alias("day")).collect()}  # a row for each batch
@@ -204,16 +206,17 @@ def assemble_sales(lines: DataFrame, sales: DataFrame, calendar: Calendar = Cale
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores
     own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")  # stores of runs that are over go soon
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    own.conf.set("spark.sql.streaming.stateStore.compression.codec", CODEC)
     own.conf.set("spark.sql.shuffle.partitions", str(min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     latest = None
     for batch in range(calendar.batches):
         until = ALL if batch == calendar.batches - 1 else NONE if latest is None else latest - calendar.patience
         zero = F.lit(0).cast("long")
         ticks = spark.range(n).select(zero.alias("sale_id"), F.lit(until).alias("day"), zero.alias("n_lines"), zero.alias("cents"), zero.alias("due"), F.lit(TICK).alias("kind"), F.col("id").cast("int").alias("bucket"), F.lit(batch).alias("batch"))
-        cut.where(F.col("batch") == batch).unionByName(ticks).write.mode("append").parquet(f"{folder}/in")
+        cut.where(F.col("batch") == batch).unionByName(ticks).write.mode("append").option("compression", CODEC).parquet(f"{folder}/in")
         fed = own.readStream.schema(f"{_DAYS}, batch int").parquet(f"{folder}/in").mapInArrow(_packed, "bucket int, rows binary")
         closed = fed.groupBy("bucket").transformWithStateInPandas(Assembler(), OUT, "Append", "None")
-        closed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        closed.writeStream.format("parquet").option("compression", CODEC).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
         let_go(spark)
         day = largest.get(batch)
         latest = latest if day is None else day if latest is None else max(latest, day)
