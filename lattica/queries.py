@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import preregistration, significance
@@ -14,7 +14,7 @@ from lattica.operators import causality, diagnostics, events, panel, universe, w
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
 from lattica.plans.signal import Signal, add_signals, field_of
 from lattica.sources.tables import brand_months, supplier_weeks
-from lattica.sources.store import new_folder
+from lattica.sources.store import new_folder, stored
 from lattica.sources.vendor import Dataset, check_point_in_time, ciz_cells, dataset_from_panel, keep_dataset, listings, load_extract, verify_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -669,15 +669,46 @@ def preregistered_verdict(spark, sf_dir):
     return spark.createDataFrame([(verdict.value, ",".join(v.criterion for v in violations), folds.scored)], "verdict string, violations string, folds_scored long")
 
 
-@query()
+def _draw_sql(*keys: str) -> str:
+    return "cast('0x' || substr(md5(concat_ws(':', " + ", ".join(keys) + ")), 1, 8) as bigint)"
+
+
+def _shaken(field: str, salt: int) -> str:
+    part = lambda n: f"({_draw_sql('m.t', 'p.asset', 'm.seed', str(n))} % 10000 / 10000.0::double)"
+    return f"case when {part(salt)} >= 0.15 then {field} * (2 + 8 * {part(0)}) end as {field}"
+
+
+_CAUSAL = f"""size as (select max(t) + 1 as n from panel), cuts as (select distinct greatest(1, least(n - 1, c)) as cut from (select n, unnest([n // 8, n // 4, n // 2, 3 * n // 4, n - 2]) as c from size)),
+runs as (select cut, seed from cuts cross join (select unnest([0, 1, 2]) as seed)), times as (select distinct t, cut, seed from panel join runs on t >= cut),
+o1 as (select *, row_number() over (partition by cut, seed order by t) as n from times), o2 as (select *, row_number() over (partition by cut, seed order by {_draw_sql('t', 'seed')}, t) as n from times),
+m as (select o1.cut, o1.seed, o1.t, o2.t as origin from o1 join o2 using (cut, seed, n)),
+shaken as (select cut, seed, t, asset, close, adv from panel join runs on t < cut union all select m.cut, m.seed, m.t, p.asset, {_shaken('close', 1)}, {_shaken('adv', 2)} from m join panel p on p.t = m.origin),
+{momentum_sql("cut, seed, ", "shaken")}, forward as (select *, (lead(close) over (partition by cut, seed, asset order by t) - close) / nullif(close, 0) as v from shaken),
+centred as (select *, close - avg(close) over (partition by cut, seed, asset) as v from shaken),
+made as (select 'momentum' as signal, cut, seed, t, asset, v from mom union all select 'forward', cut, seed, t, asset, v from forward union all select 'centred', cut, seed, t, asset, v from centred)"""
+_CAUSAL_OWN = f"""{momentum_sql()}, own as (select 'momentum' as signal, t, asset, v from mom union all select 'forward', t, asset, (lead(close) {A} - close) / nullif(close, 0) from panel
+ union all select 'centred', t, asset, close - avg(close) over (partition by asset) from panel)"""
+
+
+def _centred(rows: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """Prices less the mean of all their times: a look ahead that no expression shows."""
+    return rows.withColumn("value", F.col("close") - F.avg("close").over(Window.partitionBy(*run, "asset")))
+
+
+@query(f"""with {BRAND}, own_ as (with {_CAUSAL_OWN} select *, coalesce(max(abs(v)) over (partition by signal, t), 0) as scale from own), made_ as (with {_CAUSAL} select * from made),
+d as (select made_.signal, made_.cut, made_.t, made_.asset, coalesce(own_.v = made_.v or abs(own_.v - made_.v) <= 1e-12 * greatest(abs(own_.v), abs(made_.v), scale), own_.v is null and made_.v is null) as same
+  from made_ join own_ using (signal, t, asset) where t < cut)
+select signal, signal = 'forward' as reads_future, bool_and(same) as causal, cast(15 as integer) as checks, count(*) filter (where not same) as changed,
+ min(t) filter (where not same) as first_t, arg_min(asset, (t, asset, cut)) filter (where not same) as first_asset, arg_min(cut, (t, asset, cut)) filter (where not same) as first_cut from d group by signal""")
 def causality_report(spark, sf_dir):
-    base = brand_months(spark, sf_dir)
-    checked = (("momentum", MOMENTUM), ("forward", CLOSE.forward_returns(1)))
+    """A signal that reads the past, a target, and a function that centres on the whole sample."""
+    base = stored(brand_months(spark, sf_dir))
+    checked = (("momentum", MOMENTUM), ("forward", CLOSE.forward_returns(1)), ("centred", _centred))
     rows = []
-    for name, signal in checked:
-        found = causality.check_causality(signal, base, ("close", "adv"))
-        rows.append((name, signal.reads_future, found.causal, found.checks))
-    return spark.createDataFrame(rows, "signal string, reads_future boolean, causal boolean, checks int")
+    for name, target in checked:
+        found = causality.check_causality(target, base, ("close", "adv"))
+        rows.append((name, isinstance(target, Signal) and target.reads_future, found.causal, found.checks, found.changed, *(found.first or (None, None, None))))
+    return spark.createDataFrame(rows, "signal string, reads_future boolean, causal boolean, checks int, changed long, first_t int, first_asset string, first_cut int")
 
 
 @query(f"""with {SUPPLIER}, v as (select t, ts, asset, close, {change(1)} as r from panel where close is not null),

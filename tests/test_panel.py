@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.errors import CausalityViolation, PanelError
@@ -166,10 +167,23 @@ def test_causality(spark):
     leak = lambda df: df.select("t", "asset", (F.col("v") - F.lit(df.agg(F.avg("v")).first()[0])).alias("value"))
     report = causality.check_causality(leak, p, ("v",), cut_points=(8,), trials=1)
     assert not report.causal and report.first[0] < 8 and "reads the future" in report.describe()
+    # so is one that takes all perturbations at once, with the same findings as one by one
+    def centred(df, run=()):
+        return df.withColumn("value", F.col("v") - F.avg("v").over(Window.partitionBy(*run, "asset")))
+
+    both = [causality.check_causality(f, p, ("v",), cut_points=(5, 12), trials=2) for f in (centred, lambda df: centred(df))]
+    assert both[0] == both[1] and both[0].changed == 2 * (5 + 12) * 8
     with pytest.raises(ValueError):
         causality.check_causality(chain, p.where("t < 3"), ("v",))
 
 
+def test_perturbations_are_drawn_from_md5(spark):
+    import hashlib
+
+    got = spark.createDataFrame([(3, "A", 1)], "t int, asset string, seed int").select(causality.draw("t", "asset", "seed", 2)).first()[0]
+    assert got == int(hashlib.md5(b"3:A:1:2").hexdigest()[:8], 16)
+
+
 def test_the_grid_is_made_in_many_tasks(spark):
     rows = spark.range(4000).selectExpr("date_add(date'2020-01-01', cast(id % 40 as int)) as ts", "cast(id * 7 % 300 as string) as asset", "double(id) as v").dropDuplicates(["ts", "asset"])
     made = panel.dense_panel(rows)
