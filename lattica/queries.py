@@ -15,6 +15,8 @@ from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, c
 from lattica.plans.signal import Signal, add_signals, field_of
 from lattica.sources.tables import brand_months, supplier_weeks
 from lattica.sources.store import new_folder, stored
+from lattica.streaming.latches import stream_liquidity, stream_price_floor
+from lattica.streaming.replay import replayed
 from lattica.sources.vendor import Dataset, check_point_in_time, ciz_cells, dataset_from_panel, keep_dataset, listings, load_extract, verify_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +269,30 @@ def price_floor(spark, sf_dir):
     return universe.price_floor_screen(supplier_weeks(spark, sf_dir), "close", 900.0).select("t", "asset", "priced")
 
 
+def _streamed(rows: DataFrame, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (t, ts, asset, ...) in ten micro-batches, up to four weeks out of order, with t found again by ts."""
+    timed = rows.withColumn("ts", F.to_timestamp("ts"))
+    last = timed.agg(F.max("t").alias("t"), F.max("ts").alias("ts")).first()
+    late = F.pmod(F.xxhash64("t", "asset"), F.lit(5))
+    arrival = F.floor((F.col("t") + late) * 10 / ((last.t or 0) + 5))
+    closing = timed.sparkSession.createDataFrame([(last.ts, "")], "ts timestamp, asset string")
+    closing = closing.select(*[(F.col("ts") + F.expr("interval 60 days") if c == "ts" else F.col(c) if c == "asset" else F.lit(None).cast(timed.schema[c].dataType)).alias(c) for c in timed.columns])
+    made = replayed(timed, arrival, stream, closing)
+    return made.join(timed.select("t", "ts", "asset"), ["ts", "asset"]).select("t", "asset", *[c for c in made.columns if c not in ("ts", "asset")])
+
+
+@query(f"with {SUPPLIER} select t, asset, {_PRICED} as priced from panel")
+def price_floor_stream(spark, sf_dir):
+    """The screen of price_floor, its cells coming late and out of order."""
+    return _streamed(stored(supplier_weeks(spark, sf_dir).select("t", "ts", "asset", "close")), lambda cells: stream_price_floor(cells, "close", 900.0, late="28 days"))
+
+
+@query(f"with {SUPPLIER}, {_LIQUID} select t, asset, liquid from liq")
+def liquidity_stream(spark, sf_dir):
+    """Memberships from a stream of ranks; the ranks are a batch's."""
+    return _streamed(stored(_screened(spark, sf_dir).select("t", "ts", "asset", "liquidity_rank")), lambda cells: stream_liquidity(cells, 12, 32, late="28 days"))
+
+
 _MEMBER = f"{_LIQUID}, mem as (select *, liquid and {_PRICED} as member from liq)"
 
 
@@ -359,6 +385,17 @@ def fundamental_law(spark, sf_dir):
     return diagnostics.allowed_information_ratio(ics).withColumns(_six("information_ratio"))
 
 
+@query(f"""with {SUPPLIER}, {_ic(_HORIZONS)}, {_BUCKETS.replace('select g.bucket', ', bk as (select g.bucket')}), ac as (select t, asset, {ordinal("c")} as a from (select *, {change(3)} as c from panel)), al as (select t, a, lag(a) {A} as b from ac),
+aj as (select t, case when b is not null then a end as x, case when a is not null then b end as y from al), au as (select t, {exact()} as ic from aj group by t),
+hz as (select horizon, count(ic) as n, avg(ic) as mean, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) as t_stat, avg((ic > 0)::int) as hit, avg(breadth) as breadth from ics where ic is not null group by horizon),
+f as (select 'ic_mean' as section, horizon as key, mean as value, n, case when n < 20 then 'too few observations' when abs(mean) > 0.15 then 'implausibly strong: look for leakage' when abs(t_stat) < 2 then 'indistinguishable from noise' when mean < 0 then 'negative: predicts the reverse' else 'plausible' end as note from hz
+ union all select 'ic_t_statistic', horizon, t_stat, n, null from hz union all select 'ic_hit_rate', horizon, hit, n, null from hz union all select 'ic_breadth', horizon, breadth, n, null from hz
+ union all select 'autocorrelation', 0, avg(ic), count(ic), null from au having count(ic) > 0 union all select 'quantile', bucket, mean_return, n, null from bk)
+select section, key, round(value, 6) + 0.0 as value, n, note from f""")
+def diagnosis(spark, sf_dir):
+    return diagnostics.diagnosis(supplier_weeks(spark, sf_dir), CHANGE, "close", _HORIZONS).withColumns(_six("value"))
+
+
 # --- costs and backtests -------------------------------------------------------------------
 
 
