@@ -157,7 +157,7 @@ def whole_dialogues(rendered: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
     """rotate_perspectives' rows with each conversation's parts put together to one row (part and piece NULL,
     mask over the whole text); conversations of more than max_chars from any perspective stay in parts.
     rendered is written first, so that it is computed once."""
-    rendered = written(rendered)
+    rendered = written(rendered, "zstd")  # texts of several perspectives are much alike
     columns = [c for c in rendered.columns if c not in ("sole", "longest")]
     none, short = F.lit(None).cast("long"), F.col("longest") <= max_chars
     own = rendered.where("sole").withColumns({c: F.when(short, none).otherwise(F.col(c)) for c in ("part", "piece")})
