@@ -1,16 +1,16 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-A shard holds the texts of a chunk that have the hash of a benchmark window. Its words become
-codes of the benchmark's vocabulary (0 if not in it). No match crosses a word outside that
-vocabulary, so the shard's suffix array holds the suffixes that begin in runs of known words
-long enough for a window, sorted to the depth of a window. Every suffix of every benchmark item
-that holds a window is then searched by bisection; hits on one diagonal join to the longest
-verbatim matches. Texts without any window's hash cannot match and are left out of the arrays
-(a hash that two windows share costs a search, not a result).
+A shard holds all texts of a chunk. Its words become codes of the benchmark's vocabulary (0 if
+not in it; words are told apart by hashes of 128 bits). No match crosses a word outside that
+vocabulary, so the shard's suffix array holds every suffix that begins in a run of known words
+as long as the shortest window, sorted to the depth of a window. Every suffix of every benchmark
+item that holds a window is searched in it by bisection. What it finds are the places where at
+least a window stands; those that begin a match (the words before differ) are extended to the
+right, word by word, to the longest verbatim match.
 
 The benchmark reaches the tasks as broadcast blocks of at most BLOCK_BYTES of text, read one
-after the other: no block grows with the data, and a task unites the hits of all blocks. A further
-block costs a task the lookup of its windows' hashes, and its place on the executors' disks.
+after the other: no block grows with the data, and a task unites the hits of all blocks. A block
+is a few arrays, so a further one costs a shard their reading and its own search.
 Rows never meet, so there is no shuffle. Null and empty texts have no words and no hits;
 items without words have no windows; items that share a text all occur; a null item id shows
 as "null". Equal rows get equal results. A very long text is searched whole, in memory that
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import PLAIN, Words, map_texts, window_hashes, words_of
+from lattica.llm.common import PLAIN, Words, map_texts, span_hashes, words_of
 
 #: Consecutive item words in a window; a shorter item is one window.
 WINDOW = 10
@@ -37,124 +37,103 @@ BLOCK_BYTES = 16 << 20
 
 @dataclass
 class Block:
-    """Benchmark items as codes: vocabulary, item ids, and the windows with their places."""
+    """Benchmark items as codes: two hashes of each word of the vocabulary, item ids, codes (0 after each item),
+    and the suffixes that hold a window: where they begin, their item and place in it, words of the window."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: np.ndarray
+    second: np.ndarray
     ids: list[str]
-    keys: np.ndarray  # sorted windows, as fixed-width bytes
-    sizes: np.ndarray
+    codes: np.ndarray
+    start: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    shortest: int
-    hashes: list[tuple[int, np.ndarray, np.ndarray]]  # by words in a window: a table of low bits, and the sorted hashes
+    size: np.ndarray
 
 
-def _keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None, window: int) -> np.ndarray:
-    """codes[start:start + window] (or + size) as bytes that sort as the codes do; codes is padded by `window`."""
-    rows = codes[starts[:, None] + np.arange(window)]
-    if sizes is not None:
-        rows = np.where(np.arange(window) < sizes[:, None], rows, 0)
-    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * window}").ravel()
-
-
-#: Entries of the table that rules out most windows at a glance.
-GLANCE = 1 << 22
-
-
-def hashed_windows(texts: list[bytes], window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    words = words_of(texts, PLAIN)
-    size = np.minimum(np.diff(words.first), window)
-    own = size[words.doc]
-    out = []
-    for n in np.unique(size[size > 0]).tolist():
-        made = window_hashes(words.hashes, n)
-        inside = (own[: len(made)] == n) & (words.doc[: len(made)] == words.doc[n - 1 :])
-        hashes = np.unique(made[inside])
-        table = np.zeros(GLANCE, bool)
-        table[hashes % GLANCE] = True
-        out.append((n, table, hashes))
+def _spread(codes: np.ndarray, doc: np.ndarray, n: int, window: int) -> np.ndarray:
+    """The codes with a 0 after each of n texts, and `window` more at the end."""
+    out = np.zeros(len(codes) + n + window, np.int64)
+    out[np.arange(len(codes)) + doc] = codes
     return out
 
 
-def may_match(words: Words, block: Block) -> np.ndarray:
-    """The texts that have the hash of a window of the block."""
-    found, doc = [np.empty(0, np.int64)], words.doc
-    for n, table, hashes in block.hashes:
-        made = window_hashes(words.hashes, n)
-        if not len(made):
-            continue
-        at = np.flatnonzero(table[made % GLANCE])
-        at = at[doc[at] == doc[at + n - 1]]
-        place = np.minimum(np.searchsorted(hashes, made[at]), len(hashes) - 1)
-        found.append(doc[at[hashes[place] == made[at]]])
-    return np.unique(np.concatenate(found))
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """Rows of codes as bytes that sort as the codes do."""
+    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
 def make_block(items: list[tuple[str, bytes]], window: int) -> Block:
-    vocabulary: dict[bytes, int] = {}
-    codes: list[int] = []
-    starts, sizes, item, place = [], [], [], []
-    for i, (_, text) in enumerate(items):
-        words = text.translate(PLAIN).split()
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if words else 0):
-            starts.append(len(codes) + k)
-            sizes.append(size)
-            item.append(i)
-            place.append(k)
-        codes += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-    padded = np.array(codes + [0] * window, np.int64)
-    at, size = np.array(starts, np.int64), np.array(sizes, np.int64)
-    keys = _keys(padded, at, size, window) if len(at) else np.empty(0, f"S{4 * window}")
-    return Block(vocabulary, [i for i, _ in items], keys, size, np.array(item, np.int64), np.array(place, np.int64), min(sizes, default=0), hashed_windows([text for _, text in items], window))
-
-
-def search_shard(texts: list[list[bytes]], block: Block, window: int) -> tuple[np.ndarray, ...]:
-    """Every occurrence of a window: (document, document word, item, item word, words)."""
-    none = (np.empty(0, np.int64),) * 5
-    if not len(block.keys):
-        return none
-    get = block.vocabulary.get
-    if not texts:
-        return none
-    codes = np.fromiter((c for words in texts for c in (*[get(w, 0) for w in words], 0)), np.int64)
+    words = words_of([text for _, text in items], PLAIN)
+    vocabulary, first, codes = np.unique(words.hashes, return_index=True, return_inverse=True)
+    second = span_hashes(words.data, words.starts, words.ends, 1)[first]
+    n = np.diff(words.first)
+    size = np.minimum(n, window)
+    held = np.where(n > 0, n - size + 1, 0)
+    item = np.repeat(np.arange(len(items)), held)
+    place = np.arange(len(item)) - np.repeat(np.cumsum(held) - held, held)
+    return Block(vocabulary, second, [i for i, _ in items], _spread(codes + 1, words.doc, len(items), window), words.first[item] + item + place, item, place, size[item])
+
+
+def codes_of(words: Words, block: Block) -> np.ndarray:
+    """Each word's code in the block's vocabulary, or 0."""
+    place = np.minimum(np.searchsorted(block.vocabulary, words.hashes), len(block.vocabulary) - 1)
+    known = np.flatnonzero(block.vocabulary[place] == words.hashes)
+    same = span_hashes(words.data, words.starts[known], words.ends[known], 1) == block.second[place[known]]
+    codes = np.zeros(len(words.hashes), np.int64)
+    codes[known[same]] = place[known[same]] + 1
+    return codes
+
+
+def suffix_array(codes: np.ndarray, shortest: int, window: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes that begin with `shortest` known words, sorted by their first `window` codes, and those as keys."""
     known = np.zeros(len(codes) + 2, bool)
     known[1:-1] = codes != 0
     edges = np.flatnonzero(known[1:] != known[:-1])
-    begin, end = edges[0::2], edges[1::2]
-    long = end - begin >= block.shortest
-    begin, runs = begin[long], (end - begin)[long] - block.shortest + 1
-    if not len(begin):
+    begin, held = edges[0::2], edges[1::2] - edges[0::2] - shortest + 1
+    begin, held = begin[held > 0], held[held > 0]
+    starts = np.repeat(begin - np.cumsum(held) + held, held) + np.arange(held.sum())
+    rows = codes[starts[:, None] + np.arange(window)]
+    rows[np.cumsum(rows == 0, axis=1) > 0] = 0  # nothing beyond a run's end
+    bits = int(largest).bit_length()
+    columns = []
+    for at in range(0, window, 63 // bits):  # neighbouring codes packed to a number
+        packed = np.zeros(len(rows), np.int64)
+        for column in rows[:, at : at + 63 // bits].T:
+            packed = packed << bits | column
+        columns.append(packed)
+    order = np.lexsort(columns[::-1])
+    return starts[order], _keys(rows[order])
+
+
+def search_shard(words: Words, block: Block, window: int) -> np.ndarray:
+    """The longest verbatim matches of at least a window: rows (document, document word, item, item word, words)."""
+    none = np.empty((0, 5), np.int64)
+    if not len(block.start) or not len(words.hashes):
+        return none
+    n_docs = len(words.first) - 1
+    codes = _spread(codes_of(words, block), words.doc, n_docs, window)
+    suffixes, keys = suffix_array(codes, int(block.size.min()), window, len(block.vocabulary))
+    if not len(suffixes):
         return none
-    starts = np.repeat(begin - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-    keys = _keys(np.concatenate([codes, np.zeros(window, np.int64)]), starts, None, window)
-    order = np.argsort(keys, kind="stable")  # the shard's suffix array
-    keys, suffixes = keys[order], starts[order]
-    low = np.searchsorted(keys, block.keys, "left")
-    past = np.frombuffer(block.keys.tobytes(), ">u4").reshape(-1, window).copy()
-    past[np.arange(window) >= block.sizes[:, None]] = 0xFFFFFFFF
-    high = np.searchsorted(keys, np.ascontiguousarray(past).view(f"S{4 * window}").ravel(), "right")
-    found = np.maximum(high - low, 0)
+    asked = block.codes[block.start[:, None] + np.arange(window)]
+    beyond = np.arange(window) >= block.size[:, None]
+    asked[beyond] = 0
+    low = np.searchsorted(keys, _keys(asked), "left")
+    asked[beyond] = 0xFFFFFFFF
+    found = np.maximum(np.searchsorted(keys, _keys(asked), "right") - low, 0)
     query = np.repeat(np.arange(len(found)), found)
-    at = suffixes[np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())]
-    first = np.concatenate([[0], np.cumsum([len(words) + 1 for words in texts])])
+    at = suffixes[np.repeat(low - np.cumsum(found) + found, found) + np.arange(found.sum())]
+    begins = (block.place[query] == 0) | (codes[at - 1] != block.codes[block.start[query] - 1])
+    query, at = query[begins], at[begins]
+    start, length = block.start[query], block.size[query].copy()
+    going = np.arange(len(at))
+    while len(going):
+        code = codes[at[going] + length[going]]
+        going = going[(code != 0) & (code == block.codes[start[going] + length[going]])]
+        length[going] += 1
+    first = words.first[:-1] + np.arange(n_docs)
     doc = np.searchsorted(first, at, "right") - 1
-    return doc, at - first[doc], block.item[query], block.place[query], block.sizes[query]
-
-
-def longest_matches(doc: np.ndarray, word: np.ndarray, item: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Joins hits that follow one another on one diagonal: rows (doc, doc word, item, item word, words)."""
-    if not len(doc):
-        return np.empty((0, 5), np.int64)
-    order = np.lexsort((word, word - place, item, doc))
-    rows = np.stack([doc, word, item, place, size], axis=1)[order]
-    step = np.diff(rows, axis=0)
-    starts = np.concatenate([[True], (step[:, 0] != 0) | (step[:, 2] != 0) | (step[:, 1] != 1) | (step[:, 3] != 1)])
-    first = np.flatnonzero(starts)
-    last = np.concatenate([first[1:], [len(rows)]]) - 1
-    out = rows[first]
-    out[:, 4] += last - first
-    return out
+    return np.stack([doc, at - first[doc], block.item[query], block.place[query], length], axis=1)
 
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("words", T.LongType())])
@@ -196,9 +175,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             matches: list[list[tuple]] = [[] for _ in texts]
             for part in parts:
                 block = part.value
-                some = may_match(words, block)
-                rows = longest_matches(*search_shard([texts[i].translate(PLAIN).split() for i in some.tolist()], block, window))
-                rows[:, 0] = some[rows[:, 0]]
+                rows = search_shard(words, block, window)
                 np.add.at(cover, base[rows[:, 0]] + rows[:, 1], 1)
                 np.add.at(cover, base[rows[:, 0]] + rows[:, 1] + rows[:, 4], -1)
                 for d, w, i, p, n in rows.tolist():

@@ -30,6 +30,22 @@ def brute(texts, items, n=10):
     return out
 
 
+def longest(own, by, n=10):
+    """All matches of a window or more that can be extended to neither side."""
+    out = []
+    for item, w in by.items():
+        for k in range(len(w)):
+            for p in range(len(own)):
+                if k and p and own[p - 1] == w[k - 1]:
+                    continue
+                size = 0
+                while k + size < len(w) and p + size < len(own) and own[p + size] == w[k + size]:
+                    size += 1
+                if size >= min(n, len(w)):
+                    out.append((item, p, k, size))
+    return out
+
+
 @pytest.fixture
 def items_of(spark):
     return lambda rows: spark.createDataFrame(rows, "item_id long, text string")
@@ -62,6 +78,7 @@ def test_random_texts_equal_brute_force(docs_of, items_of, block_bytes):
         by = {("null" if k is None else str(k)): words(v) for k, v in items}
         for m in rows[i].matches:
             assert own[m.doc_word : m.doc_word + m.words] == by[m.item_id][m.item_word : m.item_word + m.words]
+        assert sorted((m.item_id, m.doc_word, m.item_word, m.words) for m in rows[i].matches) == sorted(longest(own, by))
     assert rows[len(texts) - 1].n_hit >= 12
 
 
@@ -72,3 +89,19 @@ def test_only_clean_documents_stay(docs_of, items_of):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert drop_contaminated(docs, items_of([(1, item)]).where("false")).count() == 3
     assert drop_contaminated(docs.where("false"), items_of([(1, item)])).count() == 0
+
+
+def test_shards_hold_all_texts_and_repeats():
+    """A shard's suffix array: texts that are nothing but one word, equal texts, and a match at both ends of a text."""
+    from lattica.llm.common import PLAIN, words_of
+    from lattica.llm.decontaminate import codes_of, make_block, search_shard, suffix_array
+
+    items = [("a", b"x " * 30), ("b", b"one two three four five six seven eight nine ten"), ("c", b"")]
+    texts = [b"x " * 40, b"one two three four five six seven eight nine ten", b"one two three four five six seven eight nine ten", b"one two", b"", b"y"]
+    block, words = make_block(items, 10), words_of(texts, PLAIN)
+    rows = [tuple(r) for r in search_shard(words, block, 10).tolist()]
+    assert sorted(rows) == sorted([(d, p, {"a": 0, "b": 1}[i], k, n) for d, t in enumerate(texts) for i, p, k, n in longest(t.decode().split(), {i: v.decode().split() for i, v in items})])
+    codes = codes_of(words, block)
+    assert (codes == 0).sum() == 1 and codes[-1] == 0
+    suffixes, keys = suffix_array(codes[:40], 10, 10, len(block.vocabulary))
+    assert sorted(suffixes.tolist()) == list(range(31)) and (keys[1:] >= keys[:-1]).all()
