@@ -196,3 +196,10 @@ def test_panels_without_anything_in_common_are_refused(spark):
     one = panel.from_rows(spark, [[1.0]], days(1), ["A"], "v")
     with pytest.raises(PanelError):
         panel.align(one, panel.from_rows(spark, [[1.0]], days(1), ["B"], "w"))
+
+
+def test_a_filtered_panel_broadcasts_no_grid(spark, capsys):
+    rows = spark.createDataFrame([(d, a, 1.0) for d in days(3) for a in ("A", "B")], "ts date, asset string, v double")
+    made = panel.dense_panel(rows).where("v is not null")  # an inner join now
+    made.explain()
+    assert "SortMergeJoin [ts" in capsys.readouterr().out and made.count() == 6
