@@ -269,28 +269,30 @@ def price_floor(spark, sf_dir):
     return universe.price_floor_screen(supplier_weeks(spark, sf_dir), "close", 900.0).select("t", "asset", "priced")
 
 
-def _streamed(rows: DataFrame, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows (t, ts, asset, ...) in ten micro-batches, up to four weeks out of order, with t found again by ts."""
+def _streamed(rows: DataFrame, stream: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Rows (t, ts, asset, ...) in ten micro-batches, up to four weeks out of order, with t found again by ts. stream is
+    also told the number of buckets that holds some 256 assets each."""
     timed = rows.withColumn("ts", F.to_timestamp("ts"))
-    last = timed.agg(F.max("t").alias("t"), F.max("ts").alias("ts")).first()
+    last = timed.agg(F.max("t").alias("t"), F.max("ts").alias("ts"), F.approx_count_distinct("asset").alias("assets")).first()
     late = F.pmod(F.xxhash64("t", "asset"), F.lit(5))
     arrival = F.floor((F.col("t") + late) * 10 / ((last.t or 0) + 5))
     closing = timed.sparkSession.createDataFrame([(last.ts, "")], "ts timestamp, asset string")
     closing = closing.select(*[(F.col("ts") + F.expr("interval 60 days") if c == "ts" else F.col(c) if c == "asset" else F.lit(None).cast(timed.schema[c].dataType)).alias(c) for c in timed.columns])
-    made = replayed(timed, arrival, stream, closing)
-    return made.join(timed.select("t", "ts", "asset"), ["ts", "asset"]).select("t", "asset", *[c for c in made.columns if c not in ("ts", "asset")])
+    made = replayed(timed, arrival, lambda cells: stream(cells, last.assets // 256 + 1), closing)
+    # as many rows as cells on both sides, though their files may be small: neither is broadcast
+    return made.hint("merge").join(timed.select("t", "ts", "asset"), ["ts", "asset"]).select("t", "asset", *[c for c in made.columns if c not in ("ts", "asset")])
 
 
 @query(f"with {SUPPLIER} select t, asset, {_PRICED} as priced from panel")
 def price_floor_stream(spark, sf_dir):
     """The screen of price_floor, its cells coming late and out of order."""
-    return _streamed(stored(supplier_weeks(spark, sf_dir).select("t", "ts", "asset", "close")), lambda cells: stream_price_floor(cells, "close", 900.0, late="28 days"))
+    return _streamed(stored(supplier_weeks(spark, sf_dir).select("t", "ts", "asset", "close")), lambda cells, n: stream_price_floor(cells, "close", 900.0, late="28 days", buckets=n))
 
 
 @query(f"with {SUPPLIER}, {_LIQUID} select t, asset, liquid from liq")
 def liquidity_stream(spark, sf_dir):
     """Memberships from a stream of ranks; the ranks are a batch's."""
-    return _streamed(stored(_screened(spark, sf_dir).select("t", "ts", "asset", "liquidity_rank")), lambda cells: stream_liquidity(cells, 12, 32, late="28 days"))
+    return _streamed(stored(_screened(spark, sf_dir).select("t", "ts", "asset", "liquidity_rank")), lambda cells, n: stream_liquidity(cells, 12, 32, late="28 days", buckets=n))
 
 
 _MEMBER = f"{_LIQUID}, mem as (select *, liquid and {_PRICED} as member from liq)"

@@ -48,6 +48,15 @@ def test_latches_on_a_late_stream_equal_the_batch(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.where("priced").count() > 20
 
 
+def test_assets_that_share_a_bucket_keep_apart(spark):
+    cells = _prices(spark)
+    late = F.floor((F.col("t") + F.pmod(F.xxhash64("t", "asset"), F.lit(5))) / 12)
+    closing = spark.createDataFrame([(0, dt.datetime(2025, 1, 1), "", None)], CELLS)
+    got = replayed(cells.unionByName(cells.where("t = 3")), late, lambda s: stream_price_floor(s, "p", late="5 days", buckets=2), closing)
+    want = price_floor_screen(cells, "p").select("ts", "asset", "priced")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_rows_behind_the_watermark_are_dropped(spark):
     cells = _prices(spark)
     closing = spark.createDataFrame([(0, dt.datetime(2025, 1, 1), "", None)], CELLS)
