@@ -811,10 +811,15 @@ def dataset_summary(spark, sf_dir):
 # --- files: both layouts written as CSV from lines, loaded, kept as Parquet by year ----------
 
 
+#: Rows of a CSV file, about: a task sorts a file's rows.
+_FILE_ROWS = 250_000
+
+
 def _as_csv(rows: DataFrame, *order: str) -> str:
-    """The rows in several files in a new folder; the columns they are ordered by stay behind."""
+    """The rows in several files in a new folder, the more the more rows; the columns they are ordered by stay behind."""
     folder = new_folder(rows.sparkSession)
-    rows.repartitionByRange(4, *order).sortWithinPartitions(*order).drop(*order).write.option("header", True).csv(folder)
+    files = max(4, -(-rows.count() // _FILE_ROWS))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).drop(*order).write.option("header", True).csv(folder)
     return folder
 
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lattica import queries as panel_queries
 from lattica.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,10 @@ assert "momentum_stack" in e.queries() and "momentum_stack" in e.oracle_sql()
 assert not [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_csv_files_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(panel_queries, "_FILE_ROWS", 100)
+    folder = panel_queries._as_csv(spark.range(1000).selectExpr("id as k", "id * 2 as v"), "k")
+    names = sorted(p.name for p in Path(folder).glob("part-*"))
+    assert len(names) == 10 and [int(x) for n in names for x in (Path(folder) / n).read_text().split()[1:]] == [2 * i for i in range(1000)]
