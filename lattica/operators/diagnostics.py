@@ -25,10 +25,15 @@ def rank_correlations(rows: DataFrame, a: str, b: str, by: Sequence[str], min_br
     """Per group the Pearson correlation (ic) of two columns of ranks over rows with both, and their
     number (breadth); NULL below min_breadth or without variance. Ranks are halves, so twice their
     values are integers and their sums exact: a correlation of zero is zero, whatever the order of rows."""
-    twice = lambda c: F.round(F.col(c) * 2).cast("decimal(18,0)")
+    twice = lambda c: F.round(F.col(c) * 2).cast("long")
     both = rows.select(*by, twice(a).alias("x"), twice(b).alias("y")).withColumns({"x": F.when(F.col("y").isNotNull(), F.col("x")), "y": F.when(F.col("x").isNotNull(), F.col("y"))})
     x, y = F.col("x"), F.col("y")
-    out = both.groupBy(*by).agg(F.count(x).alias("breadth"), *[F.sum(v.cast("decimal(28,0)")).alias(n) for n, v in (("__x", x), ("__y", y), ("__xx", x * x), ("__yy", y * y), ("__xy", x * y))])
+    # products are summed in halves of 31 bits, so that sums of longs hold them for any number of rows; decimals only meet the sums
+    halves = lambda v: (F.sum(F.shiftright(v, 31)), F.sum(v.bitwiseAND(F.lit(2**31 - 1))))
+    sums = {"__x": F.sum(x), "__y": F.sum(y)} | {f"{n}{h}": part for n, v in (("__xx", x * x), ("__yy", y * y), ("__xy", x * y)) for h, part in zip("hl", halves(v))}
+    out = both.groupBy(*by).agg(F.count(x).alias("breadth"), *[v.alias(n) for n, v in sums.items()])
+    whole = lambda n: F.col(f"{n}h").cast("decimal(18,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col(f"{n}l").cast("decimal(19,0)")
+    out = out.withColumns({n: whole(n).cast("decimal(28,0)") for n in ("__xx", "__yy", "__xy")})
     centred = lambda p, q, r: (F.col("breadth").cast("decimal(10,0)") * F.col(r).cast("decimal(28,0)") - F.col(p).cast("decimal(18,0)") * F.col(q).cast("decimal(18,0)")).cast("double")
     ic = F.try_divide(centred("__x", "__y", "__xy"), F.nullif(F.sqrt(centred("__x", "__x", "__xx") * centred("__y", "__y", "__yy")), F.lit(0.0)))
     return out.select(*by, F.when(F.col("breadth") >= min_breadth, ic).alias("ic"), "breadth")

@@ -203,3 +203,13 @@ def test_a_filtered_panel_broadcasts_no_grid(spark, capsys):
     made = panel.dense_panel(rows).where("v is not null")  # an inner join now
     made.explain()
     assert "SortMergeJoin [ts" in capsys.readouterr().out and made.count() == 6
+
+
+def test_rank_correlations_are_exact_for_large_ranks(spark):
+    ranks = [(0, float(2**30 + i * 7919), float(2**30 + i * i)) for i in range(2000)]
+    got = diagnostics.rank_correlations(spark.createDataFrame(ranks, "t int, a double, b double"), "a", "b", ["t"])
+    x, y = ([int(2 * r[k]) for r in ranks] for k in (1, 2))
+    part = lambda p, q: len(p) * sum(i * j for i, j in zip(p, q)) - sum(p) * sum(q)
+    row = got.first()
+    assert row.breadth == 2000 and row.ic == pytest.approx(part(x, y) / math.sqrt(part(x, x) * part(y, y)), abs=1e-12)
+    assert "sum(shiftright(" in got._jdf.queryExecution().optimizedPlan().toString()  # of longs, not of decimals
