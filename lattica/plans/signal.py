@@ -191,7 +191,10 @@ def add_signals(panel: DataFrame, signals: dict[str, Signal], run: tuple[str, ..
     for s in signals.values():
         visit(s)
     names = {id(s): f"__s{i}" for i, s in enumerate(order)}
-    out, done, axis = panel, set(), "asset"
+    # each axis is dealt to all tasks the session shuffles to: tasks that were merged by the compressed size of their
+    # rows would sort the whole of them once for every window of the axis
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, done, axis, dealt = panel, set(), "asset", None
     while len(done) < len(order):
         ready = [s for s in order if id(s) not in done and all(id(i) in done for i in s.inputs)]
         # cells first, then the axis in hand, so that an axis changes only when it must
@@ -202,7 +205,10 @@ def add_signals(panel: DataFrame, signals: dict[str, Signal], run: tuple[str, ..
                 break
         if batch[0].axis == "series":
             out = along_assets(out, {names[id(s)]: (names[id(s.inputs[0])], s.sliding) for s in batch}, run)
+            dealt = "asset"
         else:
+            if choice != "cell" and choice != dealt:
+                out, dealt = out.repartition(tasks, *[f"`{k}`" for k in run], "asset" if choice == "asset" else "t"), choice
             out = out.withColumns({names[id(s)]: s.make(keys, *[F.col(names[id(i)]) for i in s.inputs]) for s in batch})
         done |= {id(s) for s in batch}
     taken = [c for c in panel.columns if c not in signals]

@@ -213,3 +213,10 @@ def test_rank_correlations_are_exact_for_large_ranks(spark):
     row = got.first()
     assert row.breadth == 2000 and row.ic == pytest.approx(part(x, y) / math.sqrt(part(x, x) * part(y, y)), abs=1e-12)
     assert "sum(shiftright(" in got._jdf.queryExecution().optimizedPlan().toString()  # of longs, not of decimals
+
+
+def test_axes_are_dealt_to_all_tasks(spark, capsys):
+    p = matrix(spark, [[1.0, 2.0, 2.0, 4.0, 5.0]] * 3)
+    made = add_signals(p, {"x": cs_demean(cs_rank(V.shift(1)))})
+    made.explain()
+    assert capsys.readouterr().out.count("REPARTITION_BY_NUM") == 2 and made.count() == 15  # by asset, then by t
