@@ -193,12 +193,13 @@ def load_delistings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dataset_from_panel(panel: DataFrame) -> Dataset:
-    """A panel with close and adv as a dataset; returns are the price's changes if there is no ret."""
+    """A panel with close and adv as a dataset, written once; returns are the price's changes if there is no ret."""
     if "ret" not in panel.columns:
         before = F.lag("close").over(Window.partitionBy("asset").orderBy("t"))
         panel = panel.withColumn("ret", F.try_divide(F.col("close") - before, F.nullif(before, F.lit(0.0))))
     if "close_raw" not in panel.columns:
         panel = panel.withColumn("close_raw", F.col("close"))
+    panel = stored(panel)
     none = listings(panel).withColumns({"delist_ret": F.lit(None).cast("double"), "ticker": F.lit(None).cast("string")})
     return Dataset(panel, none)
 
@@ -239,8 +240,9 @@ SEVERE, SCREEN_TOP = -0.5, 1000
 def verify_extract(data: Dataset) -> DataFrame:
     """Findings (section, key, value, severity OK, FLAG or FATAL): attrition a year, delisting returns,
     breadth by year, large moves (the first SAMPLE by time and asset: share away from an exit; of all: share
-    of cheap stocks), coverage, and a universe built from the extract (listed, liquid, above the price floor)."""
-    p, s = data.panel, data.securities
+    of cheap stocks), coverage, and a universe built from the extract (listed, liquid, above the price floor).
+    The panel is read five times: keep_dataset or dataset_from_panel make it a stored table first."""
+    p, s = data.panel, stored(data.securities)
     rows = lambda section, *items: F.explode(F.array(*[F.struct(F.lit(section).alias("section"), k.cast("string").alias("key"), v.cast("double").alias("value"), F.when(fatal, "FATAL").when(flag, "FLAG").otherwise("OK").alias("severity")) for k, v, fatal, flag in items])).alias("f")
     no, name, zero = F.lit(False), F.lit, F.lit(0.0)
     times = p.groupBy("t", "ts").agg(F.count("close").alias("n"), F.count("*").alias("cells"))

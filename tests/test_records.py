@@ -192,6 +192,20 @@ def test_ciz_file(spark, tmp_path):
         vendor.load_daily_ciz(spark, write(tmp_path / "w.csv", [h for h in header if h != "DlyPrcFlg"], [r[:3] + r[4:] for r in rows]))
 
 
+def test_an_extract_is_computed_once(spark):
+    p = spark.range(120).selectExpr("cast(id div 3 as int) as t", "date_add(date'2020-01-01', cast(id div 3 as int)) as ts", "cast(id % 3 as string) as asset", "if(id % 7 = 0, null, 10.0D + id % 11) as close", "1e7D as adv")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = {(r.section, r.key): r.value for r in vendor.verify_extract(vendor.dataset_from_panel(p.mapInArrow(counted, p.schema))).collect()}
+    assert found["all", "coverage"] == pytest.approx(102 / 120) and found["universe", "max_members"] == 3
+    assert seen.value == 120
+
+
 def test_point_in_time(spark):
     frame = spark.createDataFrame([("2020-01-01", "2020-02-10"), ("2020-01-01", "2020-02-20"), ("2020-01-01", None)], "datadate string, rdq string").selectExpr("cast(datadate as date) datadate", "cast(rdq as date) rdq")
     row = vendor.check_point_in_time(frame).first()
