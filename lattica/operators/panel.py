@@ -44,9 +44,12 @@ def dense_panel(rows: DataFrame) -> DataFrame:
     """The grid of all times and assets with the rows' fields, NULL where there is no row. rows are read
     three times, twice for one column (the axes): hand over a stored table if they cost something. Both sides are sorted:
     the grid comes from two rows of sets, so its size is taken for theirs, and where a filter makes the join an
-    inner one the whole grid would be broadcast."""
+    inner one the whole grid would be broadcast. Both are dealt to all tasks the session shuffles to: tasks merged by
+    the size of their compressed rows, which for a grid is next to nothing, would each sort a share of it that grows with it."""
     fields = [c for c in rows.columns if c not in ("t", "ts", "asset")]
-    return grid(rows).hint("merge").join(rows.select("ts", "asset", *fields), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda x: x.repartition(tasks, "ts", "asset")
+    return dealt(grid(rows)).hint("merge").join(dealt(rows.select("ts", "asset", *fields)), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
 
 
 def long_to_panel(rows: DataFrame, date: str, asset: str, value: str, order: Sequence[str | Column], name: str = "v") -> DataFrame:

@@ -220,3 +220,10 @@ def test_axes_are_dealt_to_all_tasks(spark, capsys):
     made = add_signals(p, {"x": cs_demean(cs_rank(V.shift(1)))})
     made.explain()
     assert capsys.readouterr().out.count("REPARTITION_BY_NUM") == 2 and made.count() == 15  # by asset, then by t
+
+
+def test_grid_and_cells_are_dealt_to_all_tasks(spark, capsys):
+    rows = spark.range(12).selectExpr("date_add(date'2020-01-01', cast(id div 3 as int)) as ts", "cast(id % 3 as string) as asset", "1.0D as v")
+    made = panel.dense_panel(rows)
+    made.explain()
+    assert capsys.readouterr().out.count("REPARTITION_BY_NUM") == 3 and made.count() == 12  # the calendar, the grid, the cells
