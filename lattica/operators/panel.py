@@ -2,7 +2,7 @@
 
 `t` counts the distinct times from 0; `pos` counts the assets in order. The axes are as long
 as the calendar and the list of assets, the only tables the grid is crossed from: numbered
-times, dealt to as many tasks as the session shuffles to, meet the assets in chunks of CHUNK.
+times, dealt to as many tasks as the session shuffles to, or more for a large panel, meet the assets in chunks of CHUNK.
 """
 
 from __future__ import annotations
@@ -18,6 +18,31 @@ from lattica.sources.store import stored
 
 #: Assets that a row of the grid's second axis holds.
 CHUNK = 64
+#: Cells that a task takes at most, about: as a panel grows, it is dealt to more tasks, whatever the session shuffles to.
+CELLS = 2**18
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that so many rows are dealt to: those the session shuffles to, or more if each would take over CELLS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // CELLS))
+
+
+def tasks_of(panel: DataFrame) -> int:
+    """tasks_for the size that dense_panel has noted at t; a panel without a note (t was made anew) counts as small."""
+    return tasks_for(panel.sparkSession, panel.schema["t"].metadata.get("cells", 0))
+
+
+def by_asset(panel: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """The panel dealt out along its assets."""
+    return panel.repartition(tasks_of(panel), *[f"`{k}`" for k in run], "asset")
+
+
+def by_time(panel: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """The panel dealt out by cross-sections. Times of a single run go to the tasks in turn: they are few and each has
+    as many rows as there are assets, so by their hash some tasks would get several times the share of others."""
+    if run or dict(panel.dtypes)["t"] != "int":
+        return panel.repartition(tasks_of(panel), *[f"`{k}`" for k in run], "t")
+    return panel.repartitionById(tasks_of(panel), F.col("t"))
 
 
 def axes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,24 +57,26 @@ def axes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def grid(rows: DataFrame) -> DataFrame:
-    """t, ts, asset of all times and assets, made in as many tasks as the session shuffles to: the calendar is dealt
-    out by t, each time names the chunks, and a join by the chunk's number brings their assets."""
+    """t, ts, asset of all times and assets, made in as many tasks as they are dealt to: the calendar is dealt
+    out by t, each time names the chunks, and a join by the chunk's number brings their assets. t notes the size."""
+    n = rows.agg(F.approx_count_distinct("ts").alias("times"), F.approx_count_distinct("asset").alias("assets")).first()
     times, chunks = axes(rows)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = times.repartition(tasks, "t").select("t", "ts", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    noted = times.withColumn("t", F.col("t").alias("t", metadata={"cells": n.times * n.assets}))
+    named = by_time(noted).select("t", "ts", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     return named.join(chunks, "chunk").select("t", "ts", F.explode("assets").alias("asset"))
 
 
 def dense_panel(rows: DataFrame) -> DataFrame:
     """The grid of all times and assets with the rows' fields, NULL where there is no row. rows are read
-    three times, twice for one column (the axes): hand over a stored table if they cost something. Both sides are sorted:
+    four times, twice for one column (the axes) and once for their size: hand over a stored table if they cost something. Both sides are sorted:
     the grid comes from two rows of sets, so its size is taken for theirs, and where a filter makes the join an
-    inner one the whole grid would be broadcast. Both are dealt to all tasks the session shuffles to: tasks merged by
+    inner one the whole grid would be broadcast. Both are dealt to as many tasks as the grid asks for: tasks merged by
     the size of their compressed rows, which for a grid is next to nothing, would each sort a share of it that grows with it."""
     fields = [c for c in rows.columns if c not in ("t", "ts", "asset")]
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = grid(rows)
+    tasks = tasks_of(whole)
     dealt = lambda x: x.repartition(tasks, "ts", "asset")
-    return dealt(grid(rows)).hint("merge").join(dealt(rows.select("ts", "asset", *fields)), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
+    return dealt(whole).hint("merge").join(dealt(rows.select("ts", "asset", *fields)), ["ts", "asset"], "left").select("t", "ts", "asset", *fields)
 
 
 def long_to_panel(rows: DataFrame, date: str, asset: str, value: str, order: Sequence[str | Column], name: str = "v") -> DataFrame:

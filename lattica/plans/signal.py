@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import PanelError
 from lattica.functions.windows import Sliding, along_assets
+from lattica.operators.panel import by_asset, by_time
 
 #: Rows of a window up to which Spark's own frames compute sums, moments and extremes.
 WIDE = 64
@@ -191,9 +192,8 @@ def add_signals(panel: DataFrame, signals: dict[str, Signal], run: tuple[str, ..
     for s in signals.values():
         visit(s)
     names = {id(s): f"__s{i}" for i, s in enumerate(order)}
-    # each axis is dealt to all tasks the session shuffles to: tasks that were merged by the compressed size of their
-    # rows would sort the whole of them once for every window of the axis
-    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each axis is dealt to as many tasks as the panel's size asks for: tasks that were merged by the compressed size of
+    # their rows would sort the whole of them once for every window of the axis
     out, done, axis, dealt = panel, set(), "asset", None
     while len(done) < len(order):
         ready = [s for s in order if id(s) not in done and all(id(i) in done for i in s.inputs)]
@@ -208,7 +208,7 @@ def add_signals(panel: DataFrame, signals: dict[str, Signal], run: tuple[str, ..
             dealt = "asset"
         else:
             if choice != "cell" and choice != dealt:
-                out, dealt = out.repartition(tasks, *[f"`{k}`" for k in run], "asset" if choice == "asset" else "t"), choice
+                out, dealt = (by_asset if choice == "asset" else by_time)(out, run), choice
             out = out.withColumns({names[id(s)]: s.make(keys, *[F.col(names[id(i)]) for i in s.inputs]) for s in batch})
         done |= {id(s) for s in batch}
     taken = [c for c in panel.columns if c not in signals]

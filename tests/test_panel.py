@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.errors import CausalityViolation, PanelError
-from lattica.operators import causality, diagnostics, panel, universe
+from lattica.operators import backtest, causality, diagnostics, panel, universe
 from lattica.operators.cross_section import cs_demean, cs_neutralize, cs_rank, cs_scale, cs_winsorize, cs_zscore, ts_decay, ts_rank, ts_zscore
 from lattica.plans.signal import add_signals, field_of
+from lattica.sources import tables
 
 V = field_of("v")
 
@@ -227,3 +228,40 @@ def test_grid_and_cells_are_dealt_to_all_tasks(spark, capsys):
     made = panel.dense_panel(rows)
     made.explain()
     assert capsys.readouterr().out.count("REPARTITION_BY_NUM") == 3 and made.count() == 12  # the calendar, the grid, the cells
+
+
+def test_large_panels_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Cells of a task do not grow with the panel, whatever the session shuffles to (4)."""
+    rows = spark.range(4000).selectExpr("date_add(date'2020-01-01', cast(id % 40 as int)) as ts", "cast(id * 7 % 300 as string) as asset", "double(id) as v").dropDuplicates(["ts", "asset"])
+    signal = {"x": cs_demean(cs_rank(V.shift(1)))}
+    spread = lambda x: [r[0] for r in x.groupBy(F.spark_partition_id()).agg(F.count_distinct("t").alias("n")).select("n").collect()]
+    small = add_signals(panel.dense_panel(rows), signal)
+    assert small.rdd.getNumPartitions() == 4 and spread(small) == [10] * 4  # times go to the tasks in turn
+    monkeypatch.setattr(panel, "CELLS", 100)
+    made = panel.dense_panel(rows)
+    tasks = panel.tasks_of(made)
+    assert 100 <= tasks <= 145 and made.rdd.getNumPartitions() == tasks  # of 12,000 cells
+    large = add_signals(made, signal)
+    assert large.rdd.getNumPartitions() == tasks and spread(large) == [1] * 40
+    assert backtest.cells_of(large, "x", "v").rdd.getNumPartitions() == tasks
+    by_key = lambda f: sorted((r.t, r.asset, r.x) for r in f.collect())
+    assert by_key(large) == by_key(small)
+
+
+def test_times_of_any_kind_and_runs_are_dealt_out(spark):
+    p = matrix(spark, [[1.0, 2.0, 2.0, 4.0, 5.0]] * 3)
+    want = values(p, cs_rank(V))
+    for other in (p.withColumn("t", F.col("t").cast("long")), p.withColumn("t", F.col("t") + 1).withColumn("t", F.col("t") - 1)):
+        assert values(other, cs_rank(V)) == want
+    runs = add_signals(p.withColumn("k", F.explode(F.array(F.lit("a"), F.lit("b")))), {"x": cs_rank(V)}, ("k",)).collect()
+    assert len(runs) == 30 and all(r.x == want[r.t][int(r.asset[1:])] for r in runs)
+
+
+def test_lines_are_dealt_out_by_cell_to_tasks_by_their_number(spark, monkeypatch):
+    """Neither a split of the file nor a task the session shuffles to adds up a share of the cells that grows with them."""
+    seen = []
+    monkeypatch.setattr(panel, "CELLS", 600)
+    monkeypatch.setattr(tables, "stored", lambda f: seen.append(f) or f)
+    tables.supplier_weeks(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert seen[0].rdd.getNumPartitions() == -(-lines // 600) > 4
