@@ -787,7 +787,7 @@ au as (select avg(n) as mean_members, min(n) as min_members, max(n) as max_membe
 @query(f"""with {SUPPLIER}, {_SCREEN}, r as (select *, {change(1)} as ret from panel), d as (select t, ts, count(close) as n, count(*) as cells from panel group by t, ts),
 sp as (select greatest(date_diff('day', min(ts), max(ts)) / 365.25, 0.1) as years, max(cells) as assets, sum(n) / sum(cells) as coverage, (select count(last_) from l0) as gone from d),
 big as (select r.t, r.ts, r.asset, close < 5 as cheap, last_ from r left join l0 on l0.asset = r.asset where abs(ret) > 0.5),
-mv as (select count(*) as n, coalesce(avg(cheap::int), 0) as cheap, (select coalesce(avg((not coalesce(abs(date_diff('day', ts, last_)) <= 5, false))::int), 0) from (select * from big order by t, asset limit 400)) as away from big),
+mv as (select count(*) as n, coalesce(avg(cheap::int), 0) as cheap, coalesce(avg((not coalesce(abs(date_diff('day', ts, last_)) <= 5, false))::int), 0) as away from big),
 f as (select 'all' as section, 'attrition_per_year' as key, gone / assets / years as value, case when gone = 0 then 'FATAL' when gone / assets / years < 0.02 then 'FLAG' else 'OK' end as severity from sp
  union all select 'all', 'delisting_returns', 0, 'FLAG' union all select 'all', 'delisting_median', null, 'OK' union all select 'all', 'delisting_worse_than_half', 0, 'OK'
  union all select 'all', 'coverage', coverage, case when coverage < 0.5 then 'FLAG' else 'OK' end from sp

@@ -233,15 +233,15 @@ def load_extract(spark: SparkSession, path: str, delisting_path: str | None = No
 
 
 # Bars of the verifier.
-LOW_ATTRITION, THIN, LARGE_MOVE, NEAR_EXIT_DAYS, SAMPLE, AWAY, CHEAP, CHEAP_SHARE, LEAST_COVERAGE = 0.02, 30, 0.5, 5, 400, 0.25, 5.0, 0.6, 0.5
+LOW_ATTRITION, THIN, LARGE_MOVE, NEAR_EXIT_DAYS, AWAY, CHEAP, CHEAP_SHARE, LEAST_COVERAGE = 0.02, 30, 0.5, 5, 0.25, 5.0, 0.6, 0.5
 SEVERE, SCREEN_TOP = -0.5, 1000
 
 
 def verify_extract(data: Dataset) -> DataFrame:
     """Findings (section, key, value, severity OK, FLAG or FATAL): attrition a year, delisting returns,
-    breadth by year, large moves (the first SAMPLE by time and asset: share away from an exit; of all: share
-    of cheap stocks), coverage, and a universe built from the extract (listed, liquid, above the price floor).
-    The panel is read five times: keep_dataset or dataset_from_panel make it a stored table first."""
+    breadth by year, large moves (of all of them: share away from an exit, share of cheap stocks), coverage,
+    and a universe built from the extract (listed, liquid, above the price floor).
+    The panel is read four times: keep_dataset or dataset_from_panel make it a stored table first."""
     p, s = data.panel, stored(data.securities)
     rows = lambda section, *items: F.explode(F.array(*[F.struct(F.lit(section).alias("section"), k.cast("string").alias("key"), v.cast("double").alias("value"), F.when(fatal, "FATAL").when(flag, "FLAG").otherwise("OK").alias("severity")) for k, v, fatal, flag in items])).alias("f")
     no, name, zero = F.lit(False), F.lit, F.lit(0.0)
@@ -261,11 +261,10 @@ def verify_extract(data: Dataset) -> DataFrame:
     )
     years = times.groupBy(F.year("ts").alias("y")).agg(F.percentile("n", F.lit(0.5)).alias("m"), F.min("n").alias("low"))
     breadth = years.select(rows("breadth", (F.col("y"), F.col("m"), no, F.col("m") < THIN), (F.concat(F.col("y"), F.lit(" least")), F.col("low"), no, no)))
-    big = p.where(F.abs("ret") > LARGE_MOVE).select("t", "ts", "asset", (F.col("close_raw") < CHEAP).alias("cheap"))
-    first = big.orderBy("t", "asset").limit(SAMPLE).join(s.select("asset", "last_tradable"), "asset", "left")
+    big = p.where(F.abs("ret") > LARGE_MOVE).select("ts", "asset", (F.col("close_raw") < CHEAP).alias("cheap")).join(s.select("asset", "last_tradable"), "asset", "left")
     near = F.coalesce(F.abs(F.datediff("ts", "last_tradable")) <= NEAR_EXIT_DAYS, no)
     share = lambda x: F.coalesce(F.try_divide(F.count_if(x), F.count("*")), zero)
-    moves = big.agg(F.count("*").alias("n"), share(F.coalesce("cheap", no)).alias("cheap")).join(first.agg(share(~near).alias("away")))  # one row each
+    moves = big.agg(F.count("*").alias("n"), share(F.coalesce("cheap", no)).alias("cheap"), share(~near).alias("away"))
     moves = moves.select(rows("moves", (name("large"), F.col("n"), no, no), (name("cheap"), F.col("cheap"), no, no), (name("away_from_exit"), F.col("away"), no, (F.col("away") > AWAY) & (F.col("cheap") <= CHEAP_SHARE))))
     listed = universe.listing_mask(p, s.select("asset", F.col("first_tradable").alias("first"), F.col("last_tradable").alias("last")))
     screened = universe.price_floor_screen(universe.liquidity_screen(listed, "adv", top_n=SCREEN_TOP), "close_raw", CHEAP)

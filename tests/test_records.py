@@ -206,6 +206,15 @@ def test_an_extract_is_computed_once(spark):
     assert seen.value == 120
 
 
+def test_share_of_moves_away_from_an_exit_is_of_all_moves(spark):
+    # 450 assets move once and stay; later 1550 move once, in their last week
+    close = "case when id div 4 < 450 then if(id % 4 = 0, 10.0D, 100.0D) when id % 4 < 2 then 10.0D when id % 4 = 2 then 100.0D end as close"
+    p = spark.range(8000).selectExpr("cast(id % 4 as int) as t", "date_add(date'2020-01-06', cast(id % 4 * 7 as int)) as ts", "cast(id div 4 as string) as asset", close, "1e7D as adv")
+    found = {r.key: r for r in vendor.verify_extract(vendor.dataset_from_panel(p)).where("section = 'moves'").collect()}
+    assert found["large"].value == 2000 and found["cheap"].value == 0
+    assert found["away_from_exit"].value == pytest.approx(450 / 2000) and found["away_from_exit"].severity == "OK"
+
+
 def test_point_in_time(spark):
     frame = spark.createDataFrame([("2020-01-01", "2020-02-10"), ("2020-01-01", "2020-02-20"), ("2020-01-01", None)], "datadate string, rdq string").selectExpr("cast(datadate as date) datadate", "cast(rdq as date) rdq")
     row = vendor.check_point_in_time(frame).first()
